@@ -158,17 +158,17 @@ def _row(category: str, order: int, pos: Column, key: Column, value: Column, con
     return F.struct(
         F.lit(order).alias("category_ord"),
         pos.cast("int").alias("pos"),
-        F.lit(category).alias("Category"),
-        key.alias("Key"),
-        value.alias("Value"),
+        F.lit(category).alias("category"),
+        key.alias("key"),
+        value.alias("value"),
         conf.alias("confidence"),
-        pct(conf).alias("Confidence_pct"),
+        pct(conf).alias("confidence_pct"),
     )
 
 
 _REPORT_ROW = (
-    "struct<category_ord:int,pos:int,Category:string,Key:string,Value:string,"
-    "confidence:double,Confidence_pct:string>"
+    "struct<category_ord:int,pos:int,category:string,key:string,value:string,"
+    "confidence:double,confidence_pct:string>"
 )
 
 
