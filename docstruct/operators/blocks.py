@@ -11,24 +11,31 @@ from ..functions.text import selection_mark
 Mode = Literal["form", "id"]
 
 
-def explode_blocks(pages: DataFrame) -> DataFrame:
-    """One row per block; ``(page_seq, pos)`` is its place in the document."""
+# Output column and block field, fixed by the response format.
+FIELDS = {
+    "block_id": "Id",
+    "block_type": "BlockType",
+    "entity_types": "EntityTypes",
+    "confidence": "Confidence",
+    "text": "Text",
+    "selection_status": "SelectionStatus",
+    "relationships": "Relationships",
+}
+
+
+def explode_blocks(pages: DataFrame, *columns: str) -> DataFrame:
+    """One row per block; ``(page_seq, pos)`` is its place in the document.
+
+    ``columns`` names the block columns wanted. They are zipped field by field,
+    because a scan leaves out unused fields of an array only in that form.
+    """
+    columns = columns or tuple(FIELDS)
     if "page_seq" not in pages.columns:
         pages = pages.withColumn("page_seq", F.lit(0).cast("bigint"))
+    wanted = F.arrays_zip(*[F.col("blocks")[FIELDS[c]].alias(c) for c in columns])
     return pages.select(
-        "doc_id", F.col("page_seq").cast("bigint").alias("page_seq"), F.posexplode("blocks")
-    ).select(
-        "doc_id",
-        "page_seq",
-        "pos",
-        F.col("col.Id").alias("block_id"),
-        F.col("col.BlockType").alias("block_type"),
-        F.col("col.EntityTypes").alias("entity_types"),
-        F.col("col.Confidence").alias("confidence"),
-        F.col("col.Text").alias("text"),
-        F.col("col.SelectionStatus").alias("selection_status"),
-        F.col("col.Relationships").alias("relationships"),
-    )
+        "doc_id", F.col("page_seq").cast("bigint").alias("page_seq"), F.posexplode(wanted)
+    ).select("doc_id", "page_seq", "pos", *[F.col(f"col.{c}").alias(c) for c in columns])
 
 
 def _entity(name: str) -> Column:
@@ -53,16 +60,10 @@ def value_blocks(blocks: DataFrame, mode: Mode) -> DataFrame:
 
 def untyped_documents(pages: DataFrame) -> DataFrame:
     """Documents with a key/value block that lacks its entity types."""
-    return (
-        pages.filter(
-            F.exists(
-                "blocks",
-                lambda b: (b["BlockType"] == "KEY_VALUE_SET") & b["EntityTypes"].isNull(),
-            )
-        )
-        .select("doc_id")
-        .distinct()
-    )
+    blocks = explode_blocks(pages, "block_type", "entity_types")
+    return blocks.filter(_key_value_set() & F.col("entity_types").isNull()).select(
+        "doc_id"
+    ).distinct()
 
 
 def edges(blocks: DataFrame) -> DataFrame:
@@ -105,23 +106,25 @@ def token(mode: Mode) -> Column:
     return F.coalesce(word, selection_mark(F.col("block_type"), F.col("selection_status")))
 
 
-def dedupe_blocks(blocks: DataFrame, columns: list[str], extra_keys: tuple[str, ...] = ()):
-    """One row per block id: the last content, at the first position.
+def dedupe_blocks(blocks: DataFrame, *columns: str, place: bool = False) -> DataFrame:
+    """One row per block id (and ``slot``): the last content, and with ``place`` the
+    first position.
 
-    ``max_by`` and ``min`` combine on the map side, so an id repeated any number of
-    times costs one row per task in the shuffle.
+    Both aggregates combine on the map side, so an id repeated any number of times
+    costs one row per task in the shuffle.
     """
-    place = F.struct("page_seq", "pos")
+    at = F.struct("page_seq", "pos")
+    last = F.max(F.struct("page_seq", "pos", *columns)).alias("last")
+    first = [F.min(at).alias("first")] if place else []
     return (
-        blocks.groupBy("doc_id", "block_id", *extra_keys)
-        .agg(F.min(place).alias("place"), F.max_by(F.struct(*columns), place).alias("b"))
+        blocks.groupBy("slot", "doc_id", "block_id")
+        .agg(last, *first)
         .select(
+            "slot",
             "doc_id",
             "block_id",
-            *extra_keys,
-            "place.page_seq",
-            "place.pos",
-            *[F.col(f"b.{c}").alias(c) for c in columns],
+            *(["first.page_seq", "first.pos"] if place else []),
+            *[F.col(f"last.{c}").alias(c) for c in columns],
         )
     )
 

@@ -21,7 +21,7 @@ from .blocks import (
     value_blocks,
     value_ids,
 )
-from .skew import MIN_HOT_ROWS, hot_keys, key_hash, salt_many, salt_one, spread_join
+from .skew import MIN_HOT_ROWS, hot_keys, key_hash, slot_many, slot_one, spread_join
 
 # Documents up to this many result pages give one payload and one group per key;
 # larger ones give one per run of pages.
@@ -30,19 +30,34 @@ PAGES_PER_PART = 1024
 PAIR_COLUMNS = ["doc_id", "page_seq", "pos", "key", "value", "key_confidence", "value_confidence"]
 
 
+KV_SET_COLUMNS = ("block_id", "block_type", "entity_types", "confidence", "relationships")
+TOKEN_COLUMNS = ("block_id", "block_type", "text", "selection_status")
+
+
 def hot_targets(pages: DataFrame, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Block ids that very many relationships point at (see ``skew``)."""
-    kv = explode_blocks(pages).filter(F.col("block_type") == "KEY_VALUE_SET")
+    kv = explode_blocks(pages, "block_type", "relationships").filter(
+        F.col("block_type") == "KEY_VALUE_SET"
+    )
     ids = F.concat(related_ids("VALUE"), related_ids("CHILD"))
     targets = kv.select("doc_id", F.explode(ids).alias("target"))
     return hot_keys(targets.select(key_hash("doc_id", "target").alias("hash")), min_rows)
 
 
+def tokens(pages: DataFrame, mode: Mode, hot: DataFrame | None = None) -> DataFrame:
+    """What every block id of a document adds to a text, null for none."""
+    blocks = explode_blocks(pages, *TOKEN_COLUMNS).select(
+        "doc_id", "block_id", "page_seq", "pos", token(mode).alias("token")
+    )
+    return dedupe_blocks(slot_one(blocks, ["doc_id", "block_id"], hot), "token")
+
+
 def value_refs(keys: DataFrame, values: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Keys with the value blocks they point at, left outer.
 
-    ``values`` carries ``salt`` already: it is repeated for hot targets before it is
-    de-duplicated, so the join reuses that partitioning.
+    ``values`` carries ``slot`` already: it is repeated for hot targets before it is
+    de-duplicated, so the join reuses that partitioning. ``value_confidence`` is null
+    exactly where no value block was found.
     """
     refs = keys.select(
         "doc_id",
@@ -54,22 +69,22 @@ def value_refs(keys: DataFrame, values: DataFrame, hot: DataFrame | None = None)
         F.posexplode_outer("value_ids").alias("value_pos", "value_id"),
     )
     found = values.select(
+        "slot",
         "doc_id",
         F.col("block_id").alias("value_id"),
-        "salt",
-        F.lit(True).alias("found"),
         conf0(F.col("confidence")).alias("value_confidence"),
         F.col("children").alias("value_children"),
     )
-    refs = salt_many(refs, ["doc_id", "value_id"], ["doc_id", "key_id"], hot)
-    return refs.join(found, ["doc_id", "value_id", "salt"], "left").drop("salt")
+    refs = slot_many(refs, ["doc_id", "value_id"], ["doc_id", "key_id"], hot)
+    return refs.join(found, ["slot", "doc_id", "value_id"], "left").drop("slot")
 
 
-def child_words(refs: DataFrame, tokens: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def child_words(refs: DataFrame, known: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """One row per child of a pair's key and value blocks, with its token.
 
     ``side`` is 0 for the key's own words and 1 for words of a value. The key's
-    children are taken once, next to its first value reference.
+    children are taken once, next to its first value reference. ``dangling`` marks
+    children that are no block of the document.
     """
     none = F.expr("cast(array() as array<string>)")
     own = F.when(F.coalesce("value_pos", F.lit(0)) == 0, F.col("key_children")).otherwise(none)
@@ -86,19 +101,19 @@ def child_words(refs: DataFrame, tokens: DataFrame, hot: DataFrame | None = None
         "pos",
         "key_confidence",
         "value_pos",
-        "found",
         "value_confidence",
         F.explode_outer(children).alias("child"),
     ).select("*", "child.side", "child.child_pos", "child.child_id").drop("child")
-    rows = salt_many(rows, ["doc_id", "child_id"], ["doc_id", "key_id", "child_pos"], hot)
-    known = tokens.select(
-        "doc_id",
-        F.col("block_id").alias("child_id"),
-        "salt",
-        "token",
-        F.lit(True).alias("known"),
+    rows = slot_many(rows, ["doc_id", "child_id"], ["doc_id", "key_id", "child_pos"], hot)
+    known = known.select(
+        "slot", "doc_id", F.col("block_id").alias("child_id"), "token", F.lit(True).alias("known")
+    )
+    lost = F.col("child_id").isNotNull() & F.col("known").isNull()
+    return (
+        rows.join(known, ["slot", "doc_id", "child_id"], "left")
+        .withColumn("dangling", lost)
+        .drop("slot", "child_id", "known")
     )
-    return rows.join(known, ["doc_id", "child_id", "salt"], "left").drop("salt")
 
 
 def _text(words: Column, side: int) -> Column:
@@ -113,18 +128,18 @@ def merge_values(words: DataFrame) -> DataFrame:
     without words adds no text but does set the confidence.
     """
     word = F.struct("side", "value_pos", "child_pos", "token")
+    last = F.when(
+        F.col("value_confidence").isNotNull(), F.struct("value_pos", "value_confidence")
+    )
     return (
-        words.groupBy("doc_id", "key_id", "page_seq", "pos", "key_confidence")
+        words.withColumn("slot", key_hash("doc_id", "key_id"))
+        .groupBy("slot", "doc_id", "key_id", "page_seq", "pos", "key_confidence")
         .agg(
             F.array_sort(
                 F.collect_list(F.when(F.col("token").isNotNull(), word))
             ).alias("words"),
-            F.max_by(
-                "value_confidence", F.when(F.col("found"), F.col("value_pos"))
-            ).alias("value_confidence"),
-            F.coalesce(
-                F.bool_or(F.col("child_id").isNotNull() & F.col("known").isNull()), F.lit(False)
-            ).alias("dangling"),
+            F.max(last).alias("last"),
+            F.bool_or("dangling").alias("dangling"),
         )
         .select(
             "doc_id",
@@ -133,7 +148,7 @@ def merge_values(words: DataFrame) -> DataFrame:
             _text(F.col("words"), 0).alias("key"),
             _text(F.col("words"), 1).alias("value"),
             conf0(F.col("key_confidence")).alias("key_confidence"),
-            conf0(F.col("value_confidence")).alias("value_confidence"),
+            conf0(F.col("last.value_confidence")).alias("value_confidence"),
             "dangling",
         )
     )
@@ -146,68 +161,57 @@ def pair_blocks(pages: DataFrame, mode: Mode = "form", hot: DataFrame | None = N
     documents, ``id`` reads on. Pass ``hot=hot_targets(pages)`` to spread block ids
     that a large share of all relationships points at.
     """
-    blocks = explode_blocks(pages)
+    target = ["doc_id", "block_id"]
+    place = [*target, "page_seq", "pos"]
+    kv_sets = explode_blocks(pages, *KV_SET_COLUMNS)
     children = related_ids("CHILD").alias("children")
     keys = dedupe_blocks(
-        key_blocks(blocks).select(
-            "doc_id", "block_id", "page_seq", "pos", "confidence", children,
-            value_ids(mode).alias("value_ids"),
-        ),
-        ["confidence", "children", "value_ids"],
-    )
-    target = ["doc_id", "block_id"]
-    values = dedupe_blocks(
-        salt_one(
-            value_blocks(blocks, mode).select(
-                "doc_id", "block_id", "page_seq", "pos", "confidence", children
+        slot_one(
+            key_blocks(kv_sets).select(
+                *place, "confidence", children, value_ids(mode).alias("value_ids")
             ),
             target,
-            hot,
         ),
-        ["confidence", "children"],
-        ("salt",),
+        "confidence", "children", "value_ids", place=True,
     )
-    tokens = dedupe_blocks(
-        salt_one(
-            blocks.select("doc_id", "block_id", "page_seq", "pos", token(mode).alias("token")),
-            target,
-            hot,
-        ),
-        ["token"],
-        ("salt",),
+    values = dedupe_blocks(
+        slot_one(value_blocks(kv_sets, mode).select(*place, "confidence", children), target, hot),
+        "confidence", "children",
     )
-    return merge_values(child_words(value_refs(keys, values, hot), tokens, hot))
+    return merge_values(child_words(value_refs(keys, values, hot), tokens(pages, mode, hot), hot))
 
 
-def block_text(blocks: DataFrame, mode: Mode, hot: DataFrame | None = None) -> DataFrame:
+def block_text(pages: DataFrame, mode: Mode, hot: DataFrame | None = None) -> DataFrame:
     """Assembled text of every key/value block: ``doc_id, block_id, text``."""
+    target = ["doc_id", "block_id"]
+    kv_sets = explode_blocks(pages, "block_id", "block_type", "relationships").filter(
+        F.col("block_type") == "KEY_VALUE_SET"
+    )
     owners = dedupe_blocks(
-        blocks.filter(F.col("block_type") == "KEY_VALUE_SET").select(
-            "doc_id", "block_id", "page_seq", "pos", related_ids("CHILD").alias("children")
+        slot_one(
+            kv_sets.select(*target, "page_seq", "pos", related_ids("CHILD").alias("children")),
+            target,
         ),
-        ["children"],
+        "children",
     )
-    tokens = dedupe_blocks(
-        salt_one(
-            blocks.select("doc_id", "block_id", "page_seq", "pos", token(mode).alias("token")),
-            ["doc_id", "block_id"],
-            hot,
-        ),
-        ["token"],
-        ("salt",),
-    ).select("doc_id", F.col("block_id").alias("child_id"), "salt", "token")
     rows = owners.select(
         "doc_id", "block_id", F.posexplode_outer("children").alias("child_pos", "child_id")
     )
-    rows = salt_many(rows, ["doc_id", "child_id"], ["doc_id", "block_id", "child_pos"], hot)
-    joined = rows.join(tokens, ["doc_id", "child_id", "salt"], "left")
+    rows = slot_many(rows, ["doc_id", "child_id"], ["doc_id", "block_id", "child_pos"], hot)
+    known = tokens(pages, mode, hot).withColumnRenamed("block_id", "child_id")
     word = F.when(F.col("token").isNotNull(), F.struct("child_pos", "token"))
-    return joined.groupBy("doc_id", "block_id").agg(
-        strip(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(word)), lambda w: w["token"]), " "
-            )
-        ).alias("text")
+    return (
+        rows.join(known, ["slot", "doc_id", "child_id"], "left")
+        .withColumn("slot", key_hash("doc_id", "block_id"))
+        .groupBy("slot", "doc_id", "block_id")
+        .agg(
+            strip(
+                F.array_join(
+                    F.transform(F.array_sort(F.collect_list(word)), lambda w: w["token"]), " "
+                )
+            ).alias("text")
+        )
+        .drop("slot")
     )
 
 

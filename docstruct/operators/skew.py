@@ -45,42 +45,41 @@ def hot_keys(
     )
 
 
-def salt_many(
-    df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], hot: DataFrame | None
+def slot_many(
+    df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], hot: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``salt`` to the side that may repeat a key.
+    """Add ``slot`` to the side that may repeat a key.
 
-    Rows whose last key is null match nothing; they are salted by themselves, or
-    all of them would meet in one task.
+    The slot is the key's hash with the salt folded in by exclusive or, so one key
+    never shares a slot between two salts. It leads the join and grouping keys: sorts
+    then compare one long instead of two texts. Rows whose last key is null match
+    nothing; they get a slot of their own, or all of them would meet in one task.
     """
     own = F.xxhash64(*spread_by)
     idle = F.col(keys[-1]).isNull()
     if hot is None:
-        return df.withColumn("salt", F.when(idle, own).otherwise(F.lit(0).cast("bigint")))
+        return df.withColumn("slot", F.when(idle, own).otherwise(key_hash(*keys)))
+    salt = F.coalesce(F.pmod(own, F.col("salts")), F.lit(0).cast("bigint"))
     return (
         df.withColumn("hash", key_hash(*keys))
         .join(F.broadcast(hot), "hash", "left")
-        .withColumn(
-            "salt",
-            F.when(idle, own)
-            .when(F.col("salts").isNotNull(), F.pmod(own, F.col("salts")))
-            .otherwise(F.lit(0).cast("bigint")),
-        )
+        .withColumn("slot", F.when(idle, own).otherwise(F.col("hash").bitwiseXOR(salt)))
         .drop("hash", "salts")
     )
 
 
-def salt_one(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
-    """Repeat the rows of hot keys once per salt; other rows get salt 0."""
+def slot_one(df: DataFrame, keys: Sequence[str], hot: DataFrame | None = None) -> DataFrame:
+    """Add ``slot``, repeating the rows of hot keys once per salt."""
     if hot is None:
-        return df.withColumn("salt", F.lit(0).cast("bigint"))
+        return df.withColumn("slot", key_hash(*keys))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)
+    slots = F.when(
+        F.col("salts").isNull(), F.array("hash")
+    ).otherwise(F.transform(salts, lambda s: F.col("hash").bitwiseXOR(s)))
     return (
         df.withColumn("hash", key_hash(*keys))
         .join(F.broadcast(hot), "hash", "left")
-        .withColumn(
-            "salt",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)) - 1)),
-        )
+        .withColumn("slot", F.explode(slots))
         .drop("hash", "salts")
     )
 
@@ -94,6 +93,6 @@ def spread_join(
     hot: DataFrame | None,
 ) -> DataFrame:
     """Equi-join on ``on`` where ``one`` holds a key once and ``many`` any number of times."""
-    left = salt_many(many, on, spread_by, hot)
-    right = salt_one(one, on, hot)
-    return left.join(right, [*on, "salt"], how).drop("salt")
+    left = slot_many(many, on, spread_by, hot)
+    right = slot_one(one, on, hot)
+    return left.join(right, ["slot", *on], how).drop("slot")

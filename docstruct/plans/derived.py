@@ -17,8 +17,21 @@ EVENTS_PER_IMAGE = 65536
 DERIVED_PAGES_PER_PART = 1 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: tuple[str, ...] = ()):
+    """A test table. With ``spread_by``, one in too few files is first spread over the cores.
+
+    Rows grow into many blocks each, so a table of one file would keep all of that work
+    in one task. A table of many files is read as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and df.select(*spread_by).rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, *spread_by)
+    return df
+
+
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+LINE_COLUMNS = (*LINE_KEY, "l_quantity", "l_returnflag", "l_linestatus")
 
 
 def _block(block_id, kind, types_=None, conf=None, text=None, status=None, rels=None) -> Column:
@@ -140,7 +153,7 @@ def line_pages(lineitem: DataFrame) -> DataFrame:
 
 
 def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_pages(table(spark, sf_dir, "lineitem"))
+    return line_pages(table(spark, sf_dir, "lineitem", LINE_KEY))
 
 
 def id_results(spark: SparkSession, sf_dir: str) -> DataFrame:
