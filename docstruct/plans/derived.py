@@ -177,11 +177,9 @@ def order_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _image_number() -> Column:
-    return F.floor(F.col("event_id") / EVENTS_PER_IMAGE)
-
-
-def image_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def image_records(
+    spark: SparkSession, sf_dir: str, events_per_image: int = EVENTS_PER_IMAGE
+) -> DataFrame:
     """Image records from the events of a user within a range of event ids."""
     k = F.get_json_object("props", "$.k").cast("int")
     eid = F.col("event_id")
@@ -261,9 +259,9 @@ def image_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     detection = F.struct(
         eid.alias("i"), label.alias("l"), color.alias("c"), text.alias("t"), face.alias("f")
     )
-    number = _image_number()
+    number = F.floor(F.col("event_id") / events_per_image)
     images = (
-        table(spark, sf_dir, "events")
+        table(spark, sf_dir, "events", ("event_id",))
         .groupBy("user_id", number.alias("number"))
         .agg(F.array_sort(F.collect_list(detection)).alias("d"))
     )
@@ -318,3 +316,89 @@ def licence_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select(
         "case_id", "doc_id", F.lit(0).cast("bigint").alias("page_seq"), blocks.alias("blocks")
     )
+
+
+# SQL texts that Spark and the checking database both read, so that both sides start
+# from the same answers.
+ANSWER_JSON = """
+'{"header":{"application_date":"'
+|| CASE WHEN c_custkey % 61 = 0 THEN '1/2/2024' ELSE '13/45/2024' END
+|| '"},"agency_info":{"email":"'
+|| CASE WHEN c_custkey % 59 = 0 THEN 'no mail'
+        ELSE 'a' || CAST(c_custkey AS STRING) || '@example.com' END
+|| '"},"transaction_info":{"status":"'
+|| CASE c_mktsegment WHEN 'BUILDING' THEN 'QUOTE' WHEN 'HOUSEHOLD' THEN 'RENEW'
+        WHEN 'MACHINERY' THEN 'CHANGE' WHEN 'AUTOMOBILE' THEN 'CANCEL' ELSE c_mktsegment END
+|| '","unknown":1},'
+|| CASE WHEN c_custkey % 23 = 0 THEN ''
+        ELSE '"policy_term":{"deposit":' || CAST(c_acctbal AS STRING) || '},' END
+|| '"named_insureds":'
+|| CASE WHEN c_custkey % 29 = 0 THEN '[]'
+        WHEN c_custkey % 31 = 0 THEN '[{"name":null}]'
+        WHEN c_custkey % 37 = 0 THEN '[{"website":"x"}]'
+        ELSE '[{"name":"' || c_name || '","fein_or_ssn":"'
+             || CASE WHEN c_custkey % 41 = 0 THEN 'x12-3456789'
+                     WHEN c_custkey % 5 = 0 THEN '12-3456789 junk' ELSE '123-45-6789' END
+             || '"}]' END
+|| ',"premises_information":[{"zip":"12345-6789"},{"state":"'
+|| CASE WHEN c_custkey % 53 = 0 THEN 'ca' ELSE 'CA' END || '","zip":"'
+|| CASE WHEN c_custkey % 47 = 0 THEN '1234' ELSE lpad(CAST(c_custkey AS STRING), 5, '0') END
+|| '","num_employees_full_time":"' || CAST(c_custkey % 90 AS STRING)
+|| '.0"}],"general_information":{"subsidiary_details":{"percent_owned":'
+|| CAST(c_custkey % 103 AS STRING) || '}},"loss_history":{"years_checked":'
+|| CASE WHEN c_custkey % 2 = 0 THEN '"' || CAST(c_custkey % 12 AS STRING) || '"'
+        ELSE CAST(c_custkey % 12 AS STRING) END
+|| ',"no_losses":'
+|| CASE WHEN c_custkey % 67 = 0 THEN '"X"' WHEN c_custkey % 2 = 0 THEN '"Yes"' ELSE 'true' END
+|| '}' || CASE WHEN c_custkey % 43 = 0 THEN ',"extra_note":"x"' ELSE '' END || '}'
+"""
+
+ANSWER_TEXT = """
+CASE c_custkey % 7
+  WHEN 0 THEN json
+  WHEN 1 THEN '```json' || chr(10) || json || chr(10) || '```'
+  WHEN 2 THEN '```' || json || '```'
+  WHEN 3 THEN json || ' thanks'
+  WHEN 4 THEN substr(json, 1, length(json) - 2)
+  WHEN 5 THEN chr(160) || chr(10) || json || chr(9) || ' '
+  ELSE CASE WHEN c_custkey % 2 = 0 THEN '[1]' ELSE json END END
+"""
+
+EVENT_JSON = """
+'{"event":{"id":' || CAST(event_id AS STRING) || ',"props":' || props
+|| ',"flags":[["' || event_type || '",' || CAST(user_id AS STRING) || '],[],[{}]]},"note":null,'
+|| '"even":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END
+|| ',"a.b":"' || event_type || '","list":[{"half":' || CAST(event_id AS STRING) || '.5},"x"]}'
+"""
+
+
+def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved model response per customer: fenced, padded, cut off, chatty or plain."""
+    text = (
+        table(spark, sf_dir, "customer", ("c_custkey",))
+        .withColumn("json", F.expr(ANSWER_JSON))
+        .withColumn("text", F.expr(ANSWER_TEXT))
+    )
+    body = F.when(F.col("c_custkey") % 71 == 0, F.lit('{"error":"busy"}')).otherwise(
+        F.to_json(F.struct(F.array(F.struct("text")).alias("content")))
+    )
+    return text.select(
+        F.col("c_custkey").cast("string").alias("doc_id"),
+        F.sha2(F.col("c_name"), 256).alias("prompt_sha"),
+        body.alias("body"),
+    )
+
+
+def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events", ("event_id",)).select(
+        F.col("event_id").cast("string").alias("doc_id"),
+        F.try_parse_json(F.expr(EVENT_JSON)).alias("v"),
+    )
+
+
+def landed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File listings with a path and a modification time per event."""
+    return table(spark, sf_dir, "events").select(
+        F.format_string("/in/u%d/doc_%d.pdf", "user_id", "event_id").alias("path"),
+        F.col("ts").alias("modificationTime"),
+    )
