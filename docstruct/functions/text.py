@@ -9,6 +9,10 @@ from pyspark.sql import Column, functions as F
 _BLANK = r"[\s\x1c-\x1f]"
 
 
+# The same as ``strip`` for SQL text.
+STRIP_SQL = r"regexp_replace({}, r'(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z', '')"
+
+
 def strip(col: Column) -> Column:
     """Remove Unicode whitespace at both ends (``trim`` removes spaces only)."""
     return F.regexp_replace(col, rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")

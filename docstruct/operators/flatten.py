@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.json import as_list, as_object, scalar_type
 
-_NODE = "array<struct<path:string,path_norm:string,v:variant,kind:string>>"
+_NODES = (
+    "array<struct<path:string,path_norm:string,v:variant,"
+    "obj:map<string,variant>,arr:array<variant>>>"
+)
 
 
-def _child(path: Column, norm: Column, v: Column) -> Column:
-    # An open node: its kind is found out on the next level.
+def _node(path: Column, norm: Column, v: Column) -> Column:
     return F.struct(
         path.alias("path"),
         norm.alias("path_norm"),
         v.alias("v"),
-        F.lit(None).cast("string").alias("kind"),
+        as_object(v).alias("obj"),
+        as_list(v).alias("arr"),
     )
 
 
@@ -23,67 +26,57 @@ def _dotted(path: Column, key: Column) -> Column:
     return F.when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
 
 
-def _expand(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Settle every open node and put its children next to it."""
-    is_open = F.col("kind").isNull()
-    rows = rows.withColumn("obj", F.when(is_open, as_object(F.col("v")))).withColumn(
-        "arr", F.when(is_open, as_list(F.col("v")))
-    )
-    kind = (
-        F.when(~is_open, F.col("kind"))
-        .when(F.col("obj").isNotNull(), "object")
-        .when(F.col("arr").isNotNull(), "array")
-        .otherwise("scalar")
-    )
-    this = F.struct(F.col("path"), F.col("path_norm"), F.col("v"), kind.alias("kind"))
+def _children(n: Column) -> Column:
     # Dots and brackets inside a key are escaped in the normal form, where they would
     # read as structure.
     members = F.transform(
-        F.map_entries("obj"),
-        lambda e: _child(
-            _dotted(F.col("path"), e["key"]),
-            _dotted(F.col("path_norm"), F.regexp_replace(e["key"], r"([.\[\]\\])", r"\\$1")),
+        F.map_entries(n["obj"]),
+        lambda e: _node(
+            _dotted(n["path"], e["key"]),
+            _dotted(n["path_norm"], F.regexp_replace(e["key"], r"([.\[\]\\])", r"\\$1")),
             e["value"],
         ),
     )
     elements = F.transform(
-        "arr",
-        lambda x, i: _child(
-            F.concat(F.col("path"), F.lit("["), (i + 1).cast("string"), F.lit("]")),
-            F.concat(F.col("path_norm"), F.lit("[]")),
+        n["arr"],
+        lambda x, i: _node(
+            F.concat(n["path"], F.lit("["), (i + 1).cast("string"), F.lit("]")),
+            F.concat(n["path_norm"], F.lit("[]")),
             x,
         ),
     )
-    below = F.coalesce(members, elements, F.expr(f"cast(array() as {_NODE})"))
-    return rows.select(*keep, F.explode(F.concat(F.array(this), below)).alias("n")).select(
-        *keep, "n.path", "n.path_norm", "n.v", "n.kind"
-    )
+    return F.coalesce(members, elements, F.expr(f"cast(array() as {_NODES})"))
+
+
+def _settled(n: Column, last: bool) -> Column:
+    obj, arr = n["obj"], n["arr"]
+    kind = F.when(obj.isNotNull(), "object").when(arr.isNotNull(), "array").otherwise("scalar")
+    if last:
+        kind = F.when((F.size(obj) > 0) | (F.size(arr) > 0), "truncated").otherwise(kind)
+    return F.struct(n["path"], n["path_norm"], n["v"], kind.alias("kind"))
 
 
 def flatten_nodes(df: DataFrame, col: str, max_depth: int, keep: list[str]) -> DataFrame:
     """Every node of a VARIANT column: ``path, path_norm, v, kind``.
 
-    One explode per level carries the finished nodes along, so the input is read once
-    and nothing is shuffled. Kinds are ``object``, ``array``, ``scalar`` and, for a
-    container below ``max_depth``, ``truncated``. Indexes in ``path`` start at 1.
+    The levels are opened one after the other inside the row, so every node is looked at
+    once, and a single explode at the end hands them out; nothing is shuffled. Kinds are
+    ``object``, ``array``, ``scalar`` and, for a container below ``max_depth``,
+    ``truncated``. Indexes in ``path`` start at 1.
     """
-    rows = df.filter(F.col(col).isNotNull()).select(
-        *keep,
-        F.lit("").alias("path"),
-        F.lit("").alias("path_norm"),
-        F.col(col).alias("v"),
-        F.lit(None).cast("string").alias("kind"),
-    )
-    for _ in range(max_depth):
-        rows = _expand(rows, keep)
-    obj, arr = as_object(F.col("v")), as_list(F.col("v"))
-    last = (
-        F.when(F.size(obj) == 0, "object")
-        .when(F.size(arr) == 0, "array")
-        .when(obj.isNotNull() | arr.isNotNull(), "truncated")
-        .otherwise("scalar")
-    )
-    return rows.withColumn("kind", F.coalesce("kind", last))
+    # Rows without a value get no node. A filter would be pushed down to the scan and
+    # parse the text a second time there.
+    root = F.when(
+        F.col(col).isNotNull(), F.array(_node(F.lit(""), F.lit(""), F.col(col)))
+    ).otherwise(F.expr(f"cast(array() as {_NODES})"))
+    rows = df.select(*keep, root.alias("level_0"))
+    levels = [f"level_{d}" for d in range(max_depth + 1)]
+    for above, level in zip(levels, levels[1:], strict=False):
+        rows = rows.withColumn(level, F.flatten(F.transform(above, _children)))
+    settled = [F.transform(c, lambda n: _settled(n, last=False)) for c in levels[:-1]]
+    deepest = F.transform(levels[-1], lambda n: _settled(n, last=True))
+    nodes = F.concat(*settled, deepest)
+    return rows.select(*keep, F.inline(nodes))
 
 
 def flatten_json(

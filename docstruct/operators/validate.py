@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions.json import COERCE, as_float, as_list, as_object, as_text
+from ..functions.text import STRIP_SQL
 from ..schemas.records import PATTERNS, Record
 
 # One @, no blanks, and a domain with a dot that neither starts nor ends with one.
@@ -102,33 +103,54 @@ def verdicts(violations: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def _variant_ddl(t: T.DataType) -> str:
+def _cast_ddl(t: T.DataType) -> str:
+    """Type to read a VARIANT as: texts as they are, other scalars still as VARIANT."""
     if isinstance(t, T.StructType):
-        inner = ",".join(f"`{f.name}`:{_variant_ddl(f.dataType)}" for f in t.fields)
+        inner = ",".join(f"`{f.name}`:{_cast_ddl(f.dataType)}" for f in t.fields)
         return f"struct<{inner}>"
     if isinstance(t, T.ArrayType):
-        return f"array<{_variant_ddl(t.elementType)}>"
-    return "variant"
+        return f"array<{_cast_ddl(t.elementType)}>"
+    return "string" if isinstance(t, T.StringType) else "variant"
 
 
-_BY_TYPE = {
-    T.StringType(): COERCE["str"],
-    T.DoubleType(): COERCE["float"],
-    T.LongType(): COERCE["int"],
-    T.BooleanType(): COERCE["bool"],
-}
+def _plain(sql: str) -> str:
+    return f"replace({STRIP_SQL.format(f"try_variant_get({sql}, '$', 'string')")}, '_', '')"
 
 
-def _typed(col: Column, t: T.DataType) -> Column:
+def _typed(sql: str, t: T.DataType, depth: int = 0) -> str:
+    """SQL that turns what ``_cast_ddl`` read into ``t``.
+
+    Spark's own casts cover what valid answers hold, but for underscores, integral text
+    with a decimal point, and on/off.
+    """
     if isinstance(t, T.StructType):
-        fields = F.struct(*[_typed(col[f.name], f.dataType).alias(f.name) for f in t.fields])
-        return F.when(col.isNotNull(), fields)
+        if all(isinstance(f.dataType, T.StringType) for f in t.fields):
+            return sql
+        fields = ", ".join(
+            f"'{f.name}', {_typed(f'{sql}.`{f.name}`', f.dataType, depth)}" for f in t.fields
+        )
+        return f"if({sql} is null, null, named_struct({fields}))"
     if isinstance(t, T.ArrayType):
-        return F.transform(col, lambda x: _typed(x, t.elementType))
-    return _BY_TYPE[t](col)
-
-
-def canonical(v: Column, record: Record) -> Column:
-    """Typed record of a valid answer: declared fields only, null where absent."""
+        x = f"x{depth}"
+        return f"transform({sql}, {x} -> {_typed(x, t.elementType, depth + 1)})"
+    if isinstance(t, T.StringType):
+        return sql
+    kind = t.simpleString()
+    if isinstance(t, T.DoubleType):
+        text = f"try_cast({_plain(sql)} as double)"
+    elif isinstance(t, T.LongType):
+        text = f"try_cast(try_cast({_plain(sql)} as decimal(38,6)) as bigint)"
+    else:
+        text = f"(lower(try_variant_get({sql}, '$', 'string')) = 'on')"
+    return f"coalesce(try_variant_get({sql}, '$', '{kind}'), {text})"
+
+
+def canonical(v: str, record: Record) -> Column:
+    """Typed record of the valid answers in VARIANT column ``v``.
+
+    Declared fields only, null where absent. The cast is bound to a lambda variable, so
+    it is done once and not once per field.
+    """
     t = record.struct()
-    return _typed(F.try_variant_get(v, "$", _variant_ddl(t)), t)
+    cast = f"try_variant_get({v}, '$', '{_cast_ddl(t)}')"
+    return F.expr(f"element_at(transform(array({cast}), r -> {_typed('r', t)}), 1)")

@@ -31,7 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread_by: tuple[str, ...
 
 
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-LINE_COLUMNS = (*LINE_KEY, "l_quantity", "l_returnflag", "l_linestatus")
 
 
 def _block(block_id, kind, types_=None, conf=None, text=None, status=None, rels=None) -> Column:
@@ -62,7 +61,10 @@ def line_pages(lineitem: DataFrame) -> DataFrame:
     quantity up to 3 have no value, those up to 6 point at a missing value block first.
     Some orders have dangling children, untyped blocks, failed or running jobs.
     """
-    key = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")
+    key = F.concat_ws(
+        "-", "l_linenumber", "l_partkey", "l_suppkey",
+        F.col("l_quantity").cast("bigint"), "l_returnflag", "l_linestatus",
+    )
 
     def bid(letter: str) -> Column:
         return F.concat(F.lit(letter), F.col("k"))

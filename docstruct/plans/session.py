@@ -14,5 +14,7 @@ def local_session(cores: int = 8, memory: str = "12g", partitions: int | None =
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.ui.showConsoleProgress", "false")
+        # Call sites for error messages cost more than building the plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )

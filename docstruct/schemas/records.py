@@ -12,7 +12,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 # Option sets.
@@ -188,7 +188,11 @@ class Record:
 
     def rules_df(self, spark: SparkSession) -> DataFrame:
         """The rules as a table of a few hundred rows, fixed by the schema."""
-        return spark.createDataFrame(self.rules(), RULES_DDL)
+        names = [c.split()[0] for c in RULES_DDL.split(", ")]
+        rows = json.dumps([dict(zip(names, r, strict=True)) for r in self.rules()])
+        element = ",".join(c.replace(" ", ":", 1) for c in RULES_DDL.split(", "))
+        parsed = F.from_json(F.lit(rows), f"array<struct<{element}>>")
+        return spark.range(1).select(F.inline(parsed))
 
     def _model_rules(self, path: str, model: str, out: list[tuple]) -> None:
         def add(at, rule, kind, nullable=True, args=None, lo=None, hi=None):
