@@ -51,7 +51,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
-                "sf": Path(sf_dir).name.removeprefix("sf"),
+                "sf": float(Path(sf_dir).name.removeprefix("sf")),
             }
         )
     )

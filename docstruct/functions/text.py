@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# (?U) makes \s follow Unicode; the four separator controls are not White_Space
-# in Unicode but count as blanks for the reader of the answers.
-_BLANK = r"[\s\x1c-\x1f]"
-
+# All characters that count as blank: ASCII, the separator controls, Unicode spaces.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # The same as ``strip`` for SQL text.
-STRIP_SQL = r"regexp_replace({}, r'(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z', '')"
+STRIP_SQL = "btrim({}, '" + "".join(f"\\u{ord(c):04x}" for c in BLANKS) + "')"
 
 
 def strip(col: Column) -> Column:
-    """Remove Unicode whitespace at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(col, rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
+    """Remove blanks of any kind at both ends (plain ``trim`` removes spaces only)."""
+    return F.trim(col, F.lit(BLANKS))
 
 
 def strip_fences(col: Column) -> Column:

@@ -60,10 +60,11 @@ def value_blocks(blocks: DataFrame, mode: Mode) -> DataFrame:
 
 def untyped_documents(pages: DataFrame) -> DataFrame:
     """Documents with a key/value block that lacks its entity types."""
-    blocks = explode_blocks(pages, "block_type", "entity_types")
-    return blocks.filter(_key_value_set() & F.col("entity_types").isNull()).select(
-        "doc_id"
-    ).distinct()
+    blocks = F.arrays_zip(
+        F.col("blocks")["BlockType"].alias("kind"), F.col("blocks")["EntityTypes"].alias("types")
+    )
+    untyped = F.exists(blocks, lambda b: (b["kind"] == "KEY_VALUE_SET") & b["types"].isNull())
+    return pages.filter(untyped).select("doc_id").distinct()
 
 
 def edges(blocks: DataFrame) -> DataFrame:

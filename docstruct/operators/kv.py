@@ -36,11 +36,9 @@ TOKEN_COLUMNS = ("block_id", "block_type", "text", "selection_status")
 
 def hot_targets(pages: DataFrame, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Block ids that very many relationships point at (see ``skew``)."""
-    kv = explode_blocks(pages, "block_type", "relationships").filter(
-        F.col("block_type") == "KEY_VALUE_SET"
-    )
-    ids = F.concat(related_ids("VALUE"), related_ids("CHILD"))
-    targets = kv.select("doc_id", F.explode(ids).alias("target"))
+    relations = F.flatten(F.array_compact(F.col("blocks")["Relationships"]))
+    ids = F.flatten(F.array_compact(relations["Ids"]))
+    targets = pages.select("doc_id", F.explode(ids).alias("target"))
     return hot_keys(targets.select(key_hash("doc_id", "target").alias("hash")), min_rows)
 
 

@@ -20,7 +20,7 @@ raw AS (
   FROM (SELECT {distinct} l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
                l_returnflag, l_linestatus FROM lineitem)),
 lines AS (
-  SELECT *, seq * 2 AS page_seq, 'Line ' || l_linenumber AS key,
+  SELECT *, seq AS page_seq, 'Line ' || l_linenumber AS key,
          CAST((l_orderkey * 7 + l_partkey) % 10000 AS DOUBLE) / 100 AS key_confidence,
          CAST((l_suppkey * 13 + l_linenumber) % 10000 AS DOUBLE) / 100 AS v_conf,
          CAST((l_suppkey * 17 + l_linenumber) % 10000 AS DOUBLE) / 100 AS w_conf,
