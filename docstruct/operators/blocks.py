@@ -7,6 +7,7 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import selection_mark
+from .skew import spread_join
 
 Mode = Literal["form", "id"]
 
@@ -130,7 +131,10 @@ def dedupe_blocks(blocks: DataFrame, *columns: str, place: bool = False) -> Data
     )
 
 
-def dangling(edge_rows: DataFrame, blocks: DataFrame) -> DataFrame:
+def dangling(
+    edge_rows: DataFrame, blocks: DataFrame, hot: DataFrame | None = None
+) -> DataFrame:
     """Edges whose target id is no block of the document."""
     known = blocks.select("doc_id", F.col("block_id").alias("child_id")).distinct()
-    return edge_rows.join(known, ["doc_id", "child_id"], "left_anti")
+    place = ["block_id", "rel_type", "rel_pos", "child_pos"]
+    return spread_join(edge_rows, known, ["doc_id", "child_id"], "left_anti", place, hot)

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .skew import hot_keys, key_hash, spread_join
+
 # Limits handed to the caller's function, fixed values.
 DEFAULT_OPTIONS = {"max_tokens": 4096, "temperature": 0.1}
 
@@ -35,7 +37,10 @@ def enrich_with_model(
         *keep, F.sha2(F.col(prompt_col), 256).alias("prompt_sha"), F.col(prompt_col).alias("prompt")
     )
     if done is not None:
-        prompts = prompts.join(done.select("prompt_sha").distinct(), "prompt_sha", "left_anti")
+        # Documents without data share one prompt, so a hash may hold many rows.
+        hot = hot_keys(prompts.select(key_hash("prompt_sha").alias("hash")))
+        answered = done.select("prompt_sha").distinct()
+        prompts = spread_join(prompts, answered, ["prompt_sha"], "left_anti", keep, hot)
         prompts = prompts.select(*keep, "prompt_sha", "prompt")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

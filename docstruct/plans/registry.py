@@ -29,7 +29,14 @@ from ..operators.images import (
     top_label_rows,
 )
 from ..operators.jobs import failed_jobs, job_states
-from ..operators.kv import block_text, first_seen_order, group_kv, kv_payload, tokens
+from ..operators.kv import (
+    block_text,
+    first_seen_order,
+    group_kv,
+    hot_targets,
+    kv_payload,
+    tokens,
+)
 from ..operators.report import IMAGE_ERROR, NO_LICENCE, NO_VEHICLE, status_rows
 from ..operators.validate import verdicts
 from ..schemas import FORM
@@ -88,7 +95,8 @@ def form_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def form_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return block_text(derived.form_pages(spark, sf_dir), "form")
+    pages = derived.form_pages(spark, sf_dir)
+    return block_text(pages, "form", hot_targets(pages))
 
 
 def id_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +110,8 @@ def id_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def id_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = derived.licence_cases(spark, sf_dir)
     results = derived.licence_results(spark, sf_dir)
-    shown = id_report(extract_ids(results)).join(cases.select("case_id", "doc_id"), "doc_id")
+    shown = id_report(extract_ids(results)).select("doc_id").distinct()
+    shown = shown.join(cases.select("case_id", "doc_id"), "doc_id")
     return status_rows(cases, results.select("case_id"), shown, NO_LICENCE)
 
 
@@ -133,7 +142,7 @@ def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def form_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = derived.form_pages(spark, sf_dir)
     children = edges(explode_blocks(pages, "block_id", "relationships"))
-    lost = dangling(children, explode_blocks(pages, "block_id"))
+    lost = dangling(children, explode_blocks(pages, "block_id"), hot_targets(pages))
     return lost.groupBy("doc_id", "rel_type").agg(F.count(F.lit(1)).alias("n"))
 
 
