@@ -18,6 +18,7 @@ def local_session(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.driver.extraJavaOptions", "-XX:+UseParallelGC")
         .config("spark.ui.showConsoleProgress", "false")
         # Groups here are words of one pair: thousands of them fit the hash map of a task.
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "10000")
