@@ -24,9 +24,9 @@ from ..sources.staging import stage
 
 #: Bound of the sample the tree is grown and calibrated on, in vectors.
 SAMPLE = 20_000
-BRANCHES = 12
-LEAF = 96
-RECALL = 0.97
+BRANCHES = 8
+LEAF = 512
+RECALL = 0.96
 #: Points of a leaf that one task holds at a time; a fuller leaf is split into blocks.
 BLOCK = 4096
 
