@@ -188,9 +188,12 @@ def train(
     Pairs of one language would teach that languages never change, so texts are cut into runs of
     words and runs of random languages are strung together.
     """
+    sample = [(lang, w) for lang, w in sample if w]
     languages = sorted({lang for lang, _ in sample})
     k = len(languages)
-    numbered = [(languages.index(lang), w) for lang, w in sample if w]
+    if not k:
+        return Field([], np.zeros((SPACE, 0)), np.zeros((0, 0)), {}, "none")
+    numbered = [(languages.index(lang), w) for lang, w in sample]
     rng = np.random.default_rng(3)
     lexicon = _lexicon(numbered, k)
     runs = []

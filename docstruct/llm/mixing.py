@@ -276,7 +276,6 @@ def mix(
     blocks: int = BLOCKS,
     shards: int = SHARDS,
     seed: int = 0,
-    tasks_per_shard: int = 8,
 ) -> DataFrame:
     """The mix: columns of ``docs`` (a row for each time it is drawn) and ``shard``.
 
@@ -301,9 +300,11 @@ def mix(
         "row", "block_key", F.explode("placements").alias("at")
     )
     order = F.xxhash64(F.lit(seed + 2), "block_key", "at.pass")
+    # Each shard is spread over several times its share of the shuffle partitions.
+    spread = -(-4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
     shuffled = (
         drawn.select("row", F.col("at.shard").alias("shard"), order.alias("order"))
-        .repartition("shard", F.pmod("order", F.lit(tasks_per_shard)))
+        .repartition("shard", F.pmod("order", F.lit(spread)))
         .sortWithinPartitions("shard", "order")
     )
     return shuffled.select("row.*", "shard")
