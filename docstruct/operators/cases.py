@@ -19,6 +19,16 @@ def single_inputs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return single, grouped.filter("n > 1").select("case_id", "n")
 
 
+def ambiguous_rejects(crowded: DataFrame, what: str) -> DataFrame:
+    """Rejects of cases that hold more than one input of a kind."""
+    return crowded.select(
+        "case_id",
+        F.lit("cases").alias("stage"),
+        F.lit("ambiguous_case").alias("reason"),
+        F.concat(F.col("n").cast("string"), F.lit(f" {what}")).alias("detail"),
+    )
+
+
 def pair_cases(vehicles: DataFrame, licences: DataFrame) -> DataFrame:
     """Cases with both inputs. Both sides hold a case once."""
     return vehicles.join(licences, "case_id", "inner")

@@ -28,20 +28,25 @@ def enrich_with_model(
 
     ``call_factory(options)`` is called once per task and returns a function from prompt
     to response body, so a client is built once per task. A failing call fills ``error``
-    and never fails the task. Prompts whose hash is in ``done`` are not called again,
-    which makes a rerun after a lost executor or a partial result cheap.
+    and never fails the task. Equal prompts are asked once. ``done`` holds ``prompt_sha, body``
+    of an earlier run: prompts with an answer there are not asked again and get that answer,
+    failed calls (null bodies) are asked again, and answers to other prompts are ignored.
     """
     keep = keep or ["doc_id"]
     settings = {**DEFAULT_OPTIONS, **(options or {})}
     prompts = df.select(
         *keep, F.sha2(F.col(prompt_col), 256).alias("prompt_sha"), F.col(prompt_col).alias("prompt")
     )
+    # Documents without data share one prompt, so a hash may hold very many rows: they combine
+    # before the shuffle, and the join back spreads them.
+    asked = prompts.groupBy("prompt_sha").agg(F.min("prompt").alias("prompt"))
+    answers = None
     if done is not None:
-        # Documents without data share one prompt, so a hash may hold many rows.
-        hot = hot_keys(prompts.select(key_hash("prompt_sha").alias("hash")))
-        answered = done.select("prompt_sha").distinct()
-        prompts = spread_join(prompts, answered, ["prompt_sha"], "left_anti", keep, hot)
-        prompts = prompts.select(*keep, "prompt_sha", "prompt")
+        saved = done.filter(F.col("body").isNotNull()).groupBy("prompt_sha")
+        answers = saved.agg(F.min("body").alias("body")).withColumn(
+            "error", F.lit(None).cast("string")
+        )
+        asked = asked.join(answers.select("prompt_sha"), "prompt_sha", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = call_factory(settings)
@@ -59,8 +64,12 @@ def enrich_with_model(
             out["error"] = [e for _, e in answers]
             yield out
 
-    key_types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return prompts.mapInPandas(run, f"{key_types}, prompt_sha string, body string, error string")
+    fresh = asked.mapInPandas(run, "prompt_sha string, body string, error string")
+    answers = fresh if answers is None else answers.unionByName(fresh)
+    hot = hot_keys(prompts.select(key_hash("prompt_sha").alias("hash")))
+    owners = prompts.select(*keep, "prompt_sha")
+    found = spread_join(owners, answers, ["prompt_sha"], "left", keep, hot)
+    return found.select(*keep, "prompt_sha", "body", "error")
 
 
 def text_body(text: str) -> str:

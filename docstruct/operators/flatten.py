@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from ..functions.json import as_list, as_object, scalar_type
 
@@ -56,49 +60,110 @@ def _settled(n: Column, last: bool) -> Column:
     return F.struct(n["path"], n["path_norm"], n["v"], kind.alias("kind"))
 
 
-def flatten_nodes(df: DataFrame, col: str, max_depth: int, keep: list[str]) -> DataFrame:
-    """Every node of a VARIANT column: ``path, path_norm, v, kind``.
+def with_nodes(df: DataFrame, col: str, max_depth: int, out: str) -> DataFrame:
+    """Add ``out``, an array of every node of a VARIANT column: ``path, path_norm, v, kind``.
 
     The levels are opened one after the other inside the row, so every node is looked at
-    once, and a single explode at the end hands them out; nothing is shuffled. Kinds are
-    ``object``, ``array``, ``scalar`` and, for a container below ``max_depth``,
-    ``truncated``. Indexes in ``path`` start at 1.
+    once; nothing is shuffled. Kinds are ``object``, ``array``, ``scalar`` and, for a
+    container below ``max_depth``, ``truncated``. Indexes in ``path`` start at 1.
     """
     # Rows without a value get no node. A filter would be pushed down to the scan and
     # parse the text a second time there.
     root = F.when(
         F.col(col).isNotNull(), F.array(_node(F.lit(""), F.lit(""), F.col(col)))
     ).otherwise(F.expr(f"cast(array() as {_NODES})"))
-    rows = df.select(*keep, root.alias("level_0"))
+    rows = df.withColumn("level_0", root)
     levels = [f"level_{d}" for d in range(max_depth + 1)]
     for above, level in zip(levels, levels[1:], strict=False):
         rows = rows.withColumn(level, F.flatten(F.transform(above, _children)))
     settled = [F.transform(c, lambda n: _settled(n, last=False)) for c in levels[:-1]]
     deepest = F.transform(levels[-1], lambda n: _settled(n, last=True))
-    nodes = F.concat(*settled, deepest)
-    return rows.select(*keep, F.inline(nodes))
+    return rows.withColumn(out, F.concat(*settled, deepest)).drop(*levels)
+
+
+_LEAVES = T.ArrayType(
+    T.StructType(
+        [T.StructField(name, T.StringType()) for name in ("path", "value", "value_type")]
+    )
+)
+
+
+def _scalar(x: object) -> tuple[str | None, str]:
+    """Text and type name of a JSON scalar whose numbers were left as text."""
+    if x is None:
+        return None, "null"
+    if isinstance(x, bool):
+        return ("true" if x else "false"), "bool"
+    return (x[1], x[0]) if isinstance(x, tuple) else (str(x), "str")
+
+
+@F.pandas_udf(_LEAVES)
+def _deep_leaves(found: pd.Series) -> pd.Series:
+    """Leaves of the containers that a document has below the native levels."""
+
+    def leaves(path: str, text: str) -> list[dict]:
+        tree = json.loads(
+            text, parse_int=lambda t: ("int", t), parse_float=lambda t: ("float", t)
+        )
+        out, todo = [], [(path, tree)]
+        while todo:
+            at, x = todo.pop()
+            if isinstance(x, dict):
+                todo += [(f"{at}.{k}" if at else k, v) for k, v in reversed(x.items())]
+            elif isinstance(x, list):
+                todo += [(f"{at}[{i}]", v) for i, v in reversed(list(enumerate(x, 1)))]
+            else:
+                value, kind = _scalar(x)
+                out.append({"path": at, "value": value, "value_type": kind})
+        return out
+
+    return pd.Series(
+        [[x for n in nodes for x in leaves(n["path"], n["json"])] for nodes in found], dtype=object
+    )
 
 
 def flatten_json(
     df: DataFrame,
     col: str,
-    max_depth: int = 8,
+    native_depth: int = 8,
     include_containers: bool = False,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """``path, value, value_type`` of every scalar of a VARIANT column.
 
     Keys are joined with dots and list elements numbered from 1. Null gives a row, an
-    empty object or array none, and a scalar root has the path ``''``. Containers left
-    below ``max_depth`` are kept whole as one row of type ``truncated``.
+    empty object or array none, and a scalar root has the path ``''``. ``native_depth``
+    levels are opened by SQL functions; what lies deeper is opened in Python, to any depth,
+    with the same result. ``include_containers`` adds rows for the containers of the native
+    levels.
     """
     keep = keep or ["doc_id"]
-    nodes = flatten_nodes(df, col, max_depth, keep)
-    if not include_containers:
-        nodes = nodes.filter(F.col("kind").isin("scalar", "truncated"))
+    rows = with_nodes(df.select(*keep, col), col, native_depth, "nodes").select(*keep, "nodes")
+    deeper = F.transform(
+        F.filter("nodes", lambda n: n["kind"] == "truncated"),
+        lambda n: F.struct(n["path"].alias("path"), F.to_json(n["v"]).alias("json")),
+    )
+    shown = ["scalar", "object", "array"] if include_containers else ["scalar"]
+    native = F.transform(
+        F.filter("nodes", lambda n: n["kind"].isin(shown)),
+        lambda n: F.struct(
+            n["path"].alias("path"), n["v"].alias("v"), n["kind"].alias("kind"),
+            F.lit(None).cast("string").alias("deep"),
+        ),
+    )
+    deep = F.transform(
+        "deeper",
+        lambda x: F.struct(
+            x["path"].alias("path"), F.lit(None).cast("variant").alias("v"),
+            x["value_type"].alias("kind"), x["value"].alias("deep"),
+        ),
+    )
+    leaves = rows.withColumn("deeper", _deep_leaves(deeper)).select(
+        *keep, F.inline(F.concat(native, deep))
+    )
     v, kind = F.col("v"), F.col("kind")
     value_type = F.when(kind == "scalar", scalar_type(v)).otherwise(kind)
-    text = F.when(
+    text = F.when(v.isNull(), F.col("deep")).when(
         value_type == "str", F.try_variant_get(v, "$", "string")
     ).when(value_type != "null", F.to_json(v))
-    return nodes.select(*keep, "path", text.alias("value"), value_type.alias("value_type"))
+    return leaves.select(*keep, "path", text.alias("value"), value_type.alias("value_type"))

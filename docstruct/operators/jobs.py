@@ -11,11 +11,17 @@ UNKNOWN_ERROR = "Unknown error"
 
 
 def job_states(pages: DataFrame) -> DataFrame:
-    """Latest status and message of every job; reads no blocks."""
+    """Latest known status and message of every job, and its last page; reads no blocks."""
     return (
         pages.groupBy("doc_id", "job_id")
-        .agg(F.max_by(F.struct("job_status", "status_message"), "page_seq").alias("s"))
-        .select("doc_id", "job_id", "s.job_status", "s.status_message")
+        .agg(
+            F.max_by(
+                F.struct("job_status", "status_message"),
+                F.when(F.col("job_status").isNotNull(), F.col("page_seq")),
+            ).alias("s"),
+            F.max("page_seq").alias("last_page"),
+        )
+        .select("doc_id", "job_id", "s.job_status", "s.status_message", "last_page")
     )
 
 
@@ -29,10 +35,23 @@ def failed_jobs(states: DataFrame) -> DataFrame:
 def gate_jobs(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages of finished jobs, the documents to keep out, and the rejects.
 
-    Pages carry the status they were handed out with, so the pages pass by a filter
-    that reaches the scan and no page is shuffled. ``blocked`` lists documents whose
-    latest status is not success, for an anti join on the narrow results.
+    A document is read from its latest job that succeeded, and from all pages of that job,
+    whatever status each was handed out with; jobs that failed or run beside it do not matter.
+    Documents without such a job are ``blocked``, and rejected if their latest job failed. The
+    pages only lose those of other jobs, by an anti join whose right side is those jobs: Spark
+    broadcasts it if it is small, and then no page is shuffled.
     """
     states = job_states(pages)
-    blocked = states.filter(F.col("job_status") != SUCCEEDED).select("doc_id").distinct()
-    return pages.filter(F.col("job_status") == SUCCEEDED), blocked, failed_jobs(states)
+    good = F.col("job_status") == SUCCEEDED
+    place = F.struct("last_page", "job_id")
+    chosen = states.groupBy("doc_id").agg(
+        F.max(F.when(good, place))["job_id"].alias("chosen"),
+        F.max_by(F.struct("job_status", "status_message"), place).alias("latest"),
+    )
+    left_out = states.join(chosen.select("doc_id", "chosen"), "doc_id").filter(
+        ~good | (F.col("job_id") != F.col("chosen")) | F.col("job_status").isNull()
+    )
+    without = chosen.filter(F.col("chosen").isNull())
+    ready = pages.join(left_out.select("doc_id", "job_id"), ["doc_id", "job_id"], "left_anti")
+    failed = failed_jobs(without.select("doc_id", "latest.job_status", "latest.status_message"))
+    return ready, without.select("doc_id"), failed

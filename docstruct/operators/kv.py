@@ -3,7 +3,8 @@
 Blocks are looked up with equi-joins on ``(doc_id, block_id)``, never by document
 alone, so the blocks of one huge document spread over the cluster. The only things
 gathered in one group are the words of one pair (they are listed in the cells of
-its key and value block) and bounded runs of result pages.
+its key and value block), the entries of one key text and, in a payload, the pairs of
+one document, since a payload is one text.
 """
 
 from __future__ import annotations
@@ -23,10 +24,6 @@ from .blocks import (
 )
 from .skew import MIN_HOT_ROWS, hot_keys, key_hash, slot_many, slot_one, spread_join
 
-# Documents up to this many result pages give one payload and one group per key;
-# larger ones give one per run of pages.
-PAGES_PER_PART = 1024
-
 PAIR_COLUMNS = ["doc_id", "page_seq", "pos", "key", "value", "key_confidence", "value_confidence"]
 
 
@@ -235,31 +232,22 @@ def first_seen_order(pairs: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> Data
     return spread_join(pairs, firsts, on, "left", ["page_seq", "pos"], hot)
 
 
-def _part(page_seq: str, pages_per_part: int) -> Column:
-    return F.floor(F.col(page_seq) / pages_per_part)
-
-
-def group_kv(pairs: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
-    """All entries of a key text in block order, one row per run of pages.
+def group_kv(pairs: DataFrame) -> DataFrame:
+    """All entries of a key text of a document, in block order.
 
-    Takes the output of ``first_seen_order``. A run holds the keys of at most
-    ``pages_per_part`` page cells, so no group grows with its document.
+    Takes the output of ``first_seen_order``.
     """
     entry = F.struct("page_seq", "pos", "value", "key_confidence", "value_confidence")
     return (
-        pairs.withColumn("part", _part("page_seq", pages_per_part))
-        .groupBy("doc_id", "key", "part", "first_page_seq", "first_pos")
+        pairs.groupBy("doc_id", "key", "first_page_seq", "first_pos")
         .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     )
 
 
-def kv_payload(
-    pairs: DataFrame, docs: DataFrame | None = None, pages_per_part: int = PAGES_PER_PART
-) -> DataFrame:
+def kv_payload(pairs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """JSON list of a document's pairs, keys by first appearance, duplicates adjacent.
 
-    Takes the output of ``first_seen_order``. A document within ``pages_per_part``
-    pages has one row; a larger one has a row per run of pages, none left out.
+    Takes the output of ``first_seen_order``; one row a document, whatever its size.
     ``docs`` adds ``[]`` for documents without pairs.
     """
     item = F.struct(
@@ -275,22 +263,12 @@ def kv_payload(
             p["value_confidence"].alias("value_confidence"),
         ),
     )
-    out = (
-        pairs.withColumn("key_part", _part("first_page_seq", pages_per_part))
-        .withColumn("part", _part("page_seq", pages_per_part))
-        .groupBy("doc_id", "key_part", "part")
-        .agg(F.to_json(payload).alias("payload"))
-    )
+    out = pairs.groupBy("doc_id").agg(F.to_json(payload).alias("payload"))
     if docs is None:
         return out
     seen = pairs.select("doc_id").distinct()
-    zero = F.lit(0).cast("bigint")
     empty = docs.select("doc_id").distinct().join(seen, "doc_id", "left_anti")
-    return out.unionByName(
-        empty.select(
-            "doc_id", zero.alias("key_part"), zero.alias("part"), F.lit("[]").alias("payload")
-        )
-    )
+    return out.unionByName(empty.select("doc_id", F.lit("[]").alias("payload")))
 
 
 def kv_report(pairs: DataFrame) -> DataFrame:

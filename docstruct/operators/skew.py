@@ -18,6 +18,8 @@ TRACKED = 10_000
 MIN_HOT_ROWS = 1_000_000
 ROWS_PER_SALT = 250_000
 MAX_SALTS = 4096
+#: Sketches of tasks are merged in so many tasks, and these in one.
+MERGES = 512
 
 
 def key_hash(*cols: Column | str) -> Column:
@@ -34,7 +36,12 @@ def hot_keys(
     At most ``MAX_HOT`` rows: every key above about 0.1 % of all rows is tracked,
     and there cannot be more than a thousand of those.
     """
-    top = hashes.agg(F.expr(f"approx_top_k(hash, {MAX_HOT}, {TRACKED})").alias("top"))
+    parts = hashes.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGES)))
+    sketches = parts.groupBy("part").agg(
+        F.expr(f"approx_top_k_accumulate(hash, {TRACKED})").alias("sketch")
+    )
+    merged = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    top = merged.select(F.expr(f"approx_top_k_estimate(sketch, {MAX_HOT})").alias("top"))
     return (
         top.select(F.explode("top").alias("t"))
         .filter(F.col("t.count") >= min_rows)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
 from ..functions.json import COERCE, as_float, as_list, as_object, as_text
 from ..functions.text import STRIP_SQL
-from ..schemas.records import PATTERNS, Record
+from ..schemas.records import PATTERNS, RULES_OF_PATH, Record
 
 # One @, no blanks, and a domain with a dot that neither starts nor ends with one.
 EMAIL = r"(?U)^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+\z"
@@ -20,9 +20,9 @@ def _java(pattern: str) -> str:
     return "(?U)" + pattern.replace("$", r"\z")
 
 
-def _broken(v: Column) -> Column:
-    """Whether the rule of the row is broken, for rules on a single node."""
-    kind, type_ = F.col("kind"), F.col("type")
+def _broken(n: Column, r: Column) -> Column:
+    """Whether rule ``r`` is broken by node ``n``, for rules on a single node."""
+    v, kind, type_ = n["v"], n["kind"], r["type"]
     is_null = F.is_variant_null(v)
     text = as_text(v)
     typed = (
@@ -32,7 +32,7 @@ def _broken(v: Column) -> Column:
     )
     for name, coerce in COERCE.items():
         typed = typed.when(type_ == name, coerce(v).isNull())
-    pattern = F.element_at("args", 1)
+    pattern = F.element_at(r["args"], 1)
     mismatch = reduce(
         lambda acc, p: acc.when(pattern == p, ~text.rlike(_java(PATTERNS[p]))),
         PATTERNS,
@@ -40,17 +40,15 @@ def _broken(v: Column) -> Column:
     )
     number = as_float(v)
     out_of_range = number.isNotNull() & (
-        F.isnan(number)
-        | (number < F.col("lo"))
-        | F.coalesce(number > F.col("hi"), F.lit(False))
+        F.isnan(number) | (number < r["lo"]) | F.coalesce(number > r["hi"], F.lit(False))
     )
-    rule = F.col("rule")
+    rule = r["rule"]
     return (
-        F.when(rule == "min_items", (kind == "array") & (F.size(as_list(v)) < F.col("lo")))
+        F.when(rule == "min_items", (kind == "array") & (F.size(as_list(v)) < r["lo"]))
         .when(kind.isin("object", "array") & ~rule.isin("type", "enum"), F.lit(False))
-        .when(is_null, rule.isin("type", "enum") & ~F.col("nullable"))
+        .when(is_null, rule.isin("type", "enum") & ~r["nullable"])
         .when(rule == "type", typed)
-        .when(rule == "enum", ~F.coalesce(F.array_contains("args", text), F.lit(False)))
+        .when(rule == "enum", ~F.coalesce(F.array_contains(r["args"], text), F.lit(False)))
         .when(rule == "pattern", mismatch)
         .when(rule == "email", text.isNotNull() & ~text.rlike(EMAIL))
         .when(rule == "range", out_of_range)
@@ -58,49 +56,49 @@ def _broken(v: Column) -> Column:
     )
 
 
-def apply_rules(nodes: DataFrame, rules: DataFrame, keep: list[str]) -> DataFrame:
-    """Violations ``path, rule, value`` of flattened nodes.
-
-    The rules are fixed by the schema, a few hundred rows at most, so they are
-    broadcast and the nodes stay where they are. Missing and unknown keys are found
-    from the keys of the container itself, without joining the nodes to each other.
-    """
-    v, rule = F.col("v"), F.col("rule")
+def _violations(n: Column, r: Column) -> Column:
+    """Violations of one rule by one node. Missing and unknown keys come from the keys of the
+    container itself."""
+    v, rule, path = n["v"], r["rule"], n["path"]
     keys = F.map_keys(as_object(v))
     none = F.expr("cast(array() as array<string>)")
     names = (
-        F.when(
-            rule == "required", F.coalesce(F.array_except("args", keys), none)
-        )
-        .when(rule == "extra", F.coalesce(F.array_except(keys, "args"), none))
-        .when(_broken(v), F.array(F.lit("")))
+        F.when(rule == "required", F.coalesce(F.array_except(r["args"], keys), none))
+        .when(rule == "extra", F.coalesce(F.array_except(keys, r["args"]), none))
+        .when(_broken(n, r), F.array(F.lit("")))
         .otherwise(none)
     )
-    path = F.col("path")
-    at = (
-        F.when(F.col("name") == "", path)
-        .when(path == "", F.col("name"))
-        .otherwise(F.concat(path, F.lit("."), F.col("name")))
-    )
-    value = F.when(
-        ~rule.isin("required", "extra"), F.coalesce(as_text(v), F.to_json(v))
-    )
-    return (
-        nodes.join(F.broadcast(rules), "path_norm")
-        .select(*keep, "path", "rule", value.alias("value"), F.explode(names).alias("name"))
-        .select(*keep, at.alias("path"), "rule", "value")
+    value = F.when(~rule.isin("required", "extra"), F.coalesce(as_text(v), F.to_json(v)))
+    return F.transform(
+        names,
+        lambda name: F.struct(
+            F.when(name == "", path)
+            .when(path == "", name)
+            .otherwise(F.concat(path, F.lit("."), name))
+            .alias("path"),
+            rule.alias("rule"),
+            value.alias("value"),
+        ),
     )
 
 
-def verdicts(violations: DataFrame, keep: list[str]) -> DataFrame:
-    """Broken rules per answer. An answer without a row here is valid.
+def violations_of(nodes: str, record: Record) -> Column:
+    """Sorted array of ``path, rule, value``: the rules that an answer's nodes break.
 
-    The violations of an answer all come out of its own cell.
+    The rules are a constant map from normal path to rules, fixed by the schema.
     """
-    return violations.groupBy(*keep).agg(
-        F.count(F.lit(1)).alias("violations"),
-        F.array_sort(F.collect_list(F.struct("path", "rule", "value"))).alias("broken"),
+    rules = record.rules_by_path()
+    none = F.expr(f"cast(array() as {RULES_OF_PATH})")
+    found = F.transform(
+        nodes,
+        lambda n: F.flatten(
+            F.transform(
+                F.coalesce(F.try_element_at(rules, n["path_norm"]), none),
+                lambda r: _violations(n, r),
+            )
+        ),
     )
+    return F.array_sort(F.flatten(found))
 
 
 def _cast_ddl(t: T.DataType) -> str:

@@ -18,8 +18,6 @@ def form_prompts(payloads: DataFrame) -> DataFrame:
     """A prompt per payload of ``kv_payload``."""
     return payloads.select(
         "doc_id",
-        "key_part",
-        "part",
         build_prompt(F.col("payload"), FORM_TEMPLATE, FORM.json_schema()).alias("prompt"),
     )
 
@@ -40,13 +38,7 @@ def structure_forms(
     """Ask the model about every payload, then records and rejects of its answers.
 
     Responses are staged, because both outputs read them and no prompt may be sent
-    twice. ``done`` holds ``doc_id, key_part, part, prompt_sha, body`` of an earlier run.
+    twice. ``done`` holds ``prompt_sha, body`` of an earlier run (see ``enrich_with_model``).
     """
-    keep = ["doc_id", "key_part", "part"]
-    asked = enrich_with_model(form_prompts(payloads), "prompt", call_factory, done, keep=keep)
-    answered = stage(asked, "responses")
-    if done is not None:
-        answered = answered.unionByName(
-            done.select(*keep, "prompt_sha", "body"), allowMissingColumns=True
-        )
-    return structure_saved(answered, schema, keep)
+    asked = enrich_with_model(form_prompts(payloads), "prompt", call_factory, done)
+    return structure_saved(stage(asked, "responses"), schema)

@@ -13,21 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import types
 
 EVENTS_PER_IMAGE = 65536
-# A derived result page holds one pair, a real one hundreds; hence the wider runs.
-DERIVED_PAGES_PER_PART = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_by: tuple[str, ...] = ()):
-    """A test table. With ``spread_by``, one in too few files is first spread over the cores.
+    """A test table. With ``spread_by`` its rows are first spread over the cores.
 
     Rows grow into many blocks each, so a table of one file would keep all of that work
-    in one task. A table of many files is read as it is.
+    in one task.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.select(*spread_by).rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, *spread_by)
-    return df
+    return df.repartition(spark.sparkContext.defaultParallelism, *spread_by) if spread_by else df
 
 
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -306,9 +301,11 @@ def licence_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def licence_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def licence_results(spark: SparkSession, sf_dir: str, landed_only: bool = False) -> DataFrame:
     """One-page licence results; every tenth one holds no key text."""
-    cases = licence_cases(spark, sf_dir).filter("landed")
+    cases = licence_cases(spark, sf_dir)
+    if landed_only:
+        cases = cases.filter("landed")
     number = F.col("doc_id").cast("bigint")
     blocks = F.array(
         _block(
@@ -370,7 +367,10 @@ CASE c_custkey % 7
   WHEN 1 THEN '```json' || chr(10) || json || chr(10) || '```'
   WHEN 2 THEN '```' || json || '```'
   WHEN 3 THEN json || ' thanks'
-  WHEN 4 THEN substr(json, 1, length(json) - 2)
+  WHEN 4 THEN CASE WHEN c_custkey % 2 = 0
+    THEN '{' || chr(10) || '"n": ' || CAST(c_custkey AS STRING) || ',' || chr(10)
+         || '"b": oops,' || chr(10) || '"c": 1' || chr(10) || '}'
+    ELSE substr(json, 1, length(json) - 2) END
   WHEN 5 THEN chr(160) || chr(10) || json || chr(9) || ' '
   ELSE CASE WHEN c_custkey % 2 = 0 THEN '[1]' ELSE json END END
 """
@@ -379,6 +379,7 @@ EVENT_JSON = """
 '{"event":{"id":' || CAST(event_id AS STRING) || ',"props":' || props
 || ',"flags":[["' || event_type || '",' || CAST(user_id AS STRING) || '],[],[{}]]},"note":null,'
 || '"even":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END
+|| ',"deep":{"a":{"b":[[{"c":{"d":[' || CAST(user_id AS STRING) || ',1.50,null,{}]}}]]}}'
 || ',"a.b":"' || event_type || '","list":[{"half":' || CAST(event_id AS STRING) || '.5},"x"]}'
 """
 
@@ -400,6 +401,30 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def segment_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt per customer; customers of one segment and nation share theirs."""
+    prompt = F.concat(F.lit("ask "), "c_mktsegment", F.lit(" "), F.col("c_nationkey").cast("string"))
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("doc_id"), prompt.alias("prompt")
+    )
+
+
+def saved_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of an earlier run: prompts of some nations, failed calls, and foreign prompts."""
+    customers = table(spark, sf_dir, "customer")
+    nation = F.col("c_nationkey")
+    text = F.concat(
+        F.when(nation % 5 == 4, F.lit("other ")).otherwise(F.lit("ask ")),
+        "c_mktsegment", F.lit(" "), nation.cast("string"),
+    )
+    saved = F.to_json(F.struct(F.array(F.struct(F.lit("saved").alias("text"))).alias("content")))
+    return customers.filter(nation % 5 != 0).select(
+        F.col("c_custkey").cast("string").alias("doc_id"),
+        F.sha2(text, 256).alias("prompt_sha"),
+        F.when(nation % 5 != 1, saved).alias("body"),
+    )
+
+
 def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events", ("event_id",)).select(
         F.col("event_id").cast("string").alias("doc_id"),

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.blocks import untyped_documents
 from ..operators.jobs import gate_jobs
 from ..operators.kv import (
-    PAGES_PER_PART,
     PAIR_COLUMNS,
     first_seen_order,
     hot_targets,
@@ -20,7 +19,7 @@ from ..operators.kv import (
 )
 from ..operators.skew import MIN_HOT_ROWS, hot_keys, key_hash, spread_join
 from ..sources.sinks import reject_rows
-from ..sources.staging import stage
+from ..sources.staging import stage_at
 
 
 class Extracted(NamedTuple):
@@ -28,14 +27,19 @@ class Extracted(NamedTuple):
     rejects: DataFrame
 
 
-def extract_forms(pages: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> Extracted:
+def extract_forms(
+    pages: DataFrame, min_hot_rows: int = MIN_HOT_ROWS, folder: str | None = None
+) -> Extracted:
     """Key/value pairs of all finished form jobs, and the documents left out.
 
-    Pairs are staged once, because both the rejected documents and the pairs that
-    remain are read from them.
+    The rejected documents and the pairs that remain are both read from the pairs. With
+    ``folder``, a path that all executors share, they are stored there in between; without it
+    nothing runs here, and Spark reuses the exchanges of one plan.
     """
     ready, blocked, job_rejects = gate_jobs(pages)
-    pairs = stage(pair_blocks(ready, "form", hot_targets(ready, min_hot_rows)), "form-pairs")
+    pairs = pair_blocks(ready, "form", hot_targets(ready, min_hot_rows))
+    if folder:
+        pairs = stage_at(pairs, folder)
     broken = pairs.filter("dangling").select("doc_id").distinct()
     rejects = (
         job_rejects
@@ -48,12 +52,13 @@ def extract_forms(pages: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> Extract
     return Extracted(kv.select(PAIR_COLUMNS), rejects)
 
 
-def form_outputs(
-    kv: DataFrame, docs: DataFrame | None = None, pages_per_part: int = PAGES_PER_PART
-) -> tuple[DataFrame, DataFrame]:
-    """Payload per document and display table of stored form pairs."""
-    ordered = first_seen_order(kv)
-    return kv_payload(ordered, docs, pages_per_part), kv_report(kv)
+def form_outputs(kv: DataFrame, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Payload per document and display table of stored form pairs.
+
+    ``docs`` (``doc_id``) lists the documents that passed; without it only documents with
+    pairs have a payload.
+    """
+    return kv_payload(first_seen_order(kv), docs), kv_report(kv)
 
 
 def extract_ids(results: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:

@@ -59,15 +59,12 @@ SELECT doc_id, page_seq, key, value, key_confidence, value_confidence,
 
 _FORM_KV = f"WITH {FORM_KV} {_KV_SELECT} FROM kv"
 
-_PARTS = derived.DERIVED_PAGES_PER_PART
-
 _PAYLOAD = f"""
 {FORM_KV},
 ordered AS (
   SELECT *, min(page_seq) OVER (PARTITION BY doc_id, key) AS first_page_seq FROM kv),
 payloads AS (
-  SELECT doc_id, first_page_seq // {_PARTS} AS key_part, page_seq // {_PARTS} AS part,
-         '[' || string_agg(
+  SELECT doc_id, '[' || string_agg(
            '{{"key":"' || key || '","value":"' || value || '","key_confidence":'
            || CAST(key_confidence AS VARCHAR) || ',"value_confidence":'
            || CAST(value_confidence AS VARCHAR) || '}}', ','
@@ -213,7 +210,7 @@ licences AS (
          CASE WHEN c_custkey % 10 = 0 THEN '' ELSE 'Name' END AS key,
          CAST(c_custkey % 10000 AS DOUBLE) / 100 AS key_confidence,
          CAST(c_custkey * 3 % 10000 AS DOUBLE) / 100 AS value_confidence
-  FROM customer WHERE c_custkey % 2 = 0),
+  FROM customer),
 licence_payloads AS (
   SELECT *, '[{"key":"' || key || '","value":"' || c_name || '","key_confidence":'
     || CAST(key_confidence AS VARCHAR) || ',"value_confidence":'
@@ -234,11 +231,11 @@ ORACLES: dict[str, str] = {
     "form_kv_grouped": f"""
 WITH {FORM_KV}, ordered AS (
   SELECT *, min(page_seq) OVER (PARTITION BY doc_id, key) AS first_page_seq FROM kv)
-SELECT doc_id, key, page_seq // {_PARTS} AS part, first_page_seq, count(*) AS n,
+SELECT doc_id, key, first_page_seq, count(*) AS n,
        string_agg(value || '|' || CAST(key_confidence AS VARCHAR) || '|'
                   || CAST(value_confidence AS VARCHAR), ';'
                   ORDER BY page_seq, value, key_confidence, value_confidence) AS entries
-FROM ordered GROUP BY doc_id, key, part, first_page_seq
+FROM ordered GROUP BY doc_id, key, first_page_seq
 """,
     "form_rejects": f"""
 WITH {LINES}
@@ -267,7 +264,7 @@ WITH {ALL_LINES}, lost AS (
   UNION ALL SELECT doc_id, 'CHILD' FROM lines WHERE l_orderkey % 97 = 0)
 SELECT doc_id, rel_type, count(*) AS n FROM lost GROUP BY ALL
 """,
-    "form_payloads": f"WITH {_PAYLOAD} SELECT doc_id, key_part, part, payload FROM payloads",
+    "form_payloads": f"WITH {_PAYLOAD} SELECT doc_id, payload FROM payloads",
     "id_kv": f"""
 WITH {LINES}, kv AS (
   SELECT doc_id, page_seq, key, key_confidence,
@@ -398,8 +395,17 @@ SELECT doc_id, 'structure' AS stage, outcome AS reason FROM final WHERE outcome
 """,
     "parse_faults": f"""
 WITH {ANSWERS}
-SELECT doc_id, CAST(1 AS BIGINT) AS line, TRUE AS has_column, TRUE AS marked
-FROM judged WHERE reason = 'parse_error'
+SELECT doc_id, CAST(CASE WHEN oops THEN 3 ELSE 1 END AS BIGINT) AS line,
+       CAST(CASE WHEN oops THEN 6 WHEN chatty THEN length(json) + 2
+                 WHEN c_custkey % 43 = 0 THEN length(text) - 1
+                 ELSE length(text) + 1 END AS BIGINT) AS col,
+       CASE WHEN oops THEN 'Expecting value' WHEN chatty THEN 'Extra data'
+            WHEN c_custkey % 43 = 0 THEN 'Unterminated string starting at'
+            ELSE 'Expecting ' || chr(39) || ',' || chr(39) || ' delimiter' END AS msg,
+       CAST(CASE WHEN oops THEN 5 ELSE 1 END AS BIGINT) AS shown,
+       CASE WHEN oops THEN '"b": oops,' ELSE text END AS fault
+FROM (SELECT *, c_custkey % 7 = 3 AS chatty, c_custkey % 14 = 4 AS oops FROM judged)
+WHERE reason = 'parse_error'
 """,
     "document_records": f"""
 WITH {FORM_KV}, {ANSWERS}
@@ -418,11 +424,14 @@ UNION ALL SELECT doc_id, 'even', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'fa
 UNION ALL SELECT doc_id, 'a.b', event_type, 'str' FROM e
 UNION ALL SELECT doc_id, 'list[1].half', doc_id || '.5', 'float' FROM e
 UNION ALL SELECT doc_id, 'list[2]', 'x', 'str' FROM e
+UNION ALL SELECT doc_id, 'deep.a.b[1][1].c.d[1]', CAST(user_id AS VARCHAR), 'int' FROM e
+UNION ALL SELECT doc_id, 'deep.a.b[1][1].c.d[2]', '1.5', 'float' FROM e
+UNION ALL SELECT doc_id, 'deep.a.b[1][1].c.d[3]', NULL, 'null' FROM e
 """,
     "prompt_rows": f"""
 WITH {_PAYLOAD}, prompts AS (
   SELECT *, {_literal(_HEAD)} || payload || {_literal(_TAIL)} AS prompt FROM payloads)
-SELECT doc_id, key_part, part, length(prompt) AS chars, sha256(prompt) AS prompt_sha
+SELECT doc_id, length(prompt) AS chars, sha256(prompt) AS prompt_sha
 FROM prompts
 """,
     "model_enrich_stub": f"""
@@ -432,6 +441,12 @@ SELECT doc_id, sha256(prompt) AS prompt_sha,
        CASE WHEN prompt NOT LIKE '%00"%' THEN length(prompt) || '/4096' END AS answer,
        CASE WHEN prompt LIKE '%00"%' THEN 'RuntimeError: busy' END AS error
 FROM prompts
+""",
+    "model_enrich_resume": """
+SELECT CAST(c_custkey AS VARCHAR) AS doc_id, sha256(prompt) AS prompt_sha,
+       CASE WHEN c_nationkey % 5 IN (2, 3) THEN 'saved' ELSE 'new ' || length(prompt) END AS answer,
+       CAST(NULL AS VARCHAR) AS error
+FROM (SELECT *, 'ask ' || c_mktsegment || ' ' || c_nationkey AS prompt FROM customer)
 """,
     "landing_keys": """
 SELECT '/in/u' || user_id || '/doc_' || event_id || '.pdf' AS path,

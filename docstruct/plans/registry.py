@@ -12,6 +12,8 @@ from ..functions.text import pct, strip_fences
 from ..operators.answers import (
     attach_records,
     build_prompt,
+    judge_answers,
+    judged_reason,
     locate_error,
     parse_answers,
     record_violations,
@@ -38,7 +40,6 @@ from ..operators.kv import (
     tokens,
 )
 from ..operators.report import IMAGE_ERROR, NO_LICENCE, NO_VEHICLE, status_rows
-from ..operators.validate import verdicts
 from ..schemas import FORM
 from ..sources.readers import stream_image_results, with_answer_text
 from ..sources.sinks import with_landing_key
@@ -76,7 +77,7 @@ def _ordered_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def form_kv_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = group_kv(_ordered_forms(spark, sf_dir), derived.DERIVED_PAGES_PER_PART)
+    groups = group_kv(_ordered_forms(spark, sf_dir))
     entry = F.transform(
         "entries",
         lambda e: F.concat_ws(
@@ -84,7 +85,7 @@ def form_kv_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     return groups.select(
-        "doc_id", "key", "part", "first_page_seq",
+        "doc_id", "key", "first_page_seq",
         F.size("entries").cast("bigint").alias("n"),
         F.array_join(entry, ";").alias("entries"),
     )
@@ -109,7 +110,7 @@ def id_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = derived.licence_cases(spark, sf_dir)
-    results = derived.licence_results(spark, sf_dir)
+    results = derived.licence_results(spark, sf_dir, landed_only=True)
     shown = id_report(extract_ids(results)).select("doc_id").distinct()
     shown = shown.join(cases.select("case_id", "doc_id"), "doc_id")
     return status_rows(cases, results.select("case_id"), shown, NO_LICENCE)
@@ -160,14 +161,13 @@ def job_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def form_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = _ordered_forms(spark, sf_dir)
-    return kv_payload(ordered, pages_per_part=derived.DERIVED_PAGES_PER_PART)
+    return kv_payload(_ordered_forms(spark, sf_dir))
 
 
 def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = form_prompts(form_payloads(spark, sf_dir))
     return prompts.select(
-        "doc_id", "key_part", "part",
+        "doc_id",
         F.length("prompt").cast("bigint").alias("chars"),
         F.sha2("prompt", 256).alias("prompt_sha"),
     )
@@ -290,12 +290,11 @@ def form_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = _parsed(spark, sf_dir)
-    bad = verdicts(record_violations(parsed, FORM), ["doc_id"])
-    return parsed.join(bad, "doc_id", "left").select(
+    judged = judge_answers(_parsed(spark, sf_dir), FORM)
+    return judged.select(
         "doc_id",
-        F.coalesce("reason", F.when(F.col("violations") > 0, "validation_error")).alias("reason"),
-        F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"),
+        judged_reason().alias("reason"),
+        F.coalesce(F.size("broken"), F.lit(0)).cast("bigint").alias("violations"),
     )
 
 
@@ -330,8 +329,10 @@ def parse_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return located.select(
         "doc_id",
         F.col("error.line").cast("bigint").alias("line"),
-        (F.col("error.col").isNotNull()).alias("has_column"),
-        F.col("error.excerpt").startswith(" >>> 1: {").alias("marked"),
+        F.col("error.col").cast("bigint").alias("col"),
+        F.col("error.msg").alias("msg"),
+        F.size("excerpt").cast("bigint").alias("shown"),
+        F.get(F.filter("excerpt", lambda x: x["is_fault"]), 0)["text"].alias("fault"),
     )
 
 
@@ -343,7 +344,20 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flatten_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten_json(derived.event_json(spark, sf_dir), "v", 6)
+    return flatten_json(derived.event_json(spark, sf_dir), "v", 4)
+
+
+def model_enrich_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rerun: some prompts are shared, answered, answered for others, or failed before."""
+    prompts = derived.segment_prompts(spark, sf_dir)
+
+    def factory(options: dict):
+        return lambda prompt: text_body(f"new {len(prompt)}")
+
+    answered = enrich_with_model(
+        prompts, "prompt", factory, done=derived.saved_answers(spark, sf_dir)
+    )
+    return with_answer_text(answered).select("doc_id", "prompt_sha", "answer", "error")
 
 
 def landing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,6 +419,7 @@ QUERIES: dict[str, Query] = {
     "flatten_paths": flatten_paths,
     "prompt_rows": prompt_rows,
     "model_enrich_stub": model_enrich_stub,
+    "model_enrich_resume": model_enrich_resume,
     "landing_keys": landing_keys,
     "form_kv_stream": form_kv_stream,
     "image_report_stream": image_report_stream,

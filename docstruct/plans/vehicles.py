@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.json import payload_json
 from ..operators.answers import build_prompt, parse_answers, structure_records
-from ..operators.cases import pair_cases, single_inputs
+from ..operators.cases import ambiguous_rejects, pair_cases, single_inputs
 from ..operators.enrich import enrich_with_model
 from ..operators.images import image_report, image_results, join_feeds
 from ..operators.report import NO_LICENCE, NO_STRUCTURED, NO_VEHICLE, with_status
@@ -39,21 +39,25 @@ def vehicle_json() -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def case_prompts(results: DataFrame, payloads: DataFrame) -> DataFrame:
-    """``case_id, prompt`` of cases with both inputs.
+def case_prompts(results: DataFrame, payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``case_id, prompt`` of cases with both inputs, and rejects of cases with too many.
 
     ``payloads``: ``case_id, payload`` of the licence. Results without any detection
     still count as present.
     """
-    vehicles, _ = single_inputs(results.select("case_id", vehicle_json().alias("vehicle")))
-    licences, _ = single_inputs(payloads.select("case_id", "payload"))
+    vehicles, many_images = single_inputs(results.select("case_id", vehicle_json().alias("vehicle")))
+    licences, many_licences = single_inputs(payloads.select("case_id", "payload"))
     data = F.concat(
         F.lit('{"vehicle_analysis":'), F.col("vehicle"),
         F.lit(',"license_data":{"key_value_pairs":'), F.col("payload"), F.lit("}}"),
     )
-    return pair_cases(vehicles, licences).select(
+    prompts = pair_cases(vehicles, licences).select(
         "case_id", build_prompt(data, VEHICLE_TEMPLATE, VEHICLE.json_schema()).alias("prompt")
     )
+    crowded = ambiguous_rejects(many_images, "images").unionByName(
+        ambiguous_rejects(many_licences, "licences")
+    )
+    return prompts, crowded
 
 
 class Cases(NamedTuple):
@@ -75,28 +79,25 @@ def process_cases(
 
     ``cases`` lists the ``case_id`` expected, ``images`` are landed image records and
     ``licences`` licence results. The model is asked only about complete cases. Its
-    responses are staged, so no prompt is sent twice; ``done`` holds responses
-    (``case_id, prompt_sha, body``) of an earlier run.
+    responses are staged, so no prompt is sent twice; ``done`` holds ``prompt_sha, body`` of an
+    earlier run. Cases with several images or licences are rejected as ambiguous.
     """
     results = image_results(images)
     pairs = stage(extract_ids(licences), "licence-pairs")
     owners = licences.select("case_id", "doc_id").distinct()
     payloads = id_payload(pairs, owners).join(owners, "doc_id")
-    prompts = case_prompts(results, payloads)
+    prompts, crowded = case_prompts(results, payloads)
     answered = stage(
         enrich_with_model(prompts, "prompt", call_factory, done, keep=["case_id"]), "responses"
     )
-    if done is not None:
-        answered = answered.unionByName(
-            done.select("case_id", "prompt_sha", "body"), allowMissingColumns=True
-        )
     parsed = parse_answers(with_answer_text(answered))
     records, rejects = structure_records(parsed, VEHICLE, ["case_id"])
     shown = id_report(pairs).join(owners, "doc_id")
-    missing = cases.select("case_id").join(prompts.select("case_id"), "case_id", "left_anti")
+    asked = prompts.select("case_id").unionByName(crowded.select("case_id"))
+    missing = cases.select("case_id").join(asked, "case_id", "left_anti")
     return Cases(
         records,
-        rejects,
+        rejects.unionByName(crowded),
         with_status(cases, images.select("case_id"), image_report(results), NO_VEHICLE),
         with_status(cases, licences.select("case_id"), shown, NO_LICENCE),
         missing.withColumn("text", F.lit(NO_STRUCTURED)),

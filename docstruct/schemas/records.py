@@ -12,7 +12,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
 # Option sets.
@@ -147,6 +147,7 @@ RULES_DDL = (
     "schema string, path_norm string, rule string, type string, nullable boolean, "
     "args array<string>, lo double, hi double"
 )
+RULES_OF_PATH = f"array<struct<{','.join(c.replace(' ', ':', 1) for c in RULES_DDL.split(', '))}>>"
 
 
 @dataclass(frozen=True)
@@ -186,13 +187,33 @@ class Record:
         self._model_rules("", "Root", out)
         return out
 
-    def rules_df(self, spark: SparkSession) -> DataFrame:
-        """The rules as a table of a few hundred rows, fixed by the schema."""
-        names = [c.split()[0] for c in RULES_DDL.split(", ")]
-        rows = json.dumps([dict(zip(names, r, strict=True)) for r in self.rules()])
-        element = ",".join(c.replace(" ", ":", 1) for c in RULES_DDL.split(", "))
-        parsed = F.from_json(F.lit(rows), f"array<struct<{element}>>")
-        return spark.range(1).select(F.inline(parsed))
+    def rules_by_path(self) -> Column:
+        """Constant ``map<path_norm, rules>`` of a few hundred rules, fixed by the schema.
+
+        Built from literals, so Spark evaluates it once and not for every row.
+        """
+
+        def literal(value: object) -> str:
+            if value is None:
+                return "null"
+            if isinstance(value, bool):
+                return str(value).lower()
+            if isinstance(value, list):
+                return f"array({', '.join(map(literal, value))})"
+            if isinstance(value, str):
+                return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+            return f"{float(value)!r}D"
+
+        columns = [c.split(" ", 1) for c in RULES_DDL.split(", ")]
+        by_path: dict[str, list[str]] = {}
+        for r in self.rules():
+            fields = (
+                f"'{name}', cast({literal(value)} as {kind})"
+                for (name, kind), value in zip(columns, r, strict=True)
+            )
+            by_path.setdefault(r[1], []).append(f"named_struct({', '.join(fields)})")
+        entries = (f"{literal(at)}, array({', '.join(rs)})" for at, rs in by_path.items())
+        return F.expr(f"map({', '.join(entries)})")
 
     def _model_rules(self, path: str, model: str, out: list[tuple]) -> None:
         def add(at, rule, kind, nullable=True, args=None, lo=None, hi=None):
@@ -235,13 +256,25 @@ class Record:
         )
 
     def json_schema(self) -> str:
-        """JSON schema text for prompts."""
+        """JSON schema text for prompts: optional fields may be null, and every field says in
+        words what its name abbreviates."""
+
+        def optional(f: Field, out: dict) -> dict:
+            if not f.required:
+                out["type"] = [out["type"], "null"]
+                if "enum" in out:
+                    out["enum"] = [*out["enum"], None]
+            return {**out, "description": spelled(f.name)}
+
+        def spelled(name: str) -> str:
+            apart = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name)
+            return apart.replace("_", " ").lower()
 
         def scalar(f: Field) -> dict:
             names = {"str": "string", "int": "integer", "float": "number", "bool": "boolean"}
             out: dict = {"type": names[f.kind]}
             if f.options:
-                out["enum"] = OPTIONS[f.options]
+                out["enum"] = list(OPTIONS[f.options])
             if f.pattern:
                 out["pattern"] = PATTERNS[f.pattern]
             if f.email:
@@ -256,14 +289,15 @@ class Record:
             props = {}
             for f in self.models[name]:
                 if f.kind == "object":
-                    props[f.name] = model(f.model)
+                    props[f.name] = optional(f, model(f.model))
                 elif f.kind == "list":
                     items = model(f.model) if f.model else {"type": "string"}
                     props[f.name] = {"type": "array", "items": items}
                     if f.min_items:
                         props[f.name]["minItems"] = f.min_items
+                    props[f.name] = optional(f, props[f.name])
                 else:
-                    props[f.name] = scalar(f)
+                    props[f.name] = optional(f, scalar(f))
             out = {"type": "object", "properties": props}
             required = [f.name for f in self.models[name] if f.required]
             if required:

@@ -32,11 +32,12 @@ def with_landing_key(
 
 
 def write_records(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
-    """Typed records as Parquet, or as JSON with every declared field."""
+    """Typed records as Parquet, or as JSON with every declared field and all key columns."""
     if fmt == "json":
-        df.select("doc_id", record_json(F.col("record")).alias("record_json")).write.mode(
-            mode
-        ).json(path)
+        keys = [c for c in df.columns if c not in ("record", "record_json")]
+        df.select(*keys, record_json(F.col("record")).alias("record_json")).write.mode(mode).json(
+            path
+        )
     else:
         df.write.mode(mode).format(fmt).save(path)
 

@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.images import image_report, image_results
-from ..plans.documents import extract_forms
+from ..plans.documents import Extracted, extract_forms
+from ..sources.staging import drop_folder, shared_dir
 
 
 def ingest_forms(stream: DataFrame, out_dir: str, checkpoint_dir: str) -> StreamingQuery:
     """Extract every batch of form pages to ``out_dir/kv`` and ``out_dir/rejects``.
 
     Landing writes a job once it is complete, so all pages of a job are in one batch.
-    A batch overwrites its own folder: when it is retried, nothing is doubled.
+    A batch overwrites its own folder: when it is retried, nothing is doubled. Its pairs are
+    stored once while both outputs are written, and deleted afterwards.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = extract_forms(batch)
+        folder = shared_dir(batch.sparkSession, "form-pairs")
+        try:
+            write_batch(extract_forms(batch, folder=folder), batch_id)
+        finally:
+            drop_folder(batch.sparkSession, folder)
+
+    def write_batch(found: Extracted, batch_id: int) -> None:
         found.kv.write.mode("overwrite").parquet(f"{out_dir}/kv/batch_id={batch_id}")
         found.rejects.write.mode("overwrite").parquet(f"{out_dir}/rejects/batch_id={batch_id}")
 

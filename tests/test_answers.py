@@ -207,19 +207,23 @@ def test_records(spark):
     assert reasons["4"][0] == "not_an_object"
 
 
-def test_rules_are_broadcast(spark):
-    df = record_violations(parse_answers(texts(spark, ["{}"])), FORM)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+def test_answers_are_judged_in_their_row(spark):
+    parsed = parse_answers(texts(spark, ["{}", json.dumps(MIN)]))
+    records, rejects = structure_records(parsed.withColumn("doc_id", F.lit("same")), FORM)
+    assert records.count() == 1 and rejects.count() == 1
+    for df in (records, rejects, record_violations(parsed, FORM)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
 
 
 def test_fault_location(spark):
     text = '{\n "a": 1,\n "b": oops,\n "c": 2,\n "d": 3,\n "e": 4\n}'
     _, rejects = structure_records(parse_answers(texts(spark, [text])), FORM)
-    e = locate_error(rejects).collect()[0].error
-    assert (e.line, e.col, e.msg) == (3, 7, "Expecting value")
-    assert e.excerpt.split("\n") == [
-        "     1: {", '     2:  "a": 1,', ' >>> 3:  "b": oops,', '     4:  "c": 2,', '     5:  "d": 3,'
+    row = locate_error(rejects).collect()[0]
+    assert tuple(row.error) == (3, 7, "Expecting value")
+    assert [tuple(x) for x in row.excerpt] == [
+        (1, "{", False), (2, ' "a": 1,', False), (3, ' "b": oops,', True), (4, ' "c": 2,', False),
+        (5, ' "d": 3,', False),
     ]
 
 
@@ -249,8 +253,16 @@ def test_flatten(spark):
         assert sorted(got[str(i)]) == sorted(want)
     assert kinds["a.c[1]"] == "bool" and kinds["a.c[2]"] == "null" and kinds["g[2][1][1]"] == "float"
     assert ("", "root") in got["2"] and ("", None) in got["3"] and got["5"] == []
-    cut = flatten_json(df, "v", max_depth=1).filter("doc_id = '0'").collect()
-    assert {(r.path, r.value_type) for r in cut} == {("a", "truncated"), ("g", "truncated")}
+    for depth in (1, 2):
+        shallow = flatten_json(df, "v", native_depth=depth)
+        assert sorted(shallow.collect(), key=str) == sorted(flatten_json(df, "v").collect(), key=str)
+    deep = "1"
+    for i in range(60):
+        deep = f'[{deep}]' if i % 2 else f'{{"k":{deep}}}'
+    one = texts(spark, [deep]).withColumn("v", F.parse_json("answer"))
+    assert [(r.path, r.value, r.value_type) for r in flatten_json(one, "v").collect()] == [
+        ("[1]" + ".k[1]" * 29 + ".k", "1", "int")
+    ]
     full = flatten_json(df, "v", include_containers=True).filter("doc_id = '0'").collect()
     assert {"object", "array"} <= {r.value_type for r in full}
 

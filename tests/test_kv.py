@@ -36,9 +36,9 @@ def mark(id_, selected):
     return block(id_, "SELECTION_ELEMENT", status="SELECTED" if selected else "NOT_SELECTED")
 
 
-def page(doc, blocks, seq=0, status="SUCCEEDED", message=None):
+def page(doc, blocks, seq=0, status="SUCCEEDED", message=None, job=None):
     return {
-        "doc_id": doc, "job_id": f"j-{doc}", "page_seq": seq, "job_status": status,
+        "doc_id": doc, "job_id": job or f"j-{doc}", "page_seq": seq, "job_status": status,
         "status_message": message, "blocks": blocks,
     }
 
@@ -152,9 +152,7 @@ def test_form_outputs(spark, corpus):
     assert (shown["Key"], shown["Key Confidence"]) == ("Name", "90.00%")
     groups = kv.group_kv(kv.first_seen_order(kv_rows)).filter("doc_id = 'dup_key'").collect()
     assert {g.key: len(g.entries) for g in groups} == {"Date": 3, "City": 1}
-    # Runs of one page each: same pairs, one row per run.
-    parts = kv.kv_payload(kv.first_seen_order(kv_rows), pages_per_part=1)
-    assert sum(len(json.loads(r.payload)) for r in parts.collect()) == kv_rows.count()
+    assert payload.count() == kv_rows.select("doc_id").distinct().count() + 1
 
 
 def test_id_report_drops_empty_keys(corpus):
@@ -251,9 +249,14 @@ def test_job_gate(spark):
         page("ok", [], 0, "IN_PROGRESS"), page("ok", [word("a", "x")], 1),
         page("bad", [], 0, "FAILED", "broken file"), page("bad2", [], 0, "FAILED"),
         page("wait", [], 0, "IN_PROGRESS"),
+        page("retried", [], 0, "FAILED", "first"), page("retried", [], 1, "SUCCEEDED", job="j2"),
+        page("retried", [], 2, None, job="j2"), page("retried", [], 3, "IN_PROGRESS", job="j3"),
+        page("twice", [], 0, "SUCCEEDED"), page("twice", [], 1, "SUCCEEDED", job="j2"),
     ]
     ready, blocked, rejects = gate_jobs(frame(spark, pages))
-    assert [r.doc_id for r in ready.collect()] == ["ok"]
+    assert sorted((r.doc_id, r.page_seq) for r in ready.collect()) == [
+        ("ok", 0), ("ok", 1), ("retried", 1), ("retried", 2), ("twice", 1)
+    ]
     assert {r.doc_id for r in blocked.collect()} == {"bad", "bad2", "wait"}
     assert {(r.doc_id, r.detail) for r in rejects.collect()} == {
         ("bad", "broken file"), ("bad2", "Unknown error")

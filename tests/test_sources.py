@@ -110,9 +110,20 @@ def test_enrichment(spark):
     out = {r.doc_id: r for r in enrich_with_model(df, "p", factory).collect()}
     assert json.loads(out["1"].body)["content"][0]["text"] == "one 0.1"
     assert out["2"].body is None and out["2"].error == "ValueError: no"
-    done = df.filter("doc_id = '1'").select(F.sha2("p", 256).alias("prompt_sha"))
-    left = enrich_with_model(df, "p", factory, done)
-    assert {r.doc_id for r in left.collect()} == {"2", "3"}
+
+
+def test_resume(spark):
+    sha = F.sha2("p", 256).alias("prompt_sha")
+    ddl = "doc_id string, p string"
+    df = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", "new"), ("4", "failed")], ddl)
+    done = spark.createDataFrame(
+        [("1", "a", "saved"), ("9", "a", "saved"), ("3", "old", "stale"), ("x", "foreign", "leak"),
+         ("4", "failed", None)],
+        f"{ddl}, body string",
+    ).select("doc_id", sha, "body")
+    asked = enrich_with_model(df, "p", lambda options: lambda prompt: f"asked {prompt}", done)
+    got = sorted((r.doc_id, r.body) for r in asked.collect())
+    assert got == [("1", "saved"), ("2", "saved"), ("3", "asked new"), ("4", "asked failed")]
 
 
 def test_structure_forms(spark):
@@ -153,6 +164,9 @@ def test_process_cases(spark):
         [licence("c1", "d1", blocks), licence("c3", "d3", [])],
         f"case_id string, doc_id string, page_seq bigint, blocks array<{types.BLOCK}>",
     )
+    licences = licences.unionByName(
+        spark.createDataFrame([licence("c2", d, blocks) for d in ("d2", "d2b")], licences.schema)
+    )
     cases = spark.createDataFrame([(c,) for c in ("c1", "c2", "c3", "c4")], "case_id string")
 
     def factory(options):
@@ -169,13 +183,14 @@ def test_process_cases(spark):
     assert [(r.case_id, r.record.vehicle.type, r.record.driver.name) for r in rec] == [
         ("c1", "Car", "Ann")
     ]
-    assert out.rejects.count() == 0
-    assert {r.case_id for r in out.unstructured.collect()} == {"c2", "c3", "c4"}
+    assert [(r.case_id, r.reason, r.detail) for r in out.rejects.collect()] == [
+        ("c2", "ambiguous_case", "2 licences")
+    ]
+    assert {r.case_id for r in out.unstructured.collect()} == {"c3", "c4"}
     texts = {(r.case_id, r.text) for r in out.vehicle_report.collect() if r.text}
     assert texts == {("c3", "No vehicle image uploaded"), ("c4", "No vehicle image uploaded")}
     texts = {(r.case_id, r.text) for r in out.licence_report.collect() if r.text}
-    assert texts == {("c2", "No license image uploaded"), ("c3", "No data extracted"),
-                     ("c4", "No license image uploaded")}
+    assert texts == {("c3", "No data extracted"), ("c4", "No license image uploaded")}
 
 
 def test_cases_never_multiply(spark):
