@@ -26,6 +26,8 @@ SHARE = 1.5
 MAX_PASSES = 2
 BLOCKS = 1024
 SHARDS = 16
+#: Keys of 60 bits fall into 4,096 cells; only one cell of a block is ever sorted by key.
+CELL_BITS = 48
 #: Plans up to this many rows (under 100 bytes each) are sent to all tasks; larger ones are joined.
 BROADCAST_ROWS = 50_000
 
@@ -128,27 +130,59 @@ def draw_blocks(sizes: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> D
         .withColumn("from", F.col("end") - F.col("block_size"))
     )
     cut_here = (F.col("from") < F.col("rest")) & (F.col("rest") < F.col("end"))
-    # The documents of the cut blocks, one block a source, added up by key.
-    inside = (
-        keyed.select("source", "block", "block_key", "size")
-        .join(
+    # The cut block of each source, narrowed down to the cell of keys in which the rest is reached.
+    celled = keyed.select(
+        "source", "block", "block_key", "size", F.shiftright("block_key", CELL_BITS).alias("cell")
+    )
+    cells = (
+        celled.join(
             whole.filter(cut_here).select(
                 F.col("source").alias("_source"), F.col("block").alias("_block"), "from", "rest"
             ),
             F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")),
         )
+        .groupBy("source", "block", "cell")
+        .agg(
+            F.sum("size").alias("cell_size"), F.max("block_key").alias("highest"),
+            F.max("from").alias("from"), F.max("rest").alias("rest"),
+        )
+    )
+    by_cell = Window.partitionBy("source", "block").orderBy("cell")
+    crossed = (
+        cells.withColumn("cell_end", F.col("from") + F.sum("cell_size").over(by_cell))
+        .withColumn("cell_from", F.col("cell_end") - F.col("cell_size"))
+        .withColumn("below", F.max("highest").over(by_cell.rowsBetween(Window.unboundedPreceding, -1)))
+        .filter("cell_from <= rest and rest < cell_end")
+        .select(
+            F.col("source").alias("_source"), F.col("block").alias("_block"),
+            F.col("cell").alias("_cell"), "cell_from", "rest", "below",
+        )
+    )
+    inside = (
+        celled.join(
+            crossed,
+            F.col("source").eqNullSafe(F.col("_source"))
+            & (F.col("block") == F.col("_block"))
+            & (F.col("cell") == F.col("_cell")),
+        )
         .groupBy("source", "block", "block_key")
-        .agg(F.sum("size").alias("size"), F.max("from").alias("from"), F.max("rest").alias("rest"))
+        .agg(
+            F.sum("size").alias("size"), F.max("cell_from").alias("cell_from"),
+            F.max("rest").alias("rest"), F.max("below").alias("below"),
+        )
     )
-    in_block = Window.partitionBy("source", "block").orderBy("block_key")
-    middle = F.col("from") + F.sum("size").over(in_block) - F.col("size") / 2
+    in_cell = Window.partitionBy("source", "block").orderBy("block_key")
+    middle = F.col("cell_from") + F.sum("size").over(in_cell) - F.col("size") / 2
     cuts = (
         inside.withColumn("taken", middle <= F.col("rest"))
         .groupBy("source", "block")
-        .agg(F.max(F.when(F.col("taken"), F.col("block_key"))).alias("cut"))
+        .agg(
+            F.max(F.when(F.col("taken"), F.col("block_key"))).alias("cut"),
+            F.max("below").alias("below"),
+        )
         .select(
             F.col("source").alias("_source"), F.col("block").alias("_block"),
-            F.coalesce("cut", F.lit(-1).cast("bigint")).alias("cut"),
+            F.coalesce("cut", "below", F.lit(-1).cast("bigint")).alias("cut"),
         )
     )
     with_cuts = whole.join(
