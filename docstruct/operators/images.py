@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import images as fi
 from ..functions.text import pct
+from ..sources.sinks import reject_rows
 
 
 def join_feeds(
@@ -13,13 +14,31 @@ def join_feeds(
 ) -> DataFrame:
     """Three feeds of the same images, one row each.
 
-    An image with a feed missing is left out, as its analysis failed; ``partial`` keeps
-    what is there.
+    An image with a feed missing is left out, as its analysis failed (see ``feed_rejects``);
+    ``partial`` keeps what is there.
     """
     how = "full_outer" if partial else "inner"
     return labels.join(text, "image_id", how).join(faces, "image_id", how)
 
 
+def feed_rejects(labels: DataFrame, text: DataFrame, faces: DataFrame) -> DataFrame:
+    """A reject for every image that some feed lacks; the detail names these feeds."""
+    feeds = {"labels": labels, "text": text, "faces": faces}
+    seen = None
+    for name, feed in feeds.items():
+        one = feed.select("image_id", F.lit(name).alias("feed"))
+        seen = one if seen is None else seen.unionByName(one)
+    missing = F.array_except(
+        F.array(*map(F.lit, feeds)), F.when(F.col("image_id").isNotNull(), F.collect_set("feed"))
+        .otherwise(F.array().cast("array<string>")),
+    )
+    images = seen.groupBy("image_id").agg(F.array_join(missing, ", ").alias("missing"))
+    return reject_rows(
+        images.filter("missing != ''").select(F.col("image_id").alias("doc_id"), "missing"),
+        "feeds", "missing_feed", "missing",
+    )
+
+
 def image_results(
     records: DataFrame,
     threshold: float = fi.MIN_LABEL_CONFIDENCE,

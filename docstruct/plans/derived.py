@@ -432,6 +432,36 @@ def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON line of a page per order; some are torn, wrongly typed or blank."""
+    key = F.col("o_orderkey")
+    line = F.to_json(
+        F.struct(
+            F.concat(F.lit("O"), key.cast("string")).alias("doc_id"),
+            F.lit("j").alias("job_id"),
+            F.lit(0).cast("bigint").alias("page_seq"),
+            F.lit("SUCCEEDED").alias("job_status"),
+        )
+    )
+    torn = F.substring(line, 1, 5)
+    typed = F.replace(line, F.lit('"page_seq":0'), F.lit('"page_seq":"first"'))
+    value = (
+        F.when(key % 10 == 3, torn).when(key % 10 == 6, typed).when(key % 10 == 7, F.lit(" "))
+        .otherwise(line)
+    )
+    return table(spark, sf_dir, "orders").select(value.alias("value"))
+
+
+def image_feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three feeds of one image a customer; customers by turn lack some of them."""
+    images = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("I"), F.col("c_custkey").cast("string")).alias("image_id"), "c_custkey"
+    )
+    held = {"labels": F.col("c_custkey") % 5 != 1, "text": F.col("c_custkey") % 3 != 1,
+            "faces": F.col("c_custkey") % 7 != 1}
+    return tuple(images.filter(there).select("image_id") for there in held.values())
+
+
 def landed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File listings with a path and a modification time per event."""
     return table(spark, sf_dir, "events").select(

@@ -447,6 +447,31 @@ SELECT CAST(c_custkey AS VARCHAR) AS doc_id, sha256(prompt) AS prompt_sha,
        CASE WHEN c_nationkey % 5 IN (2, 3) THEN 'saved' ELSE 'new ' || length(prompt) END AS answer,
        CAST(NULL AS VARCHAR) AS error
 FROM (SELECT *, 'ask ' || c_mktsegment || ' ' || c_nationkey AS prompt FROM customer)
+""",
+    "page_rows": """
+SELECT 'O' || o_orderkey AS doc_id, 'j' AS job_id, 0::BIGINT AS page_seq, 'SUCCEEDED' AS job_status
+FROM orders WHERE o_orderkey % 10 NOT IN (3, 6, 7)
+""",
+    "page_rejects": """
+SELECT CASE WHEN o_orderkey % 10 = 6 THEN 'O' || o_orderkey END AS doc_id,
+       'landing' AS stage, 'torn_line' AS reason,
+       CASE WHEN o_orderkey % 10 = 3 THEN '{"doc' ELSE
+         '{"doc_id":"O' || o_orderkey
+         || '","job_id":"j","page_seq":"first","job_status":"SUCCEEDED"}' END AS detail
+FROM orders WHERE o_orderkey % 10 IN (3, 6)
+""",
+    "feed_rejects": """
+WITH missing AS (
+  SELECT 'I' || c_custkey AS doc_id, concat_ws(', ',
+           CASE WHEN c_custkey % 5 = 1 THEN 'labels' END,
+           CASE WHEN c_custkey % 3 = 1 THEN 'text' END,
+           CASE WHEN c_custkey % 7 = 1 THEN 'faces' END) AS detail
+  FROM customer WHERE NOT (c_custkey % 5 = 1 AND c_custkey % 3 = 1 AND c_custkey % 7 = 1))
+SELECT doc_id, 'feeds' AS stage, 'missing_feed' AS reason, detail FROM missing WHERE detail <> ''
+""",
+    "image_feeds": """
+SELECT 'I' || c_custkey AS image_id FROM customer
+WHERE c_custkey % 5 <> 1 AND c_custkey % 3 <> 1 AND c_custkey % 7 <> 1
 """,
     "landing_keys": """
 SELECT '/in/u' || user_id || '/doc_' || event_id || '.pdf' AS path,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import types
 from ..functions import images as fi
 from ..functions.json import record_json
 from ..functions.text import pct, strip_fences
@@ -25,8 +26,10 @@ from ..operators.enrich import enrich_with_model, text_body
 from ..operators.flatten import flatten_json
 from ..operators.images import (
     display_report,
+    feed_rejects,
     image_report,
     image_results,
+    join_feeds,
     number_faces,
     top_label_rows,
 )
@@ -41,7 +44,12 @@ from ..operators.kv import (
 )
 from ..operators.report import IMAGE_ERROR, NO_LICENCE, NO_VEHICLE, status_rows
 from ..schemas import FORM
-from ..sources.readers import stream_image_results, with_answer_text
+from ..sources.readers import (
+    parse_lines,
+    stream_image_results,
+    torn_lines,
+    with_answer_text,
+)
 from ..sources.sinks import with_landing_key
 from ..sources.staging import shared_dir, stage
 from ..streaming.ingest import ingest_forms, stream_images, write_stream
@@ -360,6 +368,23 @@ def model_enrich_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_answer_text(answered).select("doc_id", "prompt_sha", "answer", "error")
 
 
+def page_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return torn_lines(derived.page_lines(spark, sf_dir), types.FORM_PAGE)
+
+
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parse_lines(derived.page_lines(spark, sf_dir), types.FORM_PAGE)
+    return rows.select("doc_id", "job_id", "page_seq", "job_status")
+
+
+def image_feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed_rejects(*derived.image_feeds(spark, sf_dir))
+
+
+def whole_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_feeds(*derived.image_feeds(spark, sf_dir))
+
+
 def landing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed = with_landing_key(derived.landed_events(spark, sf_dir))
     return landed.select("path", "landing_key")
@@ -421,6 +446,10 @@ QUERIES: dict[str, Query] = {
     "model_enrich_stub": model_enrich_stub,
     "model_enrich_resume": model_enrich_resume,
     "landing_keys": landing_keys,
+    "page_rows": page_rows,
+    "page_rejects": page_rejects,
+    "feed_rejects": image_feed_rejects,
+    "image_feeds": whole_images,
     "form_kv_stream": form_kv_stream,
     "image_report_stream": image_report_stream,
 }

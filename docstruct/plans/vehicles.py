@@ -11,8 +11,15 @@ from ..functions.json import payload_json
 from ..operators.answers import build_prompt, parse_answers, structure_records
 from ..operators.cases import ambiguous_rejects, pair_cases, single_inputs
 from ..operators.enrich import enrich_with_model
-from ..operators.images import image_report, image_results, join_feeds
-from ..operators.report import NO_LICENCE, NO_STRUCTURED, NO_VEHICLE, with_status
+from ..operators.images import feed_rejects, image_report, image_results, join_feeds
+from ..operators.report import (
+    IMAGE_ERROR,
+    LICENCE_ERROR,
+    NO_LICENCE,
+    NO_STRUCTURED,
+    NO_VEHICLE,
+    with_status,
+)
 from ..schemas import VEHICLE
 from ..sources.readers import with_answer_text
 from ..sources.staging import stage
@@ -20,12 +27,32 @@ from .documents import extract_ids, id_payload, id_report
 from .prompts import VEHICLE_TEMPLATE
 
 
+class Images(NamedTuple):
+    results: DataFrame
+    report: DataFrame
+    rejects: DataFrame
+
+
 def analyze_images(
-    labels: DataFrame, text: DataFrame, faces: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Results and report rows of images whose three feeds have landed."""
-    results = image_results(join_feeds(labels, text, faces))
-    return results, image_report(results)
+    labels: DataFrame, text: DataFrame, faces: DataFrame, partial: bool = False
+) -> Images:
+    """Results and report rows of images whose three feeds have landed, and rejects of the others.
+
+    With ``partial`` an image counts with the feeds it has; its reject still names the others.
+    """
+    results = image_results(join_feeds(labels, text, faces, partial))
+    return Images(results, image_report(results), feed_rejects(labels, text, faces))
+
+
+def landed_inputs(inputs: DataFrame, step: str) -> tuple[DataFrame, DataFrame]:
+    """Inputs without an ``error``, and ``case_id, error`` of all; ``step`` leads error texts.
+
+    The column ``error`` is optional: the message of the service that failed on an input.
+    """
+    if "error" not in inputs.columns:
+        return inputs, inputs.select("case_id", F.lit(None).cast("string").alias("error"))
+    told = F.concat(F.lit(step), F.col("error")).alias("error")
+    return inputs.filter(F.col("error").isNull()).drop("error"), inputs.select("case_id", told)
 
 
 def vehicle_json() -> Column:
@@ -80,8 +107,11 @@ def process_cases(
     ``cases`` lists the ``case_id`` expected, ``images`` are landed image records and
     ``licences`` licence results. The model is asked only about complete cases. Its
     responses are staged, so no prompt is sent twice; ``done`` holds ``prompt_sha, body`` of an
-    earlier run. Cases with several images or licences are rejected as ambiguous.
+    earlier run. Cases with several images or licences are rejected as ambiguous. ``images`` and
+    ``licences`` may have a column ``error``: such inputs give their text as status, and no result.
     """
+    images, seen_images = landed_inputs(images, IMAGE_ERROR)
+    licences, seen_licences = landed_inputs(licences, LICENCE_ERROR)
     results = image_results(images)
     pairs = stage(extract_ids(licences), "licence-pairs")
     owners = licences.select("case_id", "doc_id").distinct()
@@ -98,7 +128,7 @@ def process_cases(
     return Cases(
         records,
         rejects.unionByName(crowded),
-        with_status(cases, images.select("case_id"), image_report(results), NO_VEHICLE),
-        with_status(cases, licences.select("case_id"), shown, NO_LICENCE),
+        with_status(cases, seen_images, image_report(results), NO_VEHICLE),
+        with_status(cases, seen_licences, shown, NO_LICENCE),
         missing.withColumn("text", F.lit(NO_STRUCTURED)),
     )

@@ -1,4 +1,9 @@
-"""Readers with explicit schemas. JSON-lines by default, Parquet with ``fmt="parquet"``."""
+"""Readers with explicit schemas. JSON-lines by default, Parquet with ``fmt="parquet"``.
+
+A JSON line that is torn or does not fit its schema is no row of a reader; ``read_rejects`` gives
+these lines as rejects. Files are read as text and every line is parsed whole, so that what counts as
+torn does not depend on the columns a query needs.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +13,50 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .. import types
+from .sinks import reject_rows
 
 FORM_EXTENSIONS = ("pdf",)
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg")
 
 
+_TORN = "_torn_line"
+
+
+def _parse(lines: DataFrame, ddl: str) -> DataFrame:
+    """Fields of the JSON lines in ``value``, and the line itself where it could not be read."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _TORN}
+    parsed = F.from_json("value", f"{ddl}, {_TORN} string", options)
+    # Inlined, or Catalyst would push filters below the parse and parse twice.
+    return lines.filter(~F.col("value").rlike(r"^\s*$")).select(F.inline(F.array(parsed)))
+
+
+def parse_lines(lines: DataFrame, ddl: str) -> DataFrame:
+    """Rows of the JSON lines in column ``value``; null, blank and torn lines give none."""
+    return _parse(lines, ddl).filter(F.col(_TORN).isNull()).drop(_TORN)
+
+
+def torn_lines(lines: DataFrame, ddl: str, key: str = "doc_id") -> DataFrame:
+    """A reject for every line that ``parse_lines`` leaves out; its text is the detail.
+
+    ``doc_id`` is the ``key`` of the line where that could still be read, else null.
+    """
+    torn = _parse(lines, ddl).filter(F.col(_TORN).isNotNull())
+    return reject_rows(
+        torn.select(F.col(key).alias("doc_id"), _TORN), "landing", "torn_line", _TORN
+    )
+
+
 def _read(spark: SparkSession, path: str, ddl: str, fmt: str) -> DataFrame:
+    if fmt == "json":
+        return parse_lines(spark.read.text(path), ddl)
     return spark.read.schema(ddl).format(fmt).load(path)
 
 
+def read_rejects(spark: SparkSession, path: str, ddl: str, key: str = "doc_id") -> DataFrame:
+    """Rejects of the torn lines under ``path``; ``ddl`` is the schema of ``types`` it is read with."""
+    return torn_lines(spark.read.text(path), ddl, key)
+
+
 def read_form_pages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Result pages of form jobs; ``page_seq`` is the order they were handed out in."""
     return _read(spark, path, types.FORM_PAGE, fmt)

@@ -9,7 +9,7 @@ from docstruct.operators.enrich import enrich_with_model, text_body
 from docstruct.operators.images import image_report, image_results
 from docstruct.plans.answers import structure_forms
 from docstruct.plans.documents import extract_forms, form_outputs
-from docstruct.plans.vehicles import process_cases
+from docstruct.plans.vehicles import analyze_images, landed_inputs, process_cases
 from docstruct.sources import readers
 from docstruct.sources.sinks import (
     IMAGE_PREFIX,
@@ -60,6 +60,45 @@ def test_json_readers(spark, tmp_path):
     assert both.count() == 2 * len(CASES)
 
 
+def test_torn_lines(spark, tmp_path):
+    good = [page(n, b) for n, b in CASES.items()]
+    folder = tmp_path / "torn"
+    folder.mkdir()
+    whole = [json.dumps(p) for p in good]
+    bad = [whole[0][:-9], "junk", '{"doc_id": "d", "page_seq": "one"}']
+    (folder / "part.json").write_text("\n".join([*whole, "", *bad, "  "]))
+    got = readers.read_form_pages(spark, str(folder))
+    assert got.count() == len(good) and got.columns == frame(spark, good).columns
+    rejects = readers.read_rejects(spark, str(folder), types.FORM_PAGE).collect()
+    assert sorted(r.detail for r in rejects) == sorted(bad)
+    assert {(r.stage, r.reason) for r in rejects} == {("landing", "torn_line")}
+    assert "d" in {r.doc_id for r in rejects}
+
+
+def test_images_with_feeds_missing(spark, tmp_path):
+    path = {k: lines(tmp_path / k, rows) for k, rows in {
+        "labels": [IMAGE, dict(IMAGE, image_id="i2")], "text": [IMAGE, dict(IMAGE, image_id="i3")],
+        "faces": [IMAGE, dict(IMAGE, image_id="i2")]}.items()}
+    feeds = [readers.read_image_results(spark, path[k], k) for k in ("labels", "text", "faces")]
+    out = analyze_images(*feeds)
+    assert [r.image_id for r in out.results.collect()] == ["i1"]
+    assert sorted((r.doc_id, r.detail) for r in out.rejects.collect()) == [
+        ("i2", "text"), ("i3", "labels, faces")
+    ]
+    assert analyze_images(*feeds, partial=True).results.count() == 3
+
+
+def test_errors_of_inputs_are_told(spark):
+    df = spark.createDataFrame(
+        [("c1", None), ("c2", "timeout")], "case_id string, error string"
+    )
+    good, seen = landed_inputs(df, "step: ")
+    assert [tuple(r) for r in good.collect()] == [("c1",)]
+    assert sorted(map(tuple, seen.collect())) == [("c1", None), ("c2", "step: timeout")]
+    _, seen = landed_inputs(df.drop("error"), "step: ")
+    assert {r.error for r in seen.collect()} == {None}
+
+
 def test_landed_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name in ("a.pdf", "sub/b.PDF", "c.png", "d.JPEG", "e.txt"):
@@ -167,7 +206,12 @@ def test_process_cases(spark):
     licences = licences.unionByName(
         spark.createDataFrame([licence("c2", d, blocks) for d in ("d2", "d2b")], licences.schema)
     )
-    cases = spark.createDataFrame([(c,) for c in ("c1", "c2", "c3", "c4")], "case_id string")
+    failed = spark.createDataFrame([("c5", "timeout")], "case_id string, error string")
+    images = images.unionByName(failed, allowMissingColumns=True)
+    licences = licences.unionByName(failed.withColumn("doc_id", F.lit("d5")), allowMissingColumns=True)
+    cases = spark.createDataFrame(
+        [(c,) for c in ("c1", "c2", "c3", "c4", "c5")], "case_id string"
+    )
 
     def factory(options):
         def call(prompt):
@@ -186,11 +230,13 @@ def test_process_cases(spark):
     assert [(r.case_id, r.reason, r.detail) for r in out.rejects.collect()] == [
         ("c2", "ambiguous_case", "2 licences")
     ]
-    assert {r.case_id for r in out.unstructured.collect()} == {"c3", "c4"}
+    assert {r.case_id for r in out.unstructured.collect()} == {"c3", "c4", "c5"}
     texts = {(r.case_id, r.text) for r in out.vehicle_report.collect() if r.text}
-    assert texts == {("c3", "No vehicle image uploaded"), ("c4", "No vehicle image uploaded")}
+    assert texts == {("c3", "No vehicle image uploaded"), ("c4", "No vehicle image uploaded"),
+                     ("c5", "Rekognition analysis error: timeout")}
     texts = {(r.case_id, r.text) for r in out.licence_report.collect() if r.text}
-    assert texts == {("c3", "No data extracted"), ("c4", "No license image uploaded")}
+    assert texts == {("c3", "No data extracted"), ("c4", "No license image uploaded"),
+                     ("c5", "Textract analysis error: timeout")}
 
 
 def test_cases_never_multiply(spark):
