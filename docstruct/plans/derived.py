@@ -452,6 +452,16 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(value.alias("value"))
 
 
+def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as they stand on a form; some are no calendar date."""
+    key = F.col("o_orderkey")
+    text = (
+        F.when(key % 10 == 3, F.lit("02/30/2024")).when(key % 10 == 6, F.lit("soon"))
+        .otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("written"))
+
+
 def image_feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three feeds of one image a customer; customers by turn lack some of them."""
     images = table(spark, sf_dir, "customer").select(

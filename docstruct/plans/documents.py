@@ -25,6 +25,8 @@ from ..sources.staging import stage_at
 class Extracted(NamedTuple):
     kv: DataFrame
     rejects: DataFrame
+    #: ``doc_id`` of every document that passed, with pairs or without.
+    docs: DataFrame
 
 
 def extract_forms(
@@ -49,14 +51,16 @@ def extract_forms(
     keep_out = rejects.select("doc_id").union(blocked).distinct()
     hot = hot_keys(pairs.select(key_hash("doc_id").alias("hash")), min_hot_rows)
     kv = spread_join(pairs, keep_out, ["doc_id"], "left_anti", ["page_seq", "pos"], hot)
-    return Extracted(kv.select(PAIR_COLUMNS), rejects)
+    docs = ready.select("doc_id").distinct().join(keep_out, "doc_id", "left_anti")
+    return Extracted(kv.select(PAIR_COLUMNS), rejects, docs)
 
 
 def form_outputs(kv: DataFrame, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Payload per document and display table of stored form pairs.
 
-    ``docs`` (``doc_id``) lists the documents that passed; without it only documents with
-    pairs have a payload.
+    ``docs`` (``doc_id``, see ``Extracted.docs``) lists the documents that passed: one without
+    pairs then has an empty payload and is still asked about. Without it only documents with pairs
+    have a payload.
     """
     return kv_payload(first_seen_order(kv), docs), kv_report(kv)
 

@@ -451,6 +451,16 @@ FROM (SELECT *, 'ask ' || c_mktsegment || ' ' || c_nationkey AS prompt FROM cust
     "page_rows": """
 SELECT 'O' || o_orderkey AS doc_id, 'j' AS job_id, 0::BIGINT AS page_seq, 'SUCCEEDED' AS job_status
 FROM orders WHERE o_orderkey % 10 NOT IN (3, 6, 7)
+""",
+    "page_landings": """
+SELECT 'O' || o_orderkey AS doc_id, 'j' AS job_id, page_seq, 'SUCCEEDED' AS job_status
+FROM orders, (VALUES (0::BIGINT), (1::BIGINT)) AS landings(page_seq)
+WHERE o_orderkey % 10 NOT IN (3, 6, 7)
+""",
+    "form_dates": """
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 10 NOT IN (3, 6) THEN CAST(o_orderdate AS DATE) END AS date
+FROM orders
 """,
     "page_rejects": """
 SELECT CASE WHEN o_orderkey % 10 = 6 THEN 'O' || o_orderkey END AS doc_id,

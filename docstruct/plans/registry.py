@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import types
 from ..functions import images as fi
 from ..functions.json import record_json
-from ..functions.text import pct, strip_fences
+from ..functions.text import as_date, pct, strip_fences
 from ..operators.answers import (
     attach_records,
     build_prompt,
@@ -45,6 +45,7 @@ from ..operators.kv import (
 from ..operators.report import IMAGE_ERROR, NO_LICENCE, NO_VEHICLE, status_rows
 from ..schemas import FORM
 from ..sources.readers import (
+    append_pages,
     parse_lines,
     stream_image_results,
     torn_lines,
@@ -377,6 +378,16 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "job_id", "page_seq", "job_status")
 
 
+def page_landings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = page_rows(spark, sf_dir)
+    return append_pages(first, first.withColumn("page_seq", F.col("page_seq") + 1))
+
+
+def form_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dates = derived.order_dates(spark, sf_dir)
+    return dates.select("o_orderkey", as_date(F.col("written")).alias("date"))
+
+
 def image_feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed_rejects(*derived.image_feeds(spark, sf_dir))
 
@@ -448,6 +459,8 @@ QUERIES: dict[str, Query] = {
     "landing_keys": landing_keys,
     "page_rows": page_rows,
     "page_rejects": page_rejects,
+    "page_landings": page_landings,
+    "form_dates": form_dates,
     "feed_rejects": image_feed_rejects,
     "image_feeds": whole_images,
     "form_kv_stream": form_kv_stream,

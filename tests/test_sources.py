@@ -165,6 +165,17 @@ def test_resume(spark):
     assert got == [("1", "saved"), ("2", "saved"), ("3", "asked new"), ("4", "asked failed")]
 
 
+def test_documents_without_pairs_have_a_payload(spark):
+    pages = [page(n, b) for n, b in CASES.items()] + [page("bad", [], 0, "FAILED", "x")]
+    found = extract_forms(frame(spark, [*pages, page("plain", [word("w", "text")])]))
+    rejected = {r.doc_id for r in found.rejects.collect()}
+    docs = [r.doc_id for r in found.docs.collect()]
+    assert sorted(docs) == sorted({*CASES, "plain"} - rejected) and "bad" in rejected
+    payloads, _ = form_outputs(found.kv, found.docs)
+    got = {r.doc_id: r.payload for r in payloads.collect()}
+    assert sorted(got) == sorted(docs) and got["plain"] == "[]"
+
+
 def test_structure_forms(spark):
     found = extract_forms(frame(spark, [page(n, b) for n, b in CASES.items()]))
     payloads, _ = form_outputs(found.kv)
