@@ -14,6 +14,7 @@ import heapq
 import itertools
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -66,9 +67,14 @@ def _lower(text: str) -> str:
 
 
 def _stem(word: str) -> tuple[str, str]:
-    """A part of text as two that have the same ids: marks after a letter are tokens of their own."""
+    """A part of text as two that have the same ids: marks after a letter are tokens of their own.
+
+    Some letters end in a combining mark once composed forms and case are normalised, and that would
+    join what follows.
+    """
     stem = word.rstrip(".,;:!?")
-    return (stem, word[len(stem) :]) if stem and stem[-1].isalpha() else (word, "")
+    last = unicodedata.normalize("NFC", stem[-1:]).lower()[-1:]
+    return (stem, word[len(stem) :]) if last.isalpha() else (word, "")
 
 
 def token_bytes(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:

@@ -257,6 +257,7 @@ def test_tokens_are_the_tokenizers():
     plain = Tokenizer.from_file(tokenizer_path())
     texts = [
         "It's  a\ttest, isn't it?\x0bfoo bar", "<|endoftext|>x <|ENDOFTEXT|>.", "İSTANBUL ΣΑΣ. é, É!! é",
+        "İ. -İ.!", "\ufb1d. \u0958, \u1fb3; ǰ!",
         "", None, " \n ", "a.b.c... 3,14 x\x1cy", "日本語。 ok", "don't. 'll", " z",
     ]
     for t, raw in zip(texts, packing.token_bytes(texts, tokenizer_path())):
