@@ -73,7 +73,9 @@ def _stem(word: str) -> tuple[str, str]:
     join what follows.
     """
     stem = word.rstrip(".,;:!?")
-    last = unicodedata.normalize("NFC", stem[-1:]).lower()[-1:]
+    last = stem[-1:]
+    if last >= "\u0130":
+        last = unicodedata.normalize("NFC", last).lower()[-1:]
     return (stem, word[len(stem) :]) if last.isalpha() else (word, "")
 
 
