@@ -332,14 +332,15 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
-def classes(marked: DataFrame, key: str = "doc_id") -> DataFrame:
+def classes(marked: DataFrame, key: str = "doc_id", links: DataFrame | None = None) -> DataFrame:
     """``fp, root, component_id``: a row for each different fingerprint of ``key, fp`` rows.
 
+    ``links`` connects fingerprints; without it, those within the radius are connected.
     ``component_id`` is the smallest key among all documents it is connected with; null keys are
     left out of that, and a component of null keys only has a null id.
     """
     fps = stage(marked.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
-    roots = components(near_links(fps.select("fp")))
+    roots = components(near_links(fps.select("fp")) if links is None else links)
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
@@ -375,7 +376,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> Da
         docs[text_col].alias("text"),
     )
     marked = stage(with_fingerprints(row, "text").drop("text"), "simhash-rows")
-    known = classes(marked.select("key", "fp"), "key").select("fp", "root", "component_id")
+    return representatives(marked, classes(marked.select("key", "fp"), "key"))
+
+
+def representatives(marked: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows inside ``row, key, fp`` rows that represent their class in ``known``, see ``keep_one``."""
     first = marked.join(known, "fp").filter(F.col("key").eqNullSafe(F.col("component_id")))
     several = (
         first.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")

@@ -1,0 +1,94 @@
+"""Near duplicates of the pipeline against all pairs in plain Python."""
+
+import random
+
+import corpus_pipeline
+import pytest
+from docstruct.llm import near, simhash
+
+from .helpers import clash, docs
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(s, t):
+    return 5 * len(s & t) >= 4 * len(s | t)
+
+
+def slow_classes(rows):
+    sets = {d: shingles(t) for d, t in rows}
+    group = {d: d for d in sets}
+    for d in sets:
+        for e in sets:
+            if d < e and group[d] != group[e] and alike(sets[d], sets[e]):
+                a, b = sorted((group[d], group[e]))
+                group = {k: a if v == b else v for k, v in group.items()}
+    return set(group.values())
+
+
+def copies(rng, n):
+    """Texts with copies around the threshold, copies of copies, and a passage that many share."""
+    words = [f"w{i}" for i in range(500)]
+    passage = [rng.choice(words) for _ in range(40)]
+    out = []
+    while len(out) < n:
+        text = [rng.choice(words) for _ in range(rng.choice([3, 6, 12, 30, 60, 200]))]
+        if rng.random() < 0.4:
+            text = passage + text
+        out.append(text)
+        for _ in range(rng.randint(0, 4)):
+            text = list(text)
+            for _ in range(rng.randint(1, 1 + len(text) // 40)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            out.append(text + rng.choice([[], ["end"]]))
+    return [(i, " ".join(t)) for i, t in enumerate(out[:n])]
+
+
+def test_stage_drops_copies_that_simhash_misses(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(20):
+        text = [f"w{rng.randrange(900)}" for _ in range(60)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[3:]))]
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs(spark, rows), "").collect()}
+    assert kept == slow_classes(rows) == set(range(0, 40, 2))
+
+
+@pytest.mark.parametrize("most", [0, 5, near.FREQUENT])
+def test_classes_by_all_pairs(spark, most, monkeypatch):
+    monkeypatch.setattr(near, "FREQUENT", most)
+    rows = copies(random.Random(8), 350)
+    want = slow_classes(rows)
+    assert 100 < len(want) < 300
+    assert {r.doc_id for r in near.keep_one(docs(spark, rows)).collect()} == want
+
+
+def test_many_copies_of_one_text(spark):
+    rng = random.Random(5)
+    text = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(text))]
+    for i in range(1, 400):
+        own = list(text)
+        own[rng.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    assert [r.doc_id for r in near.keep_one(docs(spark, rows)).collect()] == [0]
+
+
+def test_odd_texts(spark):
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(9, text), (4, text.upper()), (4, text.upper()), (5, None), (6, ""), (7, " \n"), (8, "one two"), (None, "a b c")]
+    table = clash(docs(spark, rows), "fp", "key", "row", "root", "component_id", "mark")
+    kept = near.keep_one(table)
+    assert kept.columns == table.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "5", "8", "None"]
+    assert near.keep_one(table.limit(0)).count() == 0
+
+
+def test_prefix_meets_every_similar_set():
+    for n in range(1, 60):
+        assert near.prefix_size(n) == n - -(-4 * n // 5) + 1
+    assert near.prefix_size(0) == 0
+    assert not simhash.shingle_hashes(b"").size
