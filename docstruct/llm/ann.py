@@ -4,7 +4,8 @@ A tree of k-means splits is grown on a bounded sample; its leaves divide the spa
 vector goes to the leaf that a greedy descent reaches. A query walks the tree best bin first: a
 priority queue holds the branches not taken by the distance of their centres, and leaves are
 visited in that order. How many leaves are visited is calibrated on the sample: it widens until
-the wanted recall is reached there. Queries then meet the vectors of their leaves, leaf by leaf and in
+the wanted recall is reached there. A query goes on until its leaves hold enough ids for a whole
+result. Queries then meet the vectors of their leaves, leaf by leaf and in
 blocks, with exact distances in double precision.
 
 Equal vectors are one point with the smallest of their ids, which is all a result can use.
@@ -59,11 +60,15 @@ class Tree:
                     todo.append((child, own))
         return out
 
-    def visit(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves in best-bin-first order."""
+    def visit(self, q: np.ndarray, leaves: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``leaves`` leaves in best-bin-first order, and more until they hold ``least`` ids.
+
+        ``held`` is the number of ids of each leaf.
+        """
         queue: list[tuple[float, int]] = [(0.0, 0)]
         found: list[int] = []
-        while queue and len(found) < leaves:
+        ids = 0
+        while queue and (len(found) < leaves or ids < least):
             _, node = heapq.heappop(queue)
             while self.leaf[node] < 0:
                 d = _distances(q[None], self.centres[node])[0]
@@ -73,6 +78,8 @@ class Tree:
                         heapq.heappush(queue, (float(d[i]), child))
                 node = self.children[node][best]
             found.append(self.leaf[node])
+            if held is not None:
+                ids += int(held[self.leaf[node]])
         return found
 
 
@@ -193,8 +200,8 @@ def nearest(
     """``query_id, rank, vec_id, score`` for the rows of ``vectors`` that ``is_query`` picks.
 
     ``is_query`` is a condition on the key column. Candidates are all other usable rows; a query has
-    as many rows as it has candidates in the leaves it visits, ``k`` at most. Ties go to the
-    smaller id. Unusable rows (see ``usable``) are neither queries nor candidates; without
+    ``k`` rows, or as many as there are candidates: it visits leaves until they hold ``k + 1`` ids.
+    Ties go to the smaller id. Unusable rows (see ``usable``) are neither queries nor candidates; without
     usable rows the result is empty. Vectors have one length; others than the sample's first one are
     left out. The sample is the ``sample`` points of smallest digest.
     """
@@ -221,16 +228,24 @@ def nearest(
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("x"))
             values = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            found = [tree.visit(q, visits) for q in values]
+            found = [tree.visit(q, visits, held, k + 1) for q in values]
             yield batch.append_column("leaves", pa.array(found, pa.list_(pa.int64())))
 
     indexed = stage(
         all_points.mapInArrow(leaves_of, "point long, x array<double>, ids array<bigint>, leaf long"),
         "leaves",
     )
-    fill = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    fill = indexed.groupBy("leaf").agg(
+        F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"), F.sum(F.size("ids")).alias("ids")
+    )
     # A row for each leaf of the tree, which the sample bounds.
-    fill = F.broadcast(fill)
+    full = fill.collect()
+    held = np.zeros(tree.leaves, np.int64)
+    for r in full:
+        held[r["leaf"]] = r["ids"]
+    fill = F.broadcast(
+        spark.createDataFrame([(r["leaf"], r["blocks"]) for r in full], "leaf long, blocks long")
+    )
     # Queries by point: equal queries search once.
     own = vectors.filter(is_query)
     query_rows = usable(own, key, vector).filter(F.size("x") == dim).distinct()

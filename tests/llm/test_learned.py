@@ -239,6 +239,18 @@ def test_neighbours(spark):
     assert [v for _, v in found[60]][:10] == list(range(40, 50))  # equal vectors: smaller ids
 
 
+def test_small_outlying_clusters(spark):
+    rng = np.random.default_rng(4)
+    x = [rng.normal(0, 0.1, (400, 4)) + 100 * rng.normal(size=4) for _ in range(8)]
+    x += [rng.normal(0, 0.01, (n, 4)) + 10_000 * (i + 1) * np.eye(4)[i % 4] for i, n in enumerate([1, 2, 3, 5, 1, 4])]
+    x = np.concatenate(x)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)
+    got = ann.nearest(table, F.col("vec_id") >= 3190).collect()
+    near = {q: {r.vec_id for r in got if r.query_id == q} for q in range(3190, len(x))}
+    assert all(len(v) == 10 for v in near.values())
+    assert near[3203] >= {3204, 3205} and near[3201] >= {3202}
+
+
 def test_few_vectors(spark):
     rows = [(0, [1.0, 2.0], 0), (100, [1.0, 3.0], 0), (7, [2.0, 2.0], 0)]
     table = spark.createDataFrame(rows, VECTORS)
