@@ -202,19 +202,19 @@ def nearest(
     ``is_query`` is a condition on the key column. Candidates are all other usable rows; a query has
     ``k`` rows, or as many as there are candidates: it visits leaves until they hold ``k + 1`` ids.
     Ties go to the smaller id. Unusable rows (see ``usable``) are neither queries nor candidates; without
-    usable rows the result is empty. Vectors have one length; others than the sample's first one are
-    left out. The sample is the ``sample`` points of smallest digest.
+    usable rows the result is empty. Vectors have one length, the most frequent one (the
+    shortest of several); others are left out. The sample is the ``sample`` points of smallest digest.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector)
-    all_points = stage(points(rows, k + 1), "points")
+    lengths = rows.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    dim = (lengths.orderBy(F.desc("n"), "dim").first() or {"dim": 0})["dim"]
+    all_points = stage(points(rows.filter(F.size("x") == dim), k + 1), "points")
     picked = all_points.orderBy(F.xxhash64("point", F.lit(5)), "point").limit(sample).select("x")
     data = [r["x"] for r in picked.collect()]
     if not data:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(data[0])
-    x = np.array([v for v in data if len(v) == dim])
-    all_points = all_points.filter(F.size("x") == dim)
+    x = np.array(data)
     tree = grow(x)
     visits = calibrate(tree, x, k, recall)
 

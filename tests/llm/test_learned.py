@@ -251,6 +251,14 @@ def test_small_outlying_clusters(spark):
     assert near[3203] >= {3204, 3205} and near[3201] >= {3202}
 
 
+def test_most_frequent_length(spark):
+    rows = [(i, [float(i + 1), 1.0], 0) for i in range(20)]
+    for stray in ([(100 + n, [1.0] * n, 0)] for n in range(3, 300)):
+        rows += stray
+    got = ann.nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 10 == 0).collect()
+    assert {r.query_id for r in got} == {0, 10} and len(got) == 20
+
+
 def test_few_vectors(spark):
     rows = [(0, [1.0, 2.0], 0), (100, [1.0, 3.0], 0), (7, [2.0, 2.0], 0)]
     table = spark.createDataFrame(rows, VECTORS)
