@@ -34,13 +34,17 @@ def hot_keys(
     """``hash, salts`` of the frequent values of the single column ``hash``.
 
     At most ``MAX_HOT`` rows: every key above about 0.1 % of all rows is tracked,
-    and there cannot be more than a thousand of those.
+    and there cannot be more than a thousand of those. No rows give no keys.
     """
     parts = hashes.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGES)))
     sketches = parts.groupBy("part").agg(
         F.expr(f"approx_top_k_accumulate(hash, {TRACKED})").alias("sketch")
     )
-    merged = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    # Grouped by a constant: an aggregate without keys also runs on partitions without rows, and the
+    # empty sketch it makes there cannot be merged.
+    merged = sketches.groupBy(F.lit(0).alias("one")).agg(
+        F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch")
+    )
     top = merged.select(F.expr(f"approx_top_k_estimate(sketch, {MAX_HOT})").alias("top"))
     return (
         top.select(F.explode("top").alias("t"))
