@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docstruct.llm import langid, mixing, near, packing, quality
+from docstruct.llm import langid, mixing, packing, quality, simhash
 from docstruct.llm.queries import language_model, quality_model, read, tokenizer_path
 from docstruct.sources.staging import stage
 
@@ -34,8 +34,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its shingles of five words."""
-    return near.keep_one(docs)
+    """One document of each group whose fingerprints link, with the shingles and radius of the operator."""
+    return simhash.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
