@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .chat import CONTROL, END, ESC, START, TURNS_PER_CHUNK  # noqa: F401
+from .fim import FIM_PERCENT, SEED as FIM_SEED, SPM_PERCENT
+from .importance import BUCKETS, MIN_WORDS, PERCENT, SEED as DRAW_SEED, UNIT
 from .licences import COPYRIGHT_LINE, EQUIVALENT, KNOWN, OTHER, RESERVED
 from .mixing import BLOCKS, MAX_PASSES, SHARE, WEIGHTS
 from .queries import PROBE, PROBE_ID, SHARDS
 from .sharding import SLOTS, fill_table
+from .topk import SCALE
 
 _W = r"[^\x20\x09-\x0D]+"
 
@@ -199,10 +202,101 @@ FROM (
 )
 """
 
+# CRC-32 byte by byte, with its table built from the polynomial; each different word once.
+OP11 = rf"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents
+),
+texts AS (
+  SELECT r, text FROM docs UNION ALL SELECT NULL, text FROM benchmark
+),
+words AS (
+  SELECT r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts
+),
+counted AS (SELECT r, w, count(*) AS c FROM words GROUP BY r, w),
+different AS (
+  SELECT w, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(w), 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % {BUCKETS} AS bucket
+  FROM (SELECT DISTINCT w FROM counted), tab
+),
+buckets AS (
+  SELECT bucket, coalesce(sum(c) FILTER (r IS NULL), 0) AS t, coalesce(sum(c) FILTER (r IS NOT NULL), 0) AS s
+  FROM counted JOIN different USING (w) GROUP BY bucket
+),
+gains AS (
+  SELECT bucket, floor({UNIT} * ln((t + 1)::DOUBLE * (sum(s) OVER () + {BUCKETS})::DOUBLE
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + {BUCKETS})::DOUBLE)))::BIGINT AS gain FROM buckets
+),
+weights AS (
+  SELECT r, sum(c)::BIGINT AS n, floor(sum(c * gain)::DOUBLE / sum(c)::DOUBLE)::BIGINT AS weight
+  FROM counted JOIN different USING (w) JOIN gains USING (bucket) WHERE r IS NOT NULL GROUP BY r
+),
+scored AS (
+  SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-{UNIT} * ln(-ln((('0x' || substr(sha256('{DRAW_SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+      + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (r)
+),
+placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank, {PERCENT} * count(*) OVER () // 100 AS take
+  FROM scored WHERE n_features >= {MIN_WORDS}
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= take THEN rank END AS rank
+FROM scored LEFT JOIN placed USING (r)
+"""
+
+OP12 = f"""
+WITH good AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
+OP13 = f"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+    list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(sha256('{FIM_SEED}:' || coalesce(doc_id::VARCHAR, '')), i, 8))::BIGINT) AS h
+  FROM documents
+),
+placed AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR h[3] % 100 >= {FIM_PERCENT} THEN 'plain' WHEN h[4] % 100 < {SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+),
+parts AS (
+  SELECT *, substring(text, 1, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1, n - b) AS s FROM placed
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
 ORACLES = {
     "op3_chat": OP3,
     "op6_mix": OP6,
     "op7_licences": OP7,
     "op8_host_rules": OP8,
     "op10_shards": OP10,
+    "op11_importance": OP11,
+    "op12_topk": OP12,
+    "op13_fim": OP13,
 }

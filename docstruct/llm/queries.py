@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.staging import stage
-from . import ann, chat, host_rules, langid, licences, mixing, packing, quality, sharding, simhash
+from . import (
+    ann, chat, fim, host_rules, importance, langid, licences, mixing, packing, quality, sharding, simhash, topk,
+)
 from .common import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +135,27 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, "doc_id", SHARDS)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = importance.learn(docs, read(spark, sf_dir, "benchmark"))
+    scored = importance.score_documents(docs, learned).drop("text")
+    return importance.draw(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fim.transform(docs)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -146,5 +169,8 @@ QUERIES: dict[str, Query] = {
         op8_host_rules,
         op9_packing,
         op10_shards,
+        op11_importance,
+        op12_topk,
+        op13_fim,
     )
 }
