@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and gives the columns of ``documents`` but for the last one.
 Its result is written and read back before the next stage.
+
+In all stages columns beside ``doc_id``, ``text``, ``lang`` and ``source`` are carried along whatever their
+names; they may be those that an operator gives its results. A null text counts as empty, texts of any length
+are read whole, an empty table gives an empty table. What a stage does with nulls, ties and repeated
+rows is said with it.
 """
 
 from __future__ import annotations
@@ -17,34 +22,53 @@ from docstruct.sources.staging import stage
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 MIN_QUALITY = 0.7
-#: A text whose words agree less than this on a language is rejected, as is one without letters.
-MIN_LANGUAGE = 0.3
+#: A text of which no language has half is rejected, as is one without letters.
+MIN_LANGUAGE = 0.5
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches ``MIN_QUALITY``."""
+    """Documents whose quality score reaches ``MIN_QUALITY``.
+
+    Empty texts have a score like any other; rows are judged one by one, so repeated rows stay or go
+    together. Without labels of both kinds every score is a share of labels, 0.5 for none.
+    """
     model = quality_model(docs, read(spark, sf_dir, "labels"))
     return docs.filter(quality.score(model, docs["text"]) >= MIN_QUALITY)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose words agree on a language."""
+    """Documents of which one language has half or more.
+
+    Null, empty and letterless texts have no language and go. Rows are judged one by one; a null ``lang``
+    only teaches nothing. Without any ``lang`` all documents go.
+    """
     model = language_model(docs)
     return docs.filter(langid.predict(model, docs["text"])["score"] >= MIN_LANGUAGE)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link, with the shingles and radius of the operator."""
+    """One document of each group whose fingerprints link, with the shingles and radius of the operator.
+
+    The smallest ``doc_id`` of a group stays, and one row of it if rows repeat it. Empty texts are one group;
+    a group of null ids keeps one row.
+    """
     return simhash.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them, shuffled inside their shards."""
+    """Documents as often as the mix draws them, shuffled inside their shards.
+
+    A null ``source`` is a source. Rows of one ``doc_id`` and source are drawn together, as often as each other.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and offset."""
+    """Pieces of documents with their sequence and offset.
+
+    An empty text is the end id alone; repeated rows, which the mix makes, are packed each by itself; ties in
+    length are placed by digest and key. The result has the columns of the packing query.
+    """
     return packing.pack(docs, tokenizer_path(), with_ids=False)
 
 

@@ -187,6 +187,19 @@ def points(rows: DataFrame, keep: int) -> DataFrame:
     return ranked.groupBy("point", "x").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def sampled(rows: DataFrame, size: int) -> DataFrame:
+    """The ``size`` rows of ``point, x, ids`` with the smallest digests, or all if there are fewer.
+
+    Every task of a sorted limit would send its own ``size`` rows. So digests above a limit that holds back about
+    ``size`` rows and four standard deviations more go first, and all tasks together send that many.
+    """
+    n = rows.count()
+    digest = F.xxhash64("point", F.lit(5))
+    want = size + 4 * size**0.5 + 16
+    near = rows.filter(digest < int(want / n * 2**64) - 2**63) if n > want else rows
+    return near.orderBy(digest, "point").limit(size)
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -210,8 +223,7 @@ def nearest(
     lengths = rows.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     dim = (lengths.orderBy(F.desc("n"), "dim").first() or {"dim": 0})["dim"]
     all_points = stage(points(rows.filter(F.size("x") == dim), k + 1), "points")
-    picked = all_points.orderBy(F.xxhash64("point", F.lit(5)), "point").limit(sample).select("x")
-    data = [r["x"] for r in picked.collect()]
+    data = [r["x"] for r in sampled(all_points, sample).select("x").collect()]
     if not data:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = np.array(data)

@@ -13,8 +13,10 @@ recursions run inside all blocks at once, so one long text is as fast as many sh
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,10 +25,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import without
 
-#: Bounds of the training sample: texts of a language, words of a text, languages.
-TEXTS = 400
+#: Bounds of the training sample: texts of a language, and of all languages; each has one at least.
+TEXTS = 100
+ALL_TEXTS = 20_000
+#: Texts of more characters are only picked where a language has too few shorter ones.
+LONG = 20_000
+#: Whole texts are learned from as sequences of so many words.
 WORDS = 48
-LANGUAGES = 64
 UNKNOWN = "und"
 
 #: Hashed feature space of n-grams and affixes; the lexicon has its own rows behind it.
@@ -39,12 +44,16 @@ BLOCK = 64
 AT_ONCE = 400_000
 CACHED_WORDS = 300_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+@cache
+def _letters() -> re.Pattern[str]:
+    """Runs of letters: what ``\\w`` matches without digits, the underscore and numerals such as a half."""
+    odd = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()]
+    return re.compile(rf"[^\W\d_{''.join(odd)}]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
-    return _LETTERS.findall(text.lower()) if text else []
+    return _letters().findall(text.lower()) if text else []
 
 
 def _features(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -287,40 +296,41 @@ def training_sample(
     text_col: str = "text",
     lang_col: str = "lang",
     texts: int = TEXTS,
+    all_texts: int = ALL_TEXTS,
     n_words: int = WORDS,
 ) -> list[tuple[str, list[str]]]:
-    """A bounded sample of labelled texts: ``texts`` of each of the ``LANGUAGES`` most frequent
-    languages, ``n_words`` words from inside each. Texts are picked by a digest."""
+    """A bounded sample of labelled texts, whole, as sequences of up to ``n_words`` words.
+
+    Every language has ``texts`` of them, or fewer if all together would be more than ``all_texts``, but
+    one at least. Texts are picked by a digest, those of over ``LONG`` characters last. Null languages and
+    texts, and texts without letters, teach nothing; copies count once.
+    """
     rows = docs.select(docs[lang_col].alias("lang"), docs[text_col].alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    frequent = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    frequent = frequent.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).select("lang")
 
     @F.pandas_udf("array<string>")
-    def some_words(column: pd.Series) -> pd.Series:
-        out = []
-        for text in column:
-            w = words_of(text)
-            at = max(0, (len(w) - n_words) // 2)
-            out.append(w[at : at + n_words])
-        return pd.Series(out, dtype=object)
-
-    by_language = Window.partitionBy("lang").orderBy("order", "digest")
-    # Digests only are ranked; texts of the chosen digests are cut to words before they are moved.
-    digests = rows.select("lang", F.xxhash64("text").alias("digest")).distinct()
+    def letters(column: pd.Series) -> pd.Series:
+        return pd.Series([words_of(text) for text in column], dtype=object)
+
+    # Digests only are ranked; the words of the chosen texts are found before they are moved.
+    long_ones = F.length("text") > LONG
+    digests = rows.select("lang", F.xxhash64("text").alias("digest"), long_ones.alias("long")).distinct()
     digests = digests.withColumn("order", F.xxhash64("digest", F.lit(17)))
+    languages = rows.agg(F.count_distinct("lang")).first()[0]
+    texts = max(1, min(texts, all_texts // max(1, languages)))
+    by_language = Window.partitionBy("lang").orderBy("long", "order", "digest")
     chosen = (
-        digests.join(F.broadcast(frequent), "lang")
-        .withColumn("r", F.row_number().over(by_language))
-        .filter(F.col("r") <= texts)
-        .select("lang", "digest")
+        digests.withColumn("r", F.row_number().over(by_language)).filter(F.col("r") <= texts).select("lang", "digest")
     )
-    # At most LANGUAGES * TEXTS rows, so they go to all tasks.
+    # At most ``all_texts`` rows, or one a language, so they go to all tasks.
     picked = rows.withColumn("digest", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "digest"])
-    cut = picked.select("lang", "digest", some_words("text").alias("words")).dropDuplicates(["lang", "digest"])
-    found = cut.orderBy("lang", "digest").collect()
-    return [(r["lang"], list(r["words"])) for r in found if r["words"]]
+    found = picked.select("lang", "digest", letters("text").alias("words")).dropDuplicates(["lang", "digest"])
+    return [
+        (r["lang"], r["words"][at : at + n_words])
+        for r in found.orderBy("lang", "digest").collect()
+        for at in range(0, len(r["words"]), n_words)
+    ]
 
 
 _REMEMBERED: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
@@ -409,7 +419,11 @@ def predict(model: Field, text: Column) -> Column:
 
 
 def label_words(model: Field, text: Column) -> Column:
-    """Array of ``word, lang, score`` for code-switched text: each word's likeliest language."""
+    """Array of ``word, lang, score`` for code-switched text: each word's likeliest language.
+
+    Null, empty and letterless texts have no words, and no text has any for a model without languages.
+    Texts are labelled whole; equal texts get equal labels.
+    """
 
     @F.arrow_udf("array<struct<word:string,lang:string,score:double>>")
     def labelled(column: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .chat import CONTROL, END, ESC, START, TURNS_PER_CHUNK  # noqa: F401
 from .fim import FIM_PERCENT, SEED as FIM_SEED, SPM_PERCENT
 from .importance import BUCKETS, MIN_WORDS, PERCENT, SEED as DRAW_SEED, UNIT
-from .licences import COPYRIGHT_LINE, EQUIVALENT, KNOWN, OTHER, RESERVED
+from .licences import COPYRIGHT_LINE, EQUIVALENT, KNOWN, OTHER, RESERVED, TITLE, WRAPPED
 from .mixing import BLOCKS, MAX_PASSES, SHARE, WEIGHTS
 from .queries import PROBE, PROBE_ID, SHARDS
 from .sharding import SLOTS, fill_table
@@ -118,12 +118,15 @@ LEFT JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source AND d.block = c.block
 
 
 def _canonical(column: str) -> str:
-    out = f"regexp_replace(lower(coalesce({column}, '')), '{COPYRIGHT_LINE}', '\\1', 'g')"
+    out = f"regexp_replace(lower(coalesce({column}, '')), {_text(TITLE)}, '')"
+    out = f"regexp_replace({out}, {_text(WRAPPED)}, '\\1\\2' || chr(1) || 'copyright\\3', 'g')"
+    out = f"regexp_replace({out}, '{COPYRIGHT_LINE}', '\\1', 'g')"
     out = f"regexp_replace({out}, '{RESERVED}', ' ', 'g')"
-    out = f"' ' || regexp_replace({out}, '{OTHER}', ' ', 'g') || ' '"
+    out = f"' ' || regexp_replace({out}, '{OTHER}', '  ', 'g') || ' '"
     for spelling, same in EQUIVALENT:
-        out = f"replace({out}, ' {spelling} ', ' {same} ')"
-    return f"trim({out})"
+        a, b = (f" {x.replace(' ', '  ')} " for x in (spelling, same))
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 OP7 = f"""

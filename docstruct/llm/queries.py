@@ -75,7 +75,8 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(PROBE_ID, 0, "user", PROBE), (PROBE_ID, 1, "assistant", PROBE)],
         "conv_id long, turn long, role string, text string",
     )
-    return chat.conversation_digests(chat.format_chunks(turns.unionByName(probe)))
+    chunks = stage(chat.format_chunks(turns.unionByName(probe)), "chat")
+    return chat.conversation_digests(chunks)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,11 +60,11 @@ def test_words_of_switched_text(spark, field):
 
 
 def test_language_of_odd_texts(spark, field):
-    rows = [(1, "Kaki MAKA tika"), (2, "größ oßer"), (3, None), (4, ""), (5, "123 !!"), (6, "kaki " * 50_000), (1, "Kaki MAKA tika")]
+    rows = [(1, "Kaki MAKA tika"), (2, "größ oßer"), (3, None), (4, ""), (5, "123 !!"), (8, "½ ² Ⅷ _ ٣"), (6, "kaki " * 50_000), (1, "Kaki MAKA tika")]
     table = clash(docs(spark, rows), "lang_pred", "score")
     out = langid.identify_documents(table, field).collect()
     assert sorted((r.doc_id, r.lang_pred) for r in out) == [
-        (1, "aa"), (1, "aa"), (2, "bb"), (3, "und"), (4, "und"), (5, "und"), (6, "aa"),
+        (1, "aa"), (1, "aa"), (2, "bb"), (3, "und"), (4, "und"), (5, "und"), (6, "aa"), (8, "und"),
     ]
     assert all(0 <= r.score <= 1 for r in out)
     assert langid.identify_documents(table.limit(0), field).count() == 0
@@ -76,6 +76,17 @@ def test_no_labels_no_language(spark):
     assert [r.lang_pred for r in langid.identify_documents(table, model).collect()] == ["und", "und"]
 
 
+def test_no_language_is_left_out(spark):
+    """Languages share the sample; long texts are learned from where there are no others."""
+    rows = [(i, f"{chr(0x430 + i)}{chr(0x440 + i % 9)}{chr(0x430 + i)} " * 30, "s", f"l{i:02d}") for i in range(90)]
+    rows += [(100 + i, "kaki " * 30_000, "s", "long") for i in range(3)]
+    sample = langid.training_sample(docs(spark, rows + rows[:9]), all_texts=100)
+    assert {lang for lang, _ in sample} == {r[3] for r in rows}
+    assert all(0 < len(w) <= langid.WORDS for _, w in sample)
+    assert sum(len(w) for lang, w in sample if lang == "long") == 30_000
+    assert sum(len(w) for lang, w in sample if lang == "l07") == 30
+
+
 def test_language_held_out(spark):
     from docstruct.llm.queries import op1_language
 
@@ -239,6 +250,32 @@ def test_neighbours(spark):
     assert [v for _, v in found[60]][:10] == list(range(40, 50))  # equal vectors: smaller ids
 
 
+def test_recall_beyond_the_sample(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c % 7, 0.5, (250, 6)) for c in range(20)])
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)
+    got = ann.nearest(table, F.col("vec_id") % 50 == 0, sample=300).collect()
+    near = {}
+    for r in got:
+        near.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in near.items():
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(found & set(np.argsort(d)[:10].tolist()))
+    assert len(near) == 100 and hits / 1000 > 0.9
+
+
+def test_sample_is_gathered_in_its_own_size(spark):
+    rows = spark.range(50_000, numPartitions=50).selectExpr("xxhash64(id) AS point", "array(1D) AS x", "array(id) AS ids")
+    got = {r.point for r in ann.sampled(rows, 400).collect()}
+    digest = F.xxhash64("point", F.lit(5))
+    assert got == {r.point for r in rows.orderBy(digest, "point").limit(400).collect()}
+    before = ann.sampled(rows, 400)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in before
+    assert ann.sampled(rows.limit(30), 400).count() == 30 and ann.sampled(rows.limit(0), 400).count() == 0
+
+
 def test_small_outlying_clusters(spark):
     rng = np.random.default_rng(4)
     x = [rng.normal(0, 0.1, (400, 4)) + 100 * rng.normal(size=4) for _ in range(8)]
@@ -285,29 +322,72 @@ def test_tokens_are_the_tokenizers():
         assert np.frombuffer(raw, "<u4").tolist() == want
 
 
+def placed_pieces(h, length):
+    """Contents of all sequences, from runs that have to cover every rank of every length once."""
+    runs, n = packing.pack_histogram(h, length)
+    filled = {i: [] for i in range(n)}
+    for size in h:
+        at = 0
+        for r in sorted((r for r in runs if r.length == size), key=lambda r: r.first):
+            assert r.first == at
+            at += r.packs * r.each
+        assert at == h[size]
+    for r in runs:
+        for j in range(r.packs * r.each):
+            filled[r.sequence + j // r.each].append((r.offset + j % r.each * r.length, r.length))
+    for parts in filled.values():
+        at = 0
+        for offset, size in sorted(parts):
+            assert offset == at
+            at += size
+        assert 0 < at <= length
+    return filled
+
+
 def test_histogram_packing():
     rng = random.Random(0)
     for _ in range(20):
-        h = {rng.randint(1, 64): rng.randint(1, 50) for _ in range(rng.randint(1, 30))}
-        runs, n = packing.pack_histogram(h, 64)
-        filled = {}
-        for size in h:
-            own = sorted((r for r in runs if r.length == size), key=lambda r: r.first)
-            at = 0
-            for r in own:
-                assert r.first == at
-                at += r.count
-            assert at == h[size]
-        for r in runs:
-            for i in range(r.count):
-                filled.setdefault(r.sequence + i, []).append((r.offset, r.length))
-        assert sorted(filled) == list(range(n))
-        for parts in filled.values():
-            at = 0
-            for offset, length in sorted(parts):
-                assert offset == at
-                at += length
-            assert at <= 64
+        placed_pieces({rng.randint(1, 64): rng.randint(1, 50) for _ in range(rng.randint(1, 30))}, 64)
+
+
+@pytest.mark.parametrize(
+    "h,most",
+    [
+        ({300: 10_000}, 1667),  # six to a sequence
+        ({1000: 3000, 30: 50}, 1500),
+        ({1: 1000}, 1),
+        ({1024: 5, 1: 3000, 2048: 2}, 6),
+        ({700: 999, 648: 500}, 500),
+        ({}, 0),
+    ],
+)
+def test_sequences_are_full(h, most):
+    assert len(placed_pieces(h, 2048)) <= most
+
+
+def test_skewed_histograms_are_packed_tightly():
+    rng = random.Random(9)
+    for _ in range(10):
+        h = {rng.choice([rng.randint(1, 60), rng.randint(1, 1000)]): rng.choice([3, 40, 900]) for _ in range(80)}
+        tokens = sum(k * v for k, v in h.items())
+        assert len(placed_pieces(h, 2048)) <= 1.03 * tokens / 2048 + 2
+
+
+def test_pieces_of_texts(spark):
+    from tokenizers import Tokenizer
+    import zlib
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    rows = [(1, "A b, c."), (2, None), (3, ""), (4, "word | other | İ. " * 700), (5, "x " * 63), (6, LONG)]
+    table = clash(docs(spark, rows), "start", "length", "ids_crc32", "doc_tokens", "key")
+    got = packing.tokenize_pieces(table, tokenizer_path(), length=64).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        found.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens, bytes(r.ids)))
+    for i, text in rows:
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        want = [(a, len(ids[a : a + 64]), ids[a : a + 64].tobytes()) for a in range(0, len(ids), 64)]
+        assert found[i] == [(a, n, zlib.crc32(raw), len(ids), raw) for a, n, raw in want]
 
 
 def test_packed_documents(spark):

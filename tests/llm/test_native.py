@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -92,6 +93,42 @@ def test_licences_by_canonical_text(spark):
     assert licences.scan(table, known.limit(0)).filter("licence is not null").count() == 0
 
 
+@pytest.mark.parametrize("width", [40, 60, 72, 79, 2000])
+def test_known_texts_as_files(spark, width):
+    """Every known text of some length, wrapped, with a title and owners, and as its licence is often spelled."""
+    texts = [(n, t) for n, t in licences.KNOWN if len(t) > 200]
+    heads = ["", "Copyright (c) 1999-2024 A. Person\nCopyright Big Org, Inc. All rights reserved.\n\n", "\n© 2020 me\n"]
+    titles = {"MIT": "The MIT License (MIT)\n\n", "ISC": "ISC License\n", "BSD-3-Clause": "BSD 3-Clause License\n\n",
+              "Zlib": "zlib License:\n", "BSD-2-Clause": 'BSD 2-Clause "Simplified" License\n\n'}
+    rows, want = [], {}
+    for name, text in texts:
+        for head in heads:
+            for body in (text, text.replace("license", "licence").upper(), text.replace("holder", "owner")):
+                want[len(rows)] = name
+                rows.append((len(rows), titles.get(name, "") + head + textwrap.fill(body, width, break_long_words=False)))
+    table = docs(spark, rows)
+    got = {r.doc_id: r.licence for r in licences.scan(table, licences.default_licences(spark)).collect()}
+    assert got == want
+
+
+def test_near_licences_are_none(spark):
+    mit = dict(licences.KNOWN[::-1])["MIT"]
+    rows = [
+        (1, licences.KNOWN[4][1] + " Except on Sundays."),
+        (2, licences.KNOWN[4][1].replace("free of charge", "for a charge")),
+        (3, "MIT License"),
+        (4, "licence licence"),
+        (5, "license license"),
+        (6, "Copyright notice"),
+        (7, "Copyright 2020 notice"),
+    ]
+    assert mit
+    got = {r.doc_id: r for r in licences.scan(docs(spark, rows), licences.default_licences(spark)).collect()}
+    assert [r.licence for r in got.values()] == [None] * len(rows)
+    assert got[4].digest == got[5].digest
+    assert got[6].digest == sha("copyright notice") and got[7].digest == sha("")
+
+
 # --- host rules -------------------------------------------------------------------------------
 
 
@@ -162,6 +199,20 @@ def test_chat_round_trip(spark):
         assert r.turns_sha256 == sha("".join(f"{x[2]}\n{x[3]}\n" for x in turns))
         assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
         assert r.n_examples == sum(x[2] == "assistant" for x in turns)
+    empty = chat.format_chunks(table.limit(0))
+    assert chat.conversation_digests(empty).count() == 0 and chat.expand_examples(empty).count() == 0
+
+
+def test_every_reply_is_an_example(spark):
+    rows = [(1, 0, "assistant", "a</s>"), (1, 0, "assistant", "a</s>"), (1, None, "assistant", None), (None, 5, "user", "q"), (None, 6, "assistant", "r")]
+    found = chat.expand_examples(chat.format_chunks(spark.createDataFrame(rows, TURNS)))
+    got = sorted((str(r.conv_id), r.turn_no, r.target_chars) for r in found.collect())
+    assert got == [("1", 0, 0), ("1", 1, 6), ("1", 2, 6), ("None", 1, 1)]
+    moved = [
+        line for line in chat.format_chunks(spark.createDataFrame(rows, TURNS))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        if "Window" in line
+    ]
+    assert moved and not any("formatted" in line or "segments" in line for line in moved)
 
 
 def test_examples_are_prefixes(spark):
