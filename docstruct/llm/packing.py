@@ -13,10 +13,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import os
-import re
-import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,16 +30,20 @@ END_ID = 1
 #: Ranks are counted in so many parts of each length, so that a length with a third of all
 #: pieces is no single task's work.
 RANK_PARTS = 256
-#: Words and stems whose ids a Python worker remembers: about 180 MB when full.
-CACHED_WORDS = 250_000
+#: Stems whose ids a Python worker remembers: about 120 MB when full.
 CACHED_STEMS = 600_000
-#: Characters of text that are tokenized at once.
-AT_ONCE = 8_000_000
+#: Bytes of text that are tokenized at once.
+AT_ONCE = 16_000_000
 
-#: By path: the tokenizer, ids of words as they stand in texts, ids of their stems.
-_LOADED: dict[str, tuple[object, dict[str, bytes], dict[str, bytes]]] = {}
+#: Letters that stay one letter in composed lower case, and marks that follow a word.
+_LETTER = r"[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}]$"
+_MARKS = ".,;:!?"
+#: A token of its own that is put between stems when many are encoded as one text.
+_BETWEEN = "|"
+
+#: By path: the tokenizer, and ids of stems.
+_LOADED: dict[str, tuple[object, dict[str, bytes]]] = {}
 
-_LATER = re.compile("[\u0130-\U0010ffff]")
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -52,58 +53,87 @@ def _load(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {}, {"": b""})
+        _LOADED[path] = (Tokenizer.from_file(path), {})
     return _LOADED[path]
 
 
-def _learn(known: dict[str, bytes], new: dict[str, bytes], limit: int) -> None:
-    known.update(itertools.islice(new.items(), max(0, limit - len(known))))
-
-
-def _lower(text: str) -> str:
-    """The tokenizer lowers case itself, letter by letter; up to U+012F that is what Python does.
-    Texts with other letters, or with what may be a special token, stay as they are."""
-    return text if _LATER.search(text) or "<|" in text else text.lower()
-
-
-def _stem(word: str) -> tuple[str, str]:
-    """A part of text as two that have the same ids: marks after a letter are tokens of their own.
+def encode_parts(tokenizer, parts: list[str], block: int = 2000) -> Iterator[bytes]:
+    """Little-endian 32-bit ids of each part, which must not hold ``_BETWEEN``.
 
-    Some letters end in a combining mark once composed forms and case are normalised, and that would
-    join what follows.
+    Many parts are one text with that mark between them, which is cheaper than a text each; where it
+    does not come back as often as it was put in, they are encoded one by one.
     """
-    stem = word.rstrip(".,;:!?")
-    last = stem[-1:]
-    if last >= "\u0130":
-        last = unicodedata.normalize("NFC", last).lower()[-1:]
-    return (stem, word[len(stem) :]) if last.isalpha() else (word, "")
+    mark = tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+    blocks = [parts[i : i + block] for i in range(0, len(parts), block)]
+    texts = [f" {_BETWEEN} ".join(b) for b in blocks]
+    for own, e in zip(blocks, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        ids = np.array(e.ids, "<u4")
+        at = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else []
+        if len(at) == len(own) - 1:
+            raw = ids.tobytes()
+            starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)]
+            yield from (raw[a:b] for a, b in zip(starts, ends))
+        else:
+            for x in tokenizer.encode_batch_fast(own, add_special_tokens=False):
+                yield np.array(x.ids, "<u4").tobytes()
+
+
+def part_ids(parts: list[str], path: str) -> list[bytes]:
+    """Ids of different parts of texts; a worker remembers those it has seen."""
+    tokenizer, known = _load(path)
+    fresh = [p for p in parts if p not in known]
+    plain = [p for p in fresh if _BETWEEN not in p]
+    found = dict(zip(plain, encode_parts(tokenizer, plain)))
+    if len(plain) < len(fresh):
+        odd = [p for p in fresh if _BETWEEN in p]
+        ids = tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+        found.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(odd, ids))
+    out = [found[p] if p in found else known[p] for p in parts]
+    known.update(itertools.islice(found.items(), max(0, CACHED_STEMS - len(known))))
+    return out
+
+
+def _different(values: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Different values, and the index of each row among them."""
+    encoded = pc.dictionary_encode(values)
+    return encoded.indices.to_numpy(), encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def token_bytes(texts: list[str | None], path: str, end_id: int = END_ID) -> list[bytes]:
-    """Little-endian 32-bit ids of whole texts, each with the end id.
+    """Ids of whole texts, each with the end id, as little-endian 32-bit numbers."""
+    ids, ends = token_ids(pa.array(texts, pa.string()), path, end_id)
+    return [p.astype("<u4").tobytes() for p in np.split(ids, ends[:-1])] if texts else []
+
+
+def token_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts one after the other, each with the end id, and the place where each ends.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    parts between blanks and line feeds, and a worker remembers the parts it has seen. Any other
-    white space stays inside its part and is left to the tokenizer.
+    parts between blanks and line feeds; any other white space stays inside its part and is left to the
+    tokenizer. Marks after a letter are tokens of their own, so a part is a stem and its marks, unless
+    the letter may end in a combining mark once composed and lower case. Parts are split and encoded as
+    a dictionary in Arrow, and Python meets every different stem once; taking their ids by the
+    dictionary's indices puts the texts together again.
     """
-    tokenizer, words, stems = _load(path)
-    parts = [_lower(t).replace("\n", " ").split(" ") if t else [] for t in texts]
-    different = set(itertools.chain.from_iterable(parts))
-    fresh = {w: _stem(w) for w in different if w not in words}
-    asked = list({x for pair in fresh.values() for x in pair if x not in stems})
-    found: dict[str, bytes] = {}
-    for at in range(0, len(asked), 20_000):
-        block = asked[at : at + 20_000]
-        for w, e in zip(block, tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-            found[w] = array("I", e.ids).tobytes()
-    _learn(stems, found, CACHED_STEMS)
-    ids = found.get
-    new = {w: (ids(a) or stems[a]) + (ids(b) or stems[b]) for w, (a, b) in fresh.items()}
-    _learn(words, new, CACHED_WORDS)
-    new.update((w, words[w]) for w in different if w in words)
-    get = new.__getitem__
-    end = array("I", [end_id]).tobytes()
-    return [b"".join(map(get, p)) + end for p in parts]
+    lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+    words = pc.dictionary_encode(lists.flatten())
+    bare = pc.utf8_rtrim(words.dictionary, _MARKS)
+    apart = pc.match_substring_regex(bare, _LETTER)
+    stem, stems = _different(pc.if_else(apart, bare, words.dictionary))
+    marks = pc.replace_substring_regex(words.dictionary, rf"(?s)^.*?([{_MARKS}]*)$", r"\1")
+    tail, tails = _different(pc.if_else(apart, marks, pa.scalar("", marks.type)))
+    raw = part_ids(stems, path) + part_ids(tails, path)
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    table = pa.LargeListArray.from_arrays(
+        np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(raw), "<u4")
+    )
+    # Stem and tail of every word of the texts, by turns.
+    both = np.stack([stem, tail + len(stems)], axis=1)[words.indices.to_numpy()]
+    ids = table.take(pa.array(both.reshape(-1))).flatten().to_numpy()
+    upto = np.concatenate([[0], np.cumsum(sizes[both].sum(axis=1))])
+    places = lists.offsets.to_numpy().astype(np.int64)
+    ends = upto[places[1:] - places[0]]
+    return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
 
 
 def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -137,20 +167,23 @@ def tokenize_pieces(
         for batch in batches:
             for at, n_rows in slices(batch.column(1), AT_ONCE):
                 part = batch.slice(at, n_rows)
-                rows: list[tuple] = []
-                origin: list[int] = []
-                for i, raw in enumerate(token_bytes(part.column(1).to_pylist(), tokenizer_path, end_id)):
-                    n = len(raw) // 4
-                    for start in range(0, n, length):
-                        piece = raw[4 * start : 4 * (start + length)]
-                        rows.append((start, len(piece) // 4, zlib.crc32(piece), n, piece))
-                        origin.append(i)
-                fields = list(zip(*rows)) if rows else [()] * 5
-                arrays = [part.column(0).take(pa.array(origin, pa.int32()))]
-                arrays += [pa.array(f, pa.int64()) for f in fields[:4]]
+                ids, ends = token_ids(part.column(1), tokenizer_path, end_id)
+                sizes = np.diff(ends, prepend=0)
+                pieces = -(-sizes // length)
+                origin = np.repeat(np.arange(n_rows), pieces)
+                # The number of a piece inside its text.
+                place = np.arange(len(origin)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start, whole = place * length, sizes[origin]
+                size = np.minimum(length, whole - start)
+                first = (ends - sizes)[origin] + start
+                raw = ids.astype("<u4").tobytes()
+                view = memoryview(raw)
+                cuts = [view[4 * a : 4 * (a + n)] for a, n in zip(first.tolist(), size.tolist())]
+                arrays = [part.column(0).take(pa.array(origin, pa.int64()))]
+                arrays += [pa.array(a, pa.int64()) for a in (start, size, [zlib.crc32(c) for c in cuts], whole)]
                 names = ["key", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    arrays.append(pa.array(fields[4], pa.binary()))
+                    arrays.append(pa.array([bytes(c) for c in cuts], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -162,11 +195,13 @@ def tokenize_pieces(
 
 @dataclass(frozen=True)
 class Run:
-    """Ranks ``first .. first + count - 1`` of a length go to sequences ``sequence ...``."""
+    """Ranks ``first .. first + packs * each - 1`` of a length: ``each`` of them, one after the other
+    from ``offset`` on, go to every sequence from ``sequence`` on."""
 
     length: int
     first: int
-    count: int
+    packs: int
+    each: int
     sequence: int
     offset: int
 
@@ -175,43 +210,55 @@ def pack_histogram(histogram: dict[int, int], length: int = LENGTH) -> tuple[lis
     """Pattern runs for a histogram of lengths, and the number of sequences.
 
     From longest to shortest, all pieces of a length go to the shortest packs with room for
-    them; a pattern of which only some packs get one is split in two, and pieces without a pack
-    open new ones. The histogram has at most ``length`` entries, so time and result depend on that
-    and not on the number of pieces.
+    them, and pieces without one open new packs, which the next pieces of their length fill. Packs of
+    equal content are one pattern with a count: it takes as many pieces a pack as keep it the shortest, and is
+    split in two where only some of its packs get one. The histogram has at most ``length``
+    entries, so time and result depend on that and not on the number of pieces.
     """
-    #: Open patterns as a heap by filled length: (filled, order, packs, lengths).
-    heap: list[tuple[int, int, int, tuple[int, ...]]] = []
-    done: list[tuple[int, tuple[int, ...]]] = []
+    #: Open patterns as a heap by filled length: (filled, order, packs, ((size, pieces of it), ...)).
+    heap: list[tuple[int, int, int, tuple[tuple[int, int], ...]]] = []
+    done: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     order = 0
+
+    def put(filled: int, packs: int, content: tuple[tuple[int, int], ...], size: int, each: int) -> None:
+        nonlocal order
+        if content and content[-1][0] == size:
+            content, each, filled = content[:-1], each + content[-1][1], filled - size * content[-1][1]
+        order += 1
+        new = (filled + size * each, order, packs, (*content, (size, each)))
+        if new[0] == length:
+            done.append((packs, new[3]))
+        else:
+            heapq.heappush(heap, new)
+
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
-        while left:
-            if heap and heap[0][0] + size <= length:
-                filled, _, packs, content = heapq.heappop(heap)
-                used = min(packs, left)
-                if used < packs:
-                    order += 1
-                    heapq.heappush(heap, (filled, order, packs - used, content))
-            else:
-                filled, content, used = 0, (), left
-            left -= used
-            order += 1
-            new = (filled + size, order, used, (*content, size))
-            if new[0] == length:
-                done.append((used, new[3]))
-            else:
-                heapq.heappush(heap, new)
+        while left and heap and heap[0][0] + size <= length:
+            filled, _, packs, content = heapq.heappop(heap)
+            room = (length - filled) // size
+            each = min(room, (heap[0][0] - filled) // size + 1 if heap else room, left // packs)
+            used = packs if each else left
+            if used < packs:
+                order += 1
+                heapq.heappush(heap, (filled, order, packs - used, content))
+            put(filled, used, content, size, max(1, each))
+            left -= used * max(1, each)
+        each = length // size
+        if left // each:
+            put(0, left // each, (), size, each)
+        if left % each:
+            put(0, 1, (), size, left % each)
     patterns = done + [(packs, content) for _, _, packs, content in sorted(heap)]
     runs: list[Run] = []
     ranked: dict[int, int] = {}
     sequence = 0
     for packs, content in patterns:
         offset = 0
-        for size in content:
+        for size, each in content:
             first = ranked.get(size, 0)
-            runs.append(Run(size, first, packs, sequence, offset))
-            ranked[size] = first + packs
-            offset += size
+            runs.append(Run(size, first, packs, each, sequence, offset))
+            ranked[size] = first + packs * each
+            offset += size * each
         sequence += packs
     return runs, sequence
 
@@ -243,8 +290,8 @@ def assign_sequences(pieces: DataFrame, key: str = "doc_id", length: int = LENGT
     ranked = ranked.join(shifts, (F.col("length") == F.col("_l")) & (F.col("_part") == F.col("_p")))
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
     table = spark.createDataFrame(
-        [(r.length, r.first, r.first + r.count, r.sequence, r.offset) for r in runs],
-        "_length long, _first long, _end long, _sequence long, _offset long",
+        [(r.length, r.first, r.first + r.packs * r.each, r.each, r.sequence, r.offset) for r in runs],
+        "_length long, _first long, _end long, _each long, _sequence long, _offset long",
     )
     placed = ranked.join(
         F.broadcast(table),
@@ -252,10 +299,11 @@ def assign_sequences(pieces: DataFrame, key: str = "doc_id", length: int = LENGT
         & (F.col("_rank") >= F.col("_first"))
         & (F.col("_rank") < F.col("_end")),
     )
+    place = F.col("_rank") - F.col("_first")
     return placed.select(
         *base.columns,
-        (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"),
-        F.col("_offset").alias("offset"),
+        (F.col("_sequence") + F.floor(place / F.col("_each"))).alias("sequence_id"),
+        (F.col("_offset") + place % F.col("_each") * F.col("length")).alias("offset"),
     )
 
 
