@@ -13,10 +13,8 @@ recursions run inside all blocks at once, so one long text is as fast as many sh
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -44,16 +42,16 @@ BLOCK = 64
 AT_ONCE = 400_000
 CACHED_WORDS = 300_000
 
-@cache
-def _letters() -> re.Pattern[str]:
-    """Runs of letters: what ``\\w`` matches without digits, the underscore and numerals such as a half."""
-    odd = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()]
-    return re.compile(rf"[^\W\d_{''.join(odd)}]+")
+#: Letters, and numerals such as a half, which are no letters.
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
-    return _letters().findall(text.lower()) if text else []
+    found = _LETTERS.findall(text.lower()) if text else []
+    if not found or "".join(found).isalpha():
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
 
 
 def _features(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
