@@ -11,7 +11,12 @@ UNKNOWN_ERROR = "Unknown error"
 
 
 def job_states(pages: DataFrame) -> DataFrame:
-    """Latest known status and message of every job, and its last page; reads no blocks."""
+    """Latest known status and message of every job, its last page and attempt; reads no blocks.
+
+    A null ``job_id`` is a job like any other. ``attempt`` is the largest in the optional column of that
+    name: a number or a time that grows from one job of a document to the next.
+    """
+    attempt = F.max("attempt") if "attempt" in pages.columns else F.lit(None).cast("bigint")
     return (
         pages.groupBy("doc_id", "job_id")
         .agg(
@@ -20,8 +25,9 @@ def job_states(pages: DataFrame) -> DataFrame:
                 F.when(F.col("job_status").isNotNull(), F.col("page_seq")),
             ).alias("s"),
             F.max("page_seq").alias("last_page"),
+            attempt.alias("attempt"),
         )
-        .select("doc_id", "job_id", "s.job_status", "s.status_message", "last_page")
+        .select("doc_id", "job_id", "s.job_status", "s.status_message", "last_page", "attempt")
     )
 
 
@@ -32,26 +38,41 @@ def failed_jobs(states: DataFrame) -> DataFrame:
     return reject_rows(failed, "job", "job_failed", "message")
 
 
+def job_choice(states: DataFrame) -> DataFrame:
+    """One row a document: ``chosen`` (``attempt, last_page, job_id`` of its latest job that succeeded, null
+    without one) and ``latest`` (the same and the status and message of its latest job of any state).
+
+    Jobs follow one another by ``attempt``; where pages carry none, the job that got further counts
+    as the later one, and ``job_id`` settles the rest.
+    """
+    place = F.struct("attempt", "last_page", "job_id")
+    good = F.col("job_status") == SUCCEEDED
+    return states.groupBy("doc_id").agg(
+        F.max(F.when(good, place)).alias("chosen"),
+        F.max(F.struct("attempt", "last_page", "job_id", "job_status", "status_message")).alias("latest"),
+    )
+
+
 def gate_jobs(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages of finished jobs, the documents to keep out, and the rejects.
 
-    A document is read from its latest job that succeeded, and from all pages of that job,
-    whatever status each was handed out with; jobs that failed or run beside it do not matter.
-    Documents without such a job are ``blocked``, and rejected if their latest job failed. The
+    A document is read from its latest job that succeeded (see ``job_choice``), and from all pages of
+    that job, whatever status each was handed out with; jobs that failed or run beside it do not
+    matter. Documents without such a job are ``blocked``, and rejected if their latest job failed. The
     pages only lose those of other jobs, by an anti join whose right side is those jobs: Spark
-    broadcasts it if it is small, and then no page is shuffled.
+    broadcasts it if it is small, and then no page is shuffled. Null documents and jobs are compared
+    like any others.
     """
     states = job_states(pages)
-    good = F.col("job_status") == SUCCEEDED
-    place = F.struct("last_page", "job_id")
-    chosen = states.groupBy("doc_id").agg(
-        F.max(F.when(good, place))["job_id"].alias("chosen"),
-        F.max_by(F.struct("job_status", "status_message"), place).alias("latest"),
-    )
-    left_out = states.join(chosen.select("doc_id", "chosen"), "doc_id").filter(
-        ~good | (F.col("job_id") != F.col("chosen")) | F.col("job_status").isNull()
+    chosen = job_choice(states)
+    named = chosen.select(F.col("doc_id").alias("_doc"), "chosen")
+    left_out = (
+        states.join(named, F.col("doc_id").eqNullSafe(F.col("_doc")))
+        .filter(F.col("chosen").isNull() | ~F.col("job_id").eqNullSafe(F.col("chosen.job_id")))
+        .select(F.col("doc_id").alias("_doc"), F.col("job_id").alias("_job"))
     )
     without = chosen.filter(F.col("chosen").isNull())
-    ready = pages.join(left_out.select("doc_id", "job_id"), ["doc_id", "job_id"], "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("job_id").eqNullSafe(F.col("_job"))
+    ready = pages.join(left_out, same, "left_anti")
     failed = failed_jobs(without.select("doc_id", "latest.job_status", "latest.status_message"))
     return ready, without.select("doc_id"), failed

@@ -1,10 +1,10 @@
 """Key/value pairs from analysis blocks.
 
-Blocks are looked up with equi-joins on ``(doc_id, block_id)``, never by document
-alone, so the blocks of one huge document spread over the cluster. The only things
-gathered in one group are the words of one pair (they are listed in the cells of
-its key and value block), the entries of one key text and, in a payload, the pairs of
-one document, since a payload is one text.
+Blocks are looked up with equi-joins. Documents of ordinary size are dealt out whole, once, and
+everything about one happens in its partition. The few documents that hold a large share of all blocks are
+looked up by ``(doc_id, block_id)`` instead, so their blocks spread over the cluster. What is gathered in
+one group are the words of one pair (they are listed in the cells of its key and value block), the entries
+of one key text and, in a payload, the pairs of one document, since a payload is one text.
 """
 
 from __future__ import annotations
@@ -149,16 +149,28 @@ def merge_values(words: DataFrame) -> DataFrame:
     )
 
 
-def pair_blocks(pages: DataFrame, mode: Mode = "form", hot: DataFrame | None = None) -> DataFrame:
+def pair_blocks(
+    pages: DataFrame, mode: Mode = "form", hot: DataFrame | None = None, by_document: bool = False
+) -> DataFrame:
     """All key/value pairs of all documents, one row per key block.
 
     ``dangling`` marks pairs with a child id that is no block; ``form`` rejects their
     documents, ``id`` reads on. Pass ``hot=hot_targets(pages)`` to spread block ids
     that a large share of all relationships points at.
+
+    Without ``by_document`` blocks meet by their ids, and every lookup deals its rows anew. With it pages
+    are dealt by ``doc_id`` first, and within ``skew.partitions_kept`` all lookups and groups stay in that
+    partitioning: a document's blocks are one task's rows, so giant documents go the other way (see
+    ``pair_pages``).
     """
     target = ["doc_id", "block_id"]
     place = [*target, "page_seq", "pos"]
-    kv_sets = explode_blocks(pages, *KV_SET_COLUMNS)
+
+    def dealt(*columns: str) -> DataFrame:
+        rows = explode_blocks(pages, *columns)
+        return rows.repartition("doc_id") if by_document else rows
+
+    kv_sets = dealt(*KV_SET_COLUMNS)
     children = related_ids("CHILD").alias("children")
     keys = dedupe_blocks(
         slot_one(
@@ -173,7 +185,33 @@ def pair_blocks(pages: DataFrame, mode: Mode = "form", hot: DataFrame | None = N
         slot_one(value_blocks(kv_sets, mode).select(*place, "confidence", children), target, hot),
         "confidence", "children",
     )
-    return merge_values(child_words(value_refs(keys, values, hot), tokens(pages, mode, hot), hot))
+    known = dealt(*TOKEN_COLUMNS).select(*place, token(mode).alias("token"))
+    known = dedupe_blocks(slot_one(known, target, hot), "token")
+    return merge_values(child_words(value_refs(keys, values, hot), known, hot))
+
+
+def giant_documents(pages: DataFrame, min_rows: int = MIN_HOT_ROWS) -> list:
+    """Ids of the documents with over ``min_rows`` blocks and over a thousandth of all blocks.
+
+    There are fewer than a thousand, whatever the table holds. Reads the number of blocks only.
+    """
+    sizes = pages.groupBy("doc_id").agg(F.sum(F.size(F.col("blocks")["BlockType"])).alias("n"))
+    large = sizes.filter(F.col("n") > min_rows)
+    total = pages.agg(F.sum(F.size(F.col("blocks")["BlockType"])).alias("total"))
+    found = large.join(F.broadcast(total), F.col("n") * 1000 > F.col("total"))
+    return [r["doc_id"] for r in found.filter(F.col("doc_id").isNotNull()).collect()]
+
+
+def pair_pages(
+    pages: DataFrame, mode: Mode, giants: list, min_rows: int = MIN_HOT_ROWS
+) -> DataFrame:
+    """All key/value pairs: document by document, and block by block for the ``giants``."""
+    if not giants:
+        return pair_blocks(pages, mode, by_document=True)
+    giant = F.coalesce(F.col("doc_id").isin(giants), F.lit(False))
+    large = pages.filter(giant)
+    spread = pair_blocks(large, mode, hot_targets(large, min_rows))
+    return pair_blocks(pages.filter(~giant), mode, by_document=True).unionByName(spread)
 
 
 def block_text(pages: DataFrame, mode: Mode, hot: DataFrame | None = None) -> DataFrame:

@@ -9,9 +9,10 @@ sketch misses or names by mistake changes the speed of the join, not its result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_HOT = 1000
 TRACKED = 10_000
@@ -107,3 +108,20 @@ def spread_join(
     left = slot_many(many, on, spread_by, hot)
     right = slot_one(one, on, hot)
     return left.join(right, ["slot", *on], how).drop("slot")
+
+
+_CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def partitions_kept(spark: SparkSession) -> Iterator[None]:
+    """While a job runs in here, joins keep a partitioning by a part of their keys.
+
+    The setting is read when a plan is made ready to run and put back afterwards.
+    """
+    before = spark.conf.get(_CO_PARTITION)
+    spark.conf.set(_CO_PARTITION, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CO_PARTITION, before)

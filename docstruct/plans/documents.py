@@ -6,20 +6,21 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.blocks import untyped_documents
+from ..operators.blocks import Mode, untyped_documents
 from ..operators.jobs import gate_jobs
 from ..operators.kv import (
     PAIR_COLUMNS,
     first_seen_order,
-    hot_targets,
+    giant_documents,
     kv_payload,
     kv_report,
     nonempty_keys,
-    pair_blocks,
+    pair_pages,
 )
-from ..operators.skew import MIN_HOT_ROWS, hot_keys, key_hash, spread_join
+from ..operators.membership import without_members
+from ..operators.skew import MIN_HOT_ROWS, partitions_kept
 from ..sources.sinks import reject_rows
-from ..sources.staging import stage_at
+from ..sources.staging import shared_dir, stage_at
 
 
 class Extracted(NamedTuple):
@@ -29,29 +30,47 @@ class Extracted(NamedTuple):
     docs: DataFrame
 
 
+def stored_pairs(
+    pages: DataFrame,
+    mode: Mode,
+    min_hot_rows: int = MIN_HOT_ROWS,
+    folder: str | None = None,
+    sized: DataFrame | None = None,
+) -> DataFrame:
+    """The pairs of ``pages``, written once to ``folder`` (a new one by default) and read back.
+
+    Pairing runs here, with the partitioning by document kept through all of its joins. Giant documents are
+    looked for in ``sized``, pages of which ``pages`` may be a part.
+    """
+    spark = pages.sparkSession
+    giants = giant_documents(pages if sized is None else sized, min_hot_rows)
+    with partitions_kept(spark):
+        pairs = pair_pages(pages, mode, giants, min_hot_rows)
+        return stage_at(pairs, folder or shared_dir(spark, "pairs"))
+
+
 def extract_forms(
     pages: DataFrame, min_hot_rows: int = MIN_HOT_ROWS, folder: str | None = None
 ) -> Extracted:
     """Key/value pairs of all finished form jobs, and the documents left out.
 
-    The rejected documents and the pairs that remain are both read from the pairs. With
-    ``folder``, a path that all executors share, they are stored there in between; without it
-    nothing runs here, and Spark reuses the exchanges of one plan.
+    The rejected documents and the pairs that remain are both read from the pairs, which are stored
+    in between: in ``folder``, a path that all executors share, or in a folder of their own. Few
+    documents are rejected, so their pairs are left out through a bit map of fixed size.
     """
     ready, blocked, job_rejects = gate_jobs(pages)
-    pairs = pair_blocks(ready, "form", hot_targets(ready, min_hot_rows))
-    if folder:
-        pairs = stage_at(pairs, folder)
+    pairs = stored_pairs(ready, "form", min_hot_rows, folder, pages)
     broken = pairs.filter("dangling").select("doc_id").distinct()
+    untyped = untyped_documents(ready)
     rejects = (
         job_rejects
-        .unionByName(reject_rows(untyped_documents(ready), "blocks", "missing_entity_types"))
+        .unionByName(reject_rows(untyped, "blocks", "missing_entity_types"))
         .unionByName(reject_rows(broken, "pairing", "dangling_child"))
     )
-    keep_out = rejects.select("doc_id").union(blocked).distinct()
-    hot = hot_keys(pairs.select(key_hash("doc_id").alias("hash")), min_hot_rows)
-    kv = spread_join(pairs, keep_out, ["doc_id"], "left_anti", ["page_seq", "pos"], hot)
-    docs = ready.select("doc_id").distinct().join(keep_out, "doc_id", "left_anti")
+    # Blocked documents have no pairs: their pages were not read.
+    spoilt = untyped.union(broken).distinct()
+    kv = without_members(pairs, spoilt, ["doc_id"], ["page_seq", "pos"], min_hot_rows)
+    docs = ready.select("doc_id").distinct().join(spoilt, "doc_id", "left_anti")
     return Extracted(kv.select(PAIR_COLUMNS), rejects, docs)
 
 
@@ -65,10 +84,11 @@ def form_outputs(kv: DataFrame, docs: DataFrame | None = None) -> tuple[DataFram
     return kv_payload(first_seen_order(kv), docs), kv_report(kv)
 
 
-def extract_ids(results: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Key/value pairs of licences, pairs with an empty key included."""
-    hot = hot_targets(results, min_hot_rows)
-    return pair_blocks(results, "id", hot).select(PAIR_COLUMNS)
+def extract_ids(
+    results: DataFrame, min_hot_rows: int = MIN_HOT_ROWS, folder: str | None = None
+) -> DataFrame:
+    """Key/value pairs of licences, pairs with an empty key included; stored as in ``extract_forms``."""
+    return stored_pairs(results, "id", min_hot_rows, folder).select(PAIR_COLUMNS)
 
 
 def id_report(pairs: DataFrame) -> DataFrame:

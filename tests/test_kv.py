@@ -263,6 +263,24 @@ def test_job_gate(spark):
     }
 
 
+def test_later_attempts_and_nameless_jobs(spark):
+    """A newer job of one page beats an older one of many; a null job id is a job."""
+    rows = [("a", "old", s, "SUCCEEDED", None, [word("x", "1")], 1) for s in range(9)]
+    rows += [("a", "new", 0, "SUCCEEDED", None, [word("x", "2")], 2)]
+    rows += [("b", "old", 5, "SUCCEEDED", None, [], 1), ("b", "new", 0, "FAILED", "late", [], 2)]
+    rows += [("c", "old", 5, "IN_PROGRESS", None, [], 1), ("c", "new", 0, "FAILED", "late", [], 2)]
+    rows += [("d", None, 0, "SUCCEEDED", None, [], 1), ("d", None, 1, None, None, [], 1)]
+    rows += [("e", None, 0, "FAILED", None, [], 1), (None, None, 0, "FAILED", "who", [], 1)]
+    rows += [("f", None, 3, "FAILED", None, [], 1), ("f", "j", 1, "SUCCEEDED", None, [], None)]
+    pages = spark.createDataFrame(rows, types.FORM_PAGE + ", attempt bigint")
+    ready, blocked, rejects = gate_jobs(pages)
+    assert sorted((r.doc_id, str(r.job_id), r.page_seq) for r in ready.collect()) == [
+        ("a", "new", 0), ("b", "old", 5), ("d", "None", 0), ("d", "None", 1), ("f", "j", 1),
+    ]
+    assert {r.doc_id for r in blocked.collect()} == {"c", "e", None}
+    assert {(r.doc_id, r.detail) for r in rejects.collect()} == {("c", "late"), ("e", "Unknown error"), (None, "who")}
+
+
 def test_classification_and_edges(corpus):
     blocks = explode_blocks(corpus)
     no_types = blocks.filter("doc_id = 'no_types'")
@@ -283,6 +301,44 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairing_by_document_plan(spark, tmp_path, corpus):
+    """Three exchanges, all of them the first dealing of blocks; nothing is sorted before it."""
+    corpus.write.parquet(str(tmp_path / "pages"))
+    stored = spark.read.schema(types.FORM_PAGE).parquet(str(tmp_path / "pages"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with skew.partitions_kept(spark):
+            plan = plan_of(kv.pair_blocks(stored, "form", by_document=True))
+        assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning(doc_id") == plan.count("Exchange ") == 3
+    for below in plan.split("Exchange ")[1:]:
+        depth = below.split("\n")[1].find("+-")
+        inside = [x for x in below.split("\n")[1:] if x.find("+-") >= depth > 0 or x.find(":-") >= depth > 0]
+        assert not any("Sort " in x or "Aggregate" in x for x in inside[:4])
+
+
+def test_giant_documents_are_paired_block_by_block(spark, monkeypatch):
+    small = [page(f"s{i}", [key("k", VALUE=["v"], CHILD=["w"]), value("v", CHILD=["x"]), word("w", "a"), word("x", str(i))]) for i in range(30)]
+    big = [page("big", [key(f"k{i}", VALUE=["v"], CHILD=["w"]), value("v", CHILD=["x"]), word("w", "a"), word("x", "big")], i) for i in range(50)]
+    corpus = frame(spark, small + big)
+    assert kv.giant_documents(corpus, 100) == ["big"] and kv.giant_documents(corpus, 1000) == []
+    assert kv.giant_documents(corpus.limit(0), 0) == []
+    whole, parted = (sorted(map(tuple, kv.pair_pages(corpus, "form", g, 20).collect())) for g in ([], ["big"]))
+    assert whole == parted and len(whole) == 80
+
+
+def test_pairing_happens_once(spark, corpus):
+    """What remains of it in the results are scans of the stored pairs."""
+    found = extract_forms(corpus)
+    for df in (found.kv, found.rejects, found.docs):
+        plan = plan_of(df)
+        assert "collect_list" not in plan and "posexplode" not in plan
+
+
 def test_pairing_plan(spark, tmp_path, corpus):
     """Six exchanges, each a change of key; scans leave unused block fields out."""
     corpus.write.parquet(str(tmp_path / "pages"))
