@@ -11,8 +11,28 @@ from ..functions.json import COERCE, as_float, as_list, as_object, as_text
 from ..functions.text import STRIP_SQL
 from ..schemas.records import PATTERNS, RULES_OF_PATH, Record
 
-# One @, no blanks, and a domain with a dot that neither starts nor ends with one.
-EMAIL = r"(?U)^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+\z"
+# Characters of a mailbox name between dots, and a label of a domain.
+_ATOM = r"(?U)^[\p{L}\p{N}!#$%&'*+/=?^_`{|}~-]+\z"
+_LABEL = r"(?U)^[\p{L}\p{N}]([\p{L}\p{N}-]*[\p{L}\p{N}])?\z"
+
+
+def is_email(text: Column) -> Column:
+    """One ``@``; before it atoms between single dots, 64 characters at most; after it two labels or more of
+    63 characters at most, letters, digits and inner hyphens, the last one not all digits; 254 in all.
+
+    Null for null.
+    """
+    sides = F.split(text, "@")
+    local, labels = F.get(sides, 0), F.split(F.get(sides, 1), r"\.")
+    return (
+        (F.size(sides) == 2)
+        & (F.length(text) <= 254)
+        & (F.length(local) <= 64)
+        & F.forall(F.split(local, r"\."), lambda a: a.rlike(_ATOM))
+        & (F.size(labels) >= 2)
+        & F.forall(labels, lambda x: (F.length(x) <= 63) & x.rlike(_LABEL))
+        & ~F.element_at(labels, -1).rlike(r"^[0-9]+\z")
+    )
 
 
 def _java(pattern: str) -> str:
@@ -50,7 +70,7 @@ def _broken(n: Column, r: Column) -> Column:
         .when(rule == "type", typed)
         .when(rule == "enum", ~F.coalesce(F.array_contains(r["args"], text), F.lit(False)))
         .when(rule == "pattern", mismatch)
-        .when(rule == "email", text.isNotNull() & ~text.rlike(EMAIL))
+        .when(rule == "email", text.isNotNull() & ~F.coalesce(is_email(text), F.lit(False)))
         .when(rule == "range", out_of_range)
         .otherwise(F.lit(False))
     )

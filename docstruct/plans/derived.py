@@ -478,3 +478,72 @@ def landed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("/in/u%d/doc_%d.pdf", "user_id", "event_id").alias("path"),
         F.col("ts").alias("modificationTime"),
     )
+
+
+def job_landings(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Pages of a job per customer, an order each, in three landings, and one page long after them.
+
+    Some jobs fail, some never end, and some lack a page they promise.
+    """
+    orders = table(spark, sf_dir, "orders")
+    sizes = orders.groupBy("o_custkey").agg(F.count_distinct("o_orderkey").alias("n"))
+    key = F.col("o_custkey")
+    status = F.when(key % 10 == 3, "FAILED").when(key % 10 == 6, "IN_PROGRESS").otherwise("SUCCEEDED")
+    word = _block(F.lit("w"), "WORD", text=F.col("o_orderpriority"))
+    pages = orders.join(sizes, "o_custkey").select(
+        key.cast("string").alias("doc_id"),
+        F.concat(F.lit("job-"), key.cast("string")).alias("job_id"),
+        F.col("o_orderkey").alias("page_seq"),
+        status.alias("job_status"),
+        F.lit(None).cast("string").alias("status_message"),
+        F.array(word).alias("blocks"),
+        (F.col("n") + (key % 7 == 2).cast("int")).alias("page_count"),
+    )
+
+    def at(hours: int) -> Column:
+        return F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hours)).alias("landed_at")
+
+    last = pages.limit(1).select(
+        F.lit("~").alias("doc_id"), F.lit("~").alias("job_id"), F.lit(0).cast("bigint").alias("page_seq"),
+        F.lit("IN_PROGRESS").alias("job_status"), "status_message", "blocks", "page_count", at(1000),
+    )
+    return [pages.filter(F.col("page_seq") % 3 == i).select("*", at(i)) for i in range(3)] + [last]
+
+
+def feed_landings(spark: SparkSession, sf_dir: str) -> dict[str, list[DataFrame]]:
+    """The feeds of the image records apart, each landing at an hour of its own, some of them never.
+
+    The last landing is an image of its own, long after the others.
+    """
+    records = image_records(spark, sf_dir)
+    user = F.substring_index("image_id", "-", 1).cast("bigint")
+    out = {}
+    for hour, (name, lost) in enumerate({"labels": user % 5 == 1, "text": user % 3 == 1, "faces": user % 7 == 1}.items()):
+        fields = [f.split()[0] for f in types.IMAGE_FEEDS[name].replace(", ", ",").split(",") if " " in f]
+        columns = [c for c in records.columns if c in fields]
+        at = F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hour)).alias("landed_at")
+        late = F.timestamp_seconds(F.lit(1_800_000_000)).alias("landed_at")
+        out[name] = [
+            records.filter(~lost).select(*columns, at),
+            records.limit(1).withColumn("image_id", F.lit("~")).select(*columns, late),
+        ]
+    return out
+
+
+# A table of addresses by a remainder: text, and whether it is one.
+ADDRESSES = [
+    ("a{n}@example.com", True), ("first.last+tag@mail-{n}.example.co", True), ("x_{n}@b.cd", True),
+    ("no mail {n}", False), ("a{n}@b", False), ("a{n}@@b.cd", False), (".a{n}@b.cd", False), ("a..b{n}@c.de", False),
+    ("a{n}@-b.cd", False), ("a{n}@b-.cd", False), ("a{n}@b..cd", False), ("a{n}@b.12", False), ("a{n}@b_c.de", False),
+    ("ü{n}@größe.de", True), ("{n}@1-2.io", True), ("a b{n}@c.de", False), ("@b{n}.cd", False), ("a{n}@", False),
+]
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An e-mail address per customer, many of them wrong in one way."""
+    key = F.col("c_custkey")
+    texts = F.array(*[F.lit(t) for t, _ in ADDRESSES])
+    text = F.replace(F.get(texts, (key % len(ADDRESSES)).cast("int")), F.lit("{n}"), key.cast("string"))
+    long = key % 97 == 5
+    text = F.when(long, F.concat(F.repeat(F.lit("a"), F.lit(64) + (key % 2).cast("int")), F.lit("@b.cd"))).otherwise(text)
+    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("address"))

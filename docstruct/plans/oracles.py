@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.report import IMAGE_ERROR, NO_DATA, NO_LICENCE, NO_VEHICLE
+from ..operators.report import IMAGE_ERROR, NO_DATA, NO_FILE, NO_LICENCE, NO_VEHICLE, UPLOAD_ERROR
 from ..schemas import FORM
 from . import derived
 from .prompts import FORM_TEMPLATE
@@ -44,7 +44,7 @@ kv AS (
          CASE WHEN l_quantity <= 6 THEN '' ELSE v_form || last_word END AS value,
          key_confidence,
          CASE WHEN l_quantity <= 6 THEN 0.0 ELSE v_conf END AS value_confidence
-  FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM rejected))
+  FROM lines ANTI JOIN rejected USING (doc_id))
 """
 
 
@@ -225,7 +225,98 @@ def _literal(text: str) -> str:
 
 _HEAD, _, _TAIL = FORM_TEMPLATE.replace("{schema}", FORM.json_schema()).partition("{data}")
 
+_PAGE_ROWS = """
+SELECT 'O' || o_orderkey AS doc_id, 'j' AS job_id, 0::BIGINT AS page_seq, 'SUCCEEDED' AS job_status
+FROM orders WHERE o_orderkey % 10 NOT IN (3, 6, 7)
+"""
+
+_PAGE_REJECTS = """
+SELECT CASE WHEN o_orderkey % 10 = 6 THEN 'O' || o_orderkey END AS doc_id,
+       'landing' AS stage, 'torn_line' AS reason,
+       CASE WHEN o_orderkey % 10 = 3 THEN '{"doc' ELSE
+         '{"doc_id":"O' || o_orderkey
+         || '","job_id":"j","page_seq":"first","job_status":"SUCCEEDED"}' END AS detail
+FROM orders WHERE o_orderkey % 10 IN (3, 6)
+"""
+
+_ALL_FEEDS = "split_part(image_id, '-', 1)::BIGINT % 5 <> 1 AND split_part(image_id, '-', 1)::BIGINT % 3 <> 1 AND split_part(image_id, '-', 1)::BIGINT % 7 <> 1"
+
 ORACLES: dict[str, str] = {
+    "job_choice": """
+WITH p AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS doc_id, 'job-' || o_custkey || '-' || (o_orderkey % 5) AS job_id,
+         o_orderkey % 5 AS attempt, o_orderkey AS seq,
+         CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'P' THEN 'FAILED' ELSE 'IN_PROGRESS' END AS job_status
+  FROM orders),
+s AS (SELECT doc_id, job_id, attempt, arg_max(job_status, seq) AS job_status FROM p GROUP BY ALL)
+SELECT doc_id, arg_max(job_id, attempt) FILTER (job_status = 'SUCCEEDED') AS chosen,
+       arg_max(job_id, attempt) AS latest, arg_max(job_status, attempt) AS job_status
+FROM s GROUP BY doc_id
+""",
+    "form_status": f"""
+WITH {LINES},
+rejected AS (
+  SELECT DISTINCT doc_id FROM lines
+  WHERE (l_orderkey % 97 = 0 AND l_quantity > 6) OR (l_orderkey % 89 = 5 AND l_linenumber = 1)),
+s AS (
+  SELECT o_orderkey AS n, CAST(o_orderkey AS VARCHAR) AS doc_id,
+    CASE WHEN o_orderkey % 11 = 0 THEN 'missing' WHEN o_orderkey % 13 = 0 THEN 'upload_error'
+         WHEN o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) THEN 'waiting'
+         WHEN o_orderkey % 50 = 7 THEN 'failed' WHEN o_orderkey % 50 = 9 THEN 'running'
+         WHEN rejected.doc_id IS NOT NULL THEN 'rejected' ELSE 'done' END AS state
+  FROM orders LEFT JOIN rejected ON rejected.doc_id = CAST(o_orderkey AS VARCHAR))
+SELECT doc_id, state,
+  CASE WHEN state = 'missing' THEN 'Message' WHEN state IN ('upload_error', 'failed') THEN 'Error' END AS kind,
+  CASE state WHEN 'missing' THEN '{NO_FILE}' WHEN 'upload_error' THEN '{UPLOAD_ERROR}timeout'
+    WHEN 'failed' THEN CASE WHEN n % 100 = 7 THEN 'bad scan' ELSE 'Unknown error' END END AS text
+FROM s
+""",
+    "call_rejects": """
+SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 'structure' AS stage, 'call_error' AS reason,
+       CASE WHEN c_custkey % 73 = 0 THEN 'TimeoutError: ' || c_custkey ELSE '{"error":"busy"}' END AS detail
+FROM customer WHERE c_custkey % 73 = 0 OR c_custkey % 71 = 0
+""",
+    "email_check": f"""
+SELECT c_custkey, CASE WHEN c_custkey % 97 = 5 THEN c_custkey % 2 = 0
+  ELSE [{", ".join(str(ok).upper() for _, ok in derived.ADDRESSES)}][c_custkey % {len(derived.ADDRESSES)} + 1] END AS valid
+FROM customer
+""",
+    "landed_pages": _PAGE_ROWS,
+    "landed_page_rejects": _PAGE_REJECTS,
+    "page_stream": _PAGE_ROWS,
+    "page_stream_rejects": _PAGE_REJECTS,
+    "licence_lines": f"""
+WITH {LICENCES}
+SELECT doc_id, key AS "Key", c_name AS "Value", {_pct('key_confidence')} AS "Key Confidence",
+       {_pct('value_confidence')} AS "Value Confidence"
+FROM licences WHERE key <> ''
+""",
+    "image_feed_lines": f"SELECT * FROM ({_REPORT}) WHERE {_ALL_FEEDS}",
+    "jobs_stream": """
+WITH j AS (
+  SELECT o_custkey AS n, count(DISTINCT o_orderkey) AS pages, count(*) AS words FROM orders GROUP BY o_custkey)
+SELECT CAST(n AS VARCHAR) AS doc_id, 'job-' || n AS job_id,
+       CASE WHEN open THEN 'timeout' ELSE 'page' END AS kind,
+       CASE WHEN open THEN 1 ELSE pages END AS pages,
+       CASE WHEN open THEN words || ' pages' END AS held,
+       CASE WHEN open THEN 0 ELSE words END AS words
+FROM (SELECT *, n % 10 <> 3 AND (n % 10 = 6 OR n % 7 = 2) AS open FROM j)
+""",
+    "feeds_stream": f"""
+WITH report AS ({_REPORT}), {_images()},
+u AS (SELECT DISTINCT image_id, user_id FROM ev)
+SELECT image_id, count(*) AS rows, CAST(NULL AS VARCHAR) AS missing FROM report WHERE {_ALL_FEEDS} GROUP BY image_id
+UNION ALL
+SELECT image_id, 0, concat_ws(', ', CASE WHEN user_id % 5 = 1 THEN 'labels' END,
+  CASE WHEN user_id % 3 = 1 THEN 'text' END, CASE WHEN user_id % 7 = 1 THEN 'faces' END)
+FROM u WHERE NOT ({_ALL_FEEDS}) AND NOT (user_id % 5 = 1 AND user_id % 3 = 1 AND user_id % 7 = 1)
+""",
+    "model_enrich_log": """
+SELECT CAST(c_custkey AS VARCHAR) AS doc_id, sha256(prompt) AS prompt_sha,
+  CASE WHEN prompt NOT LIKE '%7' THEN CASE WHEN length(prompt) % 2 = 1 THEN 'run 2' ELSE 'run 1' END END AS answer,
+  CASE WHEN prompt LIKE '%7' THEN 'ValueError: never' END AS error
+FROM (SELECT *, 'ask ' || c_mktsegment || ' ' || c_nationkey AS prompt FROM customer)
+""",
     "form_kv": _FORM_KV,
     "form_kv_stream": _FORM_KV,
     "form_kv_grouped": f"""
@@ -448,10 +539,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS doc_id, sha256(prompt) AS prompt_sha,
        CAST(NULL AS VARCHAR) AS error
 FROM (SELECT *, 'ask ' || c_mktsegment || ' ' || c_nationkey AS prompt FROM customer)
 """,
-    "page_rows": """
-SELECT 'O' || o_orderkey AS doc_id, 'j' AS job_id, 0::BIGINT AS page_seq, 'SUCCEEDED' AS job_status
-FROM orders WHERE o_orderkey % 10 NOT IN (3, 6, 7)
-""",
+    "page_rows": _PAGE_ROWS,
     "page_landings": """
 SELECT 'O' || o_orderkey AS doc_id, 'j' AS job_id, page_seq, 'SUCCEEDED' AS job_status
 FROM orders, (VALUES (0::BIGINT), (1::BIGINT)) AS landings(page_seq)
@@ -462,14 +550,7 @@ SELECT o_orderkey,
        CASE WHEN o_orderkey % 10 NOT IN (3, 6) THEN CAST(o_orderdate AS DATE) END AS date
 FROM orders
 """,
-    "page_rejects": """
-SELECT CASE WHEN o_orderkey % 10 = 6 THEN 'O' || o_orderkey END AS doc_id,
-       'landing' AS stage, 'torn_line' AS reason,
-       CASE WHEN o_orderkey % 10 = 3 THEN '{"doc' ELSE
-         '{"doc_id":"O' || o_orderkey
-         || '","job_id":"j","page_seq":"first","job_status":"SUCCEEDED"}' END AS detail
-FROM orders WHERE o_orderkey % 10 IN (3, 6)
-""",
+    "page_rejects": _PAGE_REJECTS,
     "feed_rejects": """
 WITH missing AS (
   SELECT 'I' || c_custkey AS doc_id, concat_ws(', ',

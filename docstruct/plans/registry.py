@@ -22,7 +22,7 @@ from ..operators.answers import (
 )
 from ..operators.blocks import dangling, edges, explode_blocks, key_blocks, value_blocks
 from ..operators.cases import pair_cases, single_inputs
-from ..operators.enrich import enrich_with_model, text_body
+from ..operators.enrich import enrich_with_log, enrich_with_model, text_body
 from ..operators.flatten import flatten_json
 from ..operators.images import (
     display_report,
@@ -33,7 +33,7 @@ from ..operators.images import (
     number_faces,
     top_label_rows,
 )
-from ..operators.jobs import failed_jobs, job_states
+from ..operators.jobs import failed_jobs, job_choice, job_states
 from ..operators.kv import (
     block_text,
     first_seen_order,
@@ -42,21 +42,31 @@ from ..operators.kv import (
     kv_payload,
     tokens,
 )
-from ..operators.report import IMAGE_ERROR, NO_LICENCE, NO_VEHICLE, status_rows
+from ..operators.report import IMAGE_ERROR, NO_LICENCE, NO_VEHICLE, form_status, status_rows
+from ..operators.validate import is_email
 from ..schemas import FORM
 from ..sources.readers import (
     append_pages,
+    land_lines,
+    landed_rejects,
     parse_lines,
+    read_id_results,
+    read_image_results,
+    read_landed,
+    stream_form_pages,
     stream_image_results,
+    stream_rejects,
     torn_lines,
     with_answer_text,
 )
-from ..sources.sinks import with_landing_key
+from ..sources.sinks import read_committed, with_landing_key
 from ..sources.staging import shared_dir, stage
-from ..streaming.ingest import ingest_forms, stream_images, write_stream
+from ..streaming.ingest import ingest_feeds, ingest_forms, stream_images, write_stream
+from ..streaming.jobs import use_state_store, whole_jobs
 from . import derived
 from .answers import form_prompts
 from .documents import extract_forms, extract_ids, id_payload, id_report
+from .vehicles import analyze_images
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -422,6 +432,143 @@ def image_report_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report_columns(spark.read.parquet(f"{base}/report"))
 
 
+def job_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several jobs a document: an order is a job, its date the attempt."""
+    polls = derived.order_polls(spark, sf_dir).withColumn("attempt", F.col("page_seq") % 5)
+    polls = polls.withColumn("job_id", F.concat_ws("-", "job_id", "attempt"))
+    chosen = job_choice(job_states(polls))
+    return chosen.select(
+        "doc_id",
+        F.col("chosen.job_id").alias("chosen"),
+        F.col("latest.job_id").alias("latest"),
+        F.col("latest.job_status").alias("job_status"),
+    )
+
+
+def form_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = derived.form_pages(spark, sf_dir)
+    orders = derived.table(spark, sf_dir, "orders")
+    expected = orders.select(F.col("o_orderkey").cast("string").alias("doc_id"))
+    number = F.col("doc_id").cast("bigint")
+    landed = expected.filter(number % 11 != 0).withColumn("error", F.when(number % 13 == 0, F.lit("timeout")))
+    return form_status(expected, landed, job_states(pages), extract_forms(pages).docs)
+
+
+def call_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What failed calls and responses without an answer said."""
+    answers = derived.model_responses(spark, sf_dir).withColumn(
+        "error", F.when(F.col("doc_id").cast("bigint") % 73 == 0, F.concat(F.lit("TimeoutError: "), "doc_id"))
+    )
+    answers = answers.withColumn("body", F.when(F.col("error").isNull(), F.col("body")))
+    _, rejects = structure_records(parse_answers(with_answer_text(answers)), FORM)
+    return rejects.filter("reason = 'call_error'")
+
+
+def email_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = derived.addresses(spark, sf_dir)
+    return found.select("c_custkey", is_email(F.col("address")).alias("valid"))
+
+
+def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "landed-pages")
+    land_lines(derived.page_lines(spark, sf_dir), types.FORM_PAGE, path)
+    return read_landed(spark, path, types.FORM_PAGE).select("doc_id", "job_id", "page_seq", "job_status")
+
+
+def landed_page_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "landed-pages")
+    land_lines(derived.page_lines(spark, sf_dir), types.FORM_PAGE, path)
+    return landed_rejects(spark, path, types.FORM_PAGE)
+
+
+def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a stream of JSON lines, torn ones left out."""
+    base = shared_dir(spark, "page-stream")
+    derived.page_lines(spark, sf_dir).write.text(f"{base}/landed")
+    pages = stream_form_pages(spark, f"{base}/landed")
+    write_stream(pages, f"{base}/pages", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/pages").select("doc_id", "job_id", "page_seq", "job_status")
+
+
+def page_stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = shared_dir(spark, "page-stream")
+    derived.page_lines(spark, sf_dir).write.text(f"{base}/landed")
+    torn = stream_rejects(spark, f"{base}/landed")
+    write_stream(torn, f"{base}/rejects", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/rejects")
+
+
+def licence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence results read back from JSON lines, and their report."""
+    path = shared_dir(spark, "licence-lines")
+    derived.licence_results(spark, sf_dir).drop("page_seq").write.json(path)
+    return id_report(extract_ids(read_id_results(spark, path)))
+
+
+def image_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of images whose three feeds are read back from JSON lines."""
+    base = shared_dir(spark, "feed-lines")
+    feeds = []
+    for name, landings in derived.feed_landings(spark, sf_dir).items():
+        landings[0].drop("landed_at").write.json(f"{base}/{name}")
+        feeds.append(read_image_results(spark, f"{base}/{name}", name))
+    return _report_columns(analyze_images(*feeds).report)
+
+
+def jobs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose pages land in three batches: the words of those that end, and those given up."""
+    base = shared_dir(spark, "job-stream")
+    for landing in derived.job_landings(spark, sf_dir):
+        landing.write.mode("append").parquet(f"{base}/landed")
+        stream = spark.readStream.schema(landing.schema).parquet(f"{base}/landed")
+        use_state_store(stream)
+        write_stream(whole_jobs(stream, 3600 * 24), f"{base}/jobs", f"{base}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{base}/jobs")
+    return found.groupBy("doc_id", "job_id", "kind").agg(
+        F.count_distinct("page_seq").alias("pages"),
+        F.max(F.when(F.col("kind") == "timeout", F.col("status_message"))).alias("held"),
+        F.count(F.get("blocks", F.lit(0))["Text"]).alias("words"),
+    )
+
+
+def feeds_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images whose feeds land one after another: their report rows, or what is missing."""
+    base = shared_dir(spark, "feed-stream")
+    streams = []
+    for name, landings in derived.feed_landings(spark, sf_dir).items():
+        for landing in landings:
+            landing.write.mode("append").parquet(f"{base}/{name}")
+        streams.append(spark.readStream.schema(landings[0].schema).parquet(f"{base}/{name}"))
+    ingest_feeds(*streams, f"{base}/out", f"{base}/checkpoint", 3600 * 24).awaitTermination()
+    report = read_committed(spark, f"{base}/out", "report").filter("image_id <> '~'")
+    rejects = read_committed(spark, f"{base}/out", "rejects")
+    return (
+        report.groupBy("image_id")
+        .agg(F.count(F.lit(1)).alias("rows"), F.lit(None).cast("string").alias("missing"))
+        .unionByName(rejects.select(F.col("doc_id").alias("image_id"), F.lit(0).cast("bigint").alias("rows"), F.col("detail").alias("missing")))
+    )
+
+
+def model_enrich_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that fails for some prompts, and one after it that asks for those only."""
+    prompts = derived.segment_prompts(spark, sf_dir)
+    log = shared_dir(spark, "responses")
+
+    def factory(options: dict):
+        def call(prompt: str) -> str:
+            if options["run"] == 1 and len(prompt) % 2:
+                raise RuntimeError("busy")
+            if prompt.endswith("7"):
+                raise ValueError("never")
+            return text_body(f"run {options['run']}")
+
+        return call
+
+    for run in (1, 2):
+        found = enrich_with_log(prompts, "prompt", factory, log, {"run": run}, slices=3, workers=4)
+    return with_answer_text(found).select("doc_id", "prompt_sha", "answer", "error")
+
+
 QUERIES: dict[str, Query] = {
     "form_kv": form_kv,
     "form_kv_grouped": form_kv_grouped,
@@ -465,4 +612,17 @@ QUERIES: dict[str, Query] = {
     "image_feeds": whole_images,
     "form_kv_stream": form_kv_stream,
     "image_report_stream": image_report_stream,
+    "job_choice": job_choices,
+    "form_status": form_statuses,
+    "call_rejects": call_rejects,
+    "email_check": email_check,
+    "landed_pages": landed_pages,
+    "landed_page_rejects": landed_page_rejects,
+    "page_stream": page_stream,
+    "page_stream_rejects": page_stream_rejects,
+    "licence_lines": licence_lines,
+    "image_feed_lines": image_feed_lines,
+    "jobs_stream": jobs_stream,
+    "feeds_stream": feeds_stream,
+    "model_enrich_log": model_enrich_log,
 }

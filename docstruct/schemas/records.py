@@ -46,6 +46,16 @@ PATTERNS = {
     "zip": r"^\d{5}(-\d{4})?$",
 }
 
+#: How a value of each pattern is written, for prompts.
+_FORMATS = {
+    "date": "a date as MM/DD/YYYY",
+    "tax_id": "an employer number (12-3456789) or a social security number (123-45-6789)",
+    "strict_tax_id": "an employer number (12-3456789) or a social security number (123-45-6789)",
+    "state": "a state as two capital letters",
+    "zip": "a postal code of five digits, or of nine as 12345-6789",
+}
+_DATE = re.compile(r"(?i)date|expir|birth")
+
 # Fields of the insurance form record, in record order.
 FORM_MODELS = {
     "Header": "application_date:date policy_number agency_customer_id",
@@ -257,14 +267,36 @@ class Record:
 
     def json_schema(self) -> str:
         """JSON schema text for prompts: optional fields may be null, and every field says in
-        words what its name abbreviates."""
+        words what its name abbreviates and in what form and unit its value is wanted."""
 
         def optional(f: Field, out: dict) -> dict:
             if not f.required:
                 out["type"] = [out["type"], "null"]
                 if "enum" in out:
                     out["enum"] = [*out["enum"], None]
-            return {**out, "description": spelled(f.name)}
+            return {**out, "description": f"{spelled(f.name)}: {wanted(f)}"}
+
+        def wanted(f: Field) -> str:
+            if f.pattern:
+                return _FORMATS[f.pattern]
+            if f.options:
+                return "one of the listed values, in capitals"
+            if f.email:
+                return "an e-mail address"
+            if f.kind == "bool":
+                return "true if marked or answered yes, false if answered no"
+            if f.kind in ("int", "float"):
+                kind = "a whole number" if f.kind == "int" else "a number without currency sign or commas"
+                if f.hi is not None:
+                    return f"{kind} from {f.lo:g} to {f.hi:g}"
+                return kind if f.lo is None else f"{kind}, {f.lo:g} or more"
+            if f.kind == "list":
+                return "one entry for each that the document lists, in its order"
+            if f.kind == "object":
+                return "the fields of this part of the document"
+            if _DATE.search(f.name):
+                return "a date as the document writes it"
+            return "text as the document writes it"
 
         def spelled(name: str) -> str:
             apart = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from .. import types
 from .sinks import reject_rows
@@ -107,13 +106,54 @@ def append_pages(*pages: DataFrame) -> DataFrame:
     return out
 
 
+def _stream(spark: SparkSession, path: str, ddl: str, fmt: str) -> DataFrame:
+    if fmt == "json":
+        return parse_lines(spark.readStream.text(path), ddl)
+    return spark.readStream.schema(ddl).format(fmt).load(path)
+
+
 def stream_form_pages(
-    spark: SparkSession, path: str, fmt: str = "json", schema: str | StructType = types.FORM_PAGE
+    spark: SparkSession, path: str, fmt: str = "json", schema: str = types.FORM_PAGE
+) -> DataFrame:
+    """Landed form pages as a file stream; torn lines are left out, see ``stream_rejects``."""
+    return _stream(spark, path, schema, fmt)
+
+
+def stream_image_results(
+    spark: SparkSession, path: str, fmt: str = "json", kind: str | None = None
+) -> DataFrame:
+    """Landed image records as a file stream, all three feeds in one record, or one feed of them."""
+    return _stream(spark, path, types.IMAGE_FEEDS[kind] if kind else types.IMAGE_RECORD, fmt)
+
+
+def stream_rejects(
+    spark: SparkSession, path: str, ddl: str = types.FORM_PAGE, key: str = "doc_id"
 ) -> DataFrame:
-    """Landed form pages as a file stream. Landing writes a job only once it is complete."""
-    return spark.readStream.schema(schema).format(fmt).load(path)
+    """Rejects of the torn lines of a file stream of JSON lines."""
+    return torn_lines(spark.readStream.text(path), ddl, key)
+
+
+LANDED, TORN = "rows", "torn"
+
+
+def land_lines(lines: DataFrame, ddl: str, path: str, mode: str = "append") -> None:
+    """Parse the JSON lines in column ``value`` once and write typed rows and rejects to ``path``.
+
+    Both are parts of one Parquet table, dealt by a partition column, so one job writes both and they
+    appear together. ``read_landed`` gives the rows and ``landed_rejects`` the rejects; both read their own part
+    and columns only.
+    """
+    parsed = _parse(lines, ddl)
+    kind = F.when(F.col(_TORN).isNull(), LANDED).otherwise(TORN)
+    parsed.withColumn("landed", kind).write.mode(mode).partitionBy("landed").parquet(path)
+
+
+def read_landed(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    rows = spark.read.schema(f"{ddl}, {_TORN} string, landed string").parquet(path)
+    return rows.filter(F.col("landed") == LANDED).drop("landed", _TORN)
 
 
-def stream_image_results(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Landed image records, all three feeds in one record, as a file stream."""
-    return spark.readStream.schema(types.IMAGE_RECORD).format(fmt).load(path)
+def landed_rejects(spark: SparkSession, path: str, ddl: str, key: str = "doc_id") -> DataFrame:
+    rows = spark.read.schema(f"{ddl}, {_TORN} string, landed string").parquet(path)
+    torn = rows.filter(F.col("landed") == TORN).select(F.col(key).alias("doc_id"), _TORN)
+    return reject_rows(torn, "landing", "torn_line", _TORN)

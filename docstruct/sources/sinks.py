@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.json import record_json
 from ..functions.text import basename, stamp
@@ -53,6 +53,26 @@ def write_rejects(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).partitionBy("stage").parquet(path)
 
 
+COMMITS = "commits"
+
+
+def commit_batch(spark: SparkSession, out_dir: str, batch_id: int) -> None:
+    """Say that all tables of a batch under ``out_dir`` are written."""
+    spark.range(1).select(F.current_timestamp().alias("at")).coalesce(1).write.mode("overwrite").parquet(
+        f"{out_dir}/{COMMITS}/batch_id={batch_id}"
+    )
+
+
+def read_committed(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
+    """Rows of the table ``name`` of all batches whose commit is there.
+
+    The table's folders are pruned by the batches at run time, so those of half-written batches are
+    not read.
+    """
+    commits = spark.read.parquet(f"{out_dir}/{COMMITS}").select("batch_id").distinct()
+    return spark.read.parquet(f"{out_dir}/{name}").join(commits, "batch_id", "left_semi")
+
+
 def reject_rows(docs: DataFrame, stage: str, reason: str, detail: str | None = None) -> DataFrame:
     """``doc_id, stage, reason, detail`` rows."""
     return docs.select(

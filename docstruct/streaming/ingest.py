@@ -1,34 +1,37 @@
-"""Incremental runs over landed files. Neither needs a state store or a watermark."""
+"""Incremental runs over landed files.
+
+Whole jobs and whole image records need no state. Jobs and images that land in parts are put together
+by keyed state first, see ``jobs`` and ``feeds``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.images import image_report, image_results
-from ..plans.documents import Extracted, extract_forms
-from ..sources.staging import drop_folder, shared_dir
+from ..plans.documents import extract_forms
+from ..sources.sinks import commit_batch
+from ..sources.staging import drop_folder, shared_dir, stage_at
+from .feeds import gathered_feeds, gathered_records, gathered_rejects
+from .jobs import timeout_rejects, use_state_store, whole_jobs
 
 
-def ingest_forms(stream: DataFrame, out_dir: str, checkpoint_dir: str) -> StreamingQuery:
-    """Extract every batch of form pages to ``out_dir/kv`` and ``out_dir/rejects``.
+def write_batch(out_dir: str, batch_id: int, tables: dict[str, DataFrame]) -> None:
+    """Write the tables of a batch and, after the last one, the batch's commit.
 
-    Landing writes a job once it is complete, so all pages of a job are in one batch.
-    A batch overwrites its own folder: when it is retried, nothing is doubled. Its pairs are
-    stored once while both outputs are written, and deleted afterwards.
+    A batch overwrites its own folders, so a retry doubles nothing. Readers that take committed batches
+    only (``sinks.read_committed``) see all tables of a batch or none.
     """
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch_id={batch_id}")
+    commit_batch(next(iter(tables.values())).sparkSession, out_dir, batch_id)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        folder = shared_dir(batch.sparkSession, "form-pairs")
-        try:
-            write_batch(extract_forms(batch, folder=folder), batch_id)
-        finally:
-            drop_folder(batch.sparkSession, folder)
-
-    def write_batch(found: Extracted, batch_id: int) -> None:
-        found.kv.write.mode("overwrite").parquet(f"{out_dir}/kv/batch_id={batch_id}")
-        found.rejects.write.mode("overwrite").parquet(f"{out_dir}/rejects/batch_id={batch_id}")
 
+def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint_dir: str) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint_dir)
@@ -37,6 +40,77 @@ def ingest_forms(stream: DataFrame, out_dir: str, checkpoint_dir: str) -> Stream
     )
 
 
+@contextmanager
+def _staged(df: DataFrame, name: str) -> Iterator[str]:
+    """A shared folder that is deleted afterwards."""
+    folder = shared_dir(df.sparkSession, name)
+    try:
+        yield folder
+    finally:
+        drop_folder(df.sparkSession, folder)
+
+
+def ingest_forms(stream: DataFrame, out_dir: str, checkpoint_dir: str) -> StreamingQuery:
+    """Extract every batch of form pages to ``out_dir/kv`` and ``out_dir/rejects``.
+
+    For landings that write a job once it is complete, so that all pages of a job are in one batch; see
+    ``ingest_jobs`` for others. Pairs are stored once while both outputs are written, and deleted afterwards.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with _staged(batch, "form-pairs") as folder:
+            found = extract_forms(batch, folder=folder)
+            write_batch(out_dir, batch_id, {"kv": found.kv, "rejects": found.rejects})
+
+    return _start(stream, write, checkpoint_dir)
+
+
+def ingest_jobs(
+    stream: DataFrame,
+    out_dir: str,
+    checkpoint_dir: str,
+    timeout_seconds: int = 24 * 3600,
+    late_seconds: int = 3600,
+) -> StreamingQuery:
+    """``ingest_forms`` for pages of a job that land in several batches (see ``jobs.whole_jobs``).
+
+    A job is extracted in the batch its last page lands in. Jobs given up are rejects as well.
+    """
+    use_state_store(stream)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with _staged(batch, "form-jobs") as jobs, _staged(batch, "form-pairs") as folder:
+            # State is read once: a second pass over the batch would run the stateful operator again.
+            held = stage_at(batch, jobs)
+            found = extract_forms(held.filter("kind = 'page'").drop("kind"), folder=folder)
+            rejects = found.rejects.unionByName(timeout_rejects(held))
+            write_batch(out_dir, batch_id, {"kv": found.kv, "rejects": rejects})
+
+    return _start(whole_jobs(stream, timeout_seconds, late_seconds), write, checkpoint_dir)
+
+
+def ingest_feeds(
+    labels: DataFrame,
+    text: DataFrame,
+    faces: DataFrame,
+    out_dir: str,
+    checkpoint_dir: str,
+    timeout_seconds: int = 24 * 3600,
+    late_seconds: int = 3600,
+) -> StreamingQuery:
+    """Report rows and rejects of images whose feeds land apart, to ``out_dir/report`` and ``out_dir/rejects``."""
+    use_state_store(labels)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with _staged(batch, "image-feeds") as folder:
+            held = stage_at(batch, folder)
+            report = image_report(image_results(gathered_records(held)))
+            write_batch(out_dir, batch_id, {"report": report, "rejects": gathered_rejects(held)})
+
+    gathered = gathered_feeds(labels, text, faces, timeout_seconds, late_seconds)
+    return _start(gathered, write, checkpoint_dir)
+
+
 def stream_images(stream: DataFrame) -> DataFrame:
     """Report rows of landed image records; row-local, append mode."""
     return image_report(image_results(stream))
