@@ -7,6 +7,9 @@ is then joined to the digests of known licence texts, made by the same expressio
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import without
@@ -173,10 +176,14 @@ OTHER = "[^a-z0-9\u0080-\U0010ffff]+"
 
 def canonical(text: Column) -> Column:
     """Canonical form; null counts as empty. Non-ASCII letters stay as they are."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), TITLE, "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.regexp_replace(low, TITLE, "")
     out = F.regexp_replace(out, WRAPPED, "$1$2\x01copyright$3")
     out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
     out = F.regexp_replace(out, RESERVED, " ")
+    # Few texts hold any of the words that these patterns look for.
+    signs = [F.contains(low, F.lit(s)) for s in ("licen", "mit", "copyright", "(c)", "©", "all rights reserved")]
+    out = F.when(reduce(or_, signs), out).otherwise(low)
     # Words get blanks of their own on both sides, so that plain replacement works on whole words.
     out = F.concat(F.lit(" "), F.regexp_replace(out, OTHER, "  "), F.lit(" "))
     for spelling, same in EQUIVALENT:
