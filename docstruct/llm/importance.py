@@ -34,7 +34,7 @@ SEED = 2024
 MIN_WORDS = 20
 PERCENT = 10
 #: Bytes of text that are split at once.
-AT_ONCE = 32_000_000
+AT_ONCE = 8_000_000
 #: Gains and weights are whole thousandths.
 UNIT = 1000
 COUNTS = "bucket int, n long"

@@ -30,10 +30,10 @@ END_ID = 1
 #: Ranks are counted in so many parts of each length, so that a length with a third of all
 #: pieces is no single task's work.
 RANK_PARTS = 256
-#: Stems whose ids a Python worker remembers: about 120 MB when full.
-CACHED_STEMS = 600_000
+#: Stems whose ids a Python worker remembers: about 60 MB when full.
+CACHED_STEMS = 300_000
 #: Bytes of text that are tokenized at once.
-AT_ONCE = 16_000_000
+AT_ONCE = 6_000_000
 
 #: Letters that stay one letter in composed lower case, and marks that follow a word.
 _LETTER = r"[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}]$"
@@ -128,7 +128,7 @@ def token_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndar
         np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(raw), "<u4")
     )
     # Stem and tail of every word of the texts, by turns.
-    both = np.stack([stem, tail + len(stems)], axis=1)[words.indices.to_numpy()]
+    both = np.stack([stem, tail + np.int32(len(stems))], axis=1)[words.indices.to_numpy()]
     ids = table.take(pa.array(both.reshape(-1))).flatten().to_numpy()
     upto = np.concatenate([[0], np.cumsum(sizes[both].sum(axis=1))])
     places = lists.offsets.to_numpy().astype(np.int64)
@@ -186,6 +186,8 @@ def tokenize_pieces(
                     arrays.append(pa.array([bytes(c) for c in cuts], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+                # A worker lives on after its task; what it no longer needs goes back to the machine.
+                pa.default_memory_pool().release_unused()
 
     pieces = docs.select(docs[key].alias("key"), docs[text_col].alias("text")).mapInArrow(
         cut, f"key {kind}, {columns}"
