@@ -30,8 +30,8 @@ END_ID = 1
 #: Ranks are counted in so many parts of each length, so that a length with a third of all
 #: pieces is no single task's work.
 RANK_PARTS = 256
-#: Stems whose ids a Python worker remembers: about 60 MB when full.
-CACHED_STEMS = 300_000
+#: Stems whose ids a Python worker remembers: about 90 MB when full.
+CACHED_STEMS = 450_000
 #: Bytes of text that are tokenized at once.
 AT_ONCE = 6_000_000
 
