@@ -230,6 +230,10 @@ SELECT 'O' || o_orderkey AS doc_id, 'j' AS job_id, 0::BIGINT AS page_seq, 'SUCCE
 FROM orders WHERE o_orderkey % 10 NOT IN (3, 6, 7)
 """
 
+_SEGMENTS = """
+SELECT c_mktsegment AS segment, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS length FROM customer GROUP BY c_mktsegment
+"""
+
 _PAGE_REJECTS = """
 SELECT CASE WHEN o_orderkey % 10 = 6 THEN 'O' || o_orderkey END AS doc_id,
        'landing' AS stage, 'torn_line' AS reason,
@@ -292,6 +296,8 @@ SELECT doc_id, key AS "Key", c_name AS "Value", {_pct('key_confidence')} AS "Key
 FROM licences WHERE key <> ''
 """,
     "image_feed_lines": f"SELECT * FROM ({_REPORT}) WHERE {_ALL_FEEDS}",
+    "landed_files": _SEGMENTS,
+    "landed_files_stream": f"{_SEGMENTS} UNION ALL {_SEGMENTS}",
     "jobs_stream": """
 WITH j AS (
   SELECT o_custkey AS n, count(DISTINCT o_orderkey) AS pages, count(*) AS words FROM orders GROUP BY o_custkey)

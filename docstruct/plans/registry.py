@@ -49,12 +49,14 @@ from ..sources.readers import (
     append_pages,
     land_lines,
     landed_rejects,
+    list_landed_files,
     parse_lines,
     read_id_results,
     read_image_results,
     read_landed,
     stream_form_pages,
     stream_image_results,
+    stream_landed_files,
     stream_rejects,
     torn_lines,
     with_answer_text,
@@ -515,6 +517,32 @@ def image_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report_columns(analyze_images(*feeds).report)
 
 
+def _segment_files(spark: SparkSession, sf_dir: str, base: str) -> None:
+    """A text file of names for each segment, in a folder of its own."""
+    names = derived.table(spark, sf_dir, "customer").select("c_mktsegment", "c_name")
+    names.coalesce(1).write.mode("append").partitionBy("c_mktsegment").text(base)
+
+
+def _segments(files: DataFrame) -> DataFrame:
+    return files.select(F.regexp_extract("path", "c_mktsegment=([^/]+)", 1).alias("segment"), "length")
+
+
+def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = shared_dir(spark, "landed-files")
+    _segment_files(spark, sf_dir, base)
+    return _segments(list_landed_files(spark, base, ["TXT"]))
+
+
+def landed_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two listings with a landing before each: every file once."""
+    base = shared_dir(spark, "landed-files")
+    for _ in range(2):
+        _segment_files(spark, sf_dir, f"{base}/in")
+        files = stream_landed_files(spark, f"{base}/in", ["txt"], 2)
+        write_stream(files, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return _segments(spark.read.parquet(f"{base}/out"))
+
+
 def jobs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs whose pages land in three batches: the words of those that end, and those given up."""
     base = shared_dir(spark, "job-stream")
@@ -622,6 +650,8 @@ QUERIES: dict[str, Query] = {
     "page_stream_rejects": page_stream_rejects,
     "licence_lines": licence_lines,
     "image_feed_lines": image_feed_lines,
+    "landed_files": landed_files,
+    "landed_files_stream": landed_files_stream,
     "jobs_stream": jobs_stream,
     "feeds_stream": feeds_stream,
     "model_enrich_log": model_enrich_log,

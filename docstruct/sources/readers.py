@@ -86,16 +86,38 @@ def with_answer_text(responses: DataFrame) -> DataFrame:
     return responses.withColumn("answer", F.get(content, 0)["text"])
 
 
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _of_kind(files: DataFrame, extensions: Sequence[str]) -> DataFrame:
+    """``path, length, modificationTime`` by lower-cased extension; contents are never read."""
+    extension = F.lower(F.substring_index("path", ".", -1))
+    files = files.select("path", "length", "modificationTime")
+    return files.filter(extension.isin([e.lower().lstrip(".") for e in extensions]))
+
+
 def list_landed_files(spark: SparkSession, path: str, extensions: Sequence[str]) -> DataFrame:
-    """Landed files by lower-cased extension. File contents are never read."""
+    """All landed files of these kinds, in one listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return _of_kind(files, extensions)
+
+
+def stream_landed_files(
+    spark: SparkSession, path: str, extensions: Sequence[str], files_per_batch: int = 10_000
+) -> DataFrame:
+    """Files as they land: a run takes those that no earlier run with its checkpoint has listed.
+
+    The stream's own log knows what was listed; a batch is ``files_per_batch`` files at most, so the driver
+    plans that many at a time.
+    """
     files = (
-        spark.read.format("binaryFile")
+        spark.readStream.format("binaryFile")
+        .schema(_FILES)
         .option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", files_per_batch)
         .load(path)
-        .select("path", "length", "modificationTime")
     )
-    extension = F.lower(F.substring_index("path", ".", -1))
-    return files.filter(extension.isin([e.lower().lstrip(".") for e in extensions]))
+    return _of_kind(files, extensions)
 
 
 def append_pages(*pages: DataFrame) -> DataFrame:

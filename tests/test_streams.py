@@ -192,3 +192,18 @@ def test_addresses(spark):
     table = spark.createDataFrame([(x,) for x in [*good, *bad, None]], "t string")
     found = {r.t: r.v for r in table.select("t", is_email(F.col("t")).alias("v")).collect()}
     assert found == {**dict.fromkeys(good, True), **dict.fromkeys(bad, False), None: None}
+
+
+def test_files_are_listed_once(spark, tmp_path):
+    landed, out = tmp_path / "in", str(tmp_path / "out")
+    (landed / "deep").mkdir(parents=True)
+    stream = lambda: readers.stream_landed_files(spark, str(landed), ["pdf", ".PNG"], 1)
+    runs = []
+    for names in (["a.pdf", "deep/b.PDF", "c.txt"], ["d.png", "e.pdf.bak"], []):
+        for n in names:
+            (landed / n).write_bytes(b"12345")
+        ingest.write_stream(stream(), out, f"{out}-check").awaitTermination()
+        runs.append(sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(out).collect()))
+    assert runs == [["a.pdf", "b.PDF"], ["a.pdf", "b.PDF", "d.png"], ["a.pdf", "b.PDF", "d.png"]]
+    assert {r.length for r in spark.read.parquet(out).collect()} == {5}
+    assert "content" not in stream().columns
