@@ -296,6 +296,23 @@ SELECT doc_id, key AS "Key", c_name AS "Value", {_pct('key_confidence')} AS "Key
 FROM licences WHERE key <> ''
 """,
     "image_feed_lines": f"SELECT * FROM ({_REPORT}) WHERE {_ALL_FEEDS}",
+    "case_outcomes": f"""
+WITH {_images()}
+SELECT 'C' || c_custkey || '-0' AS case_id,
+       CASE WHEN c_custkey || '-0' NOT IN (SELECT image_id FROM ev) THEN 'unstructured'
+            WHEN c_custkey % 10 = 0 THEN 'call_error' ELSE 'record' END AS outcome
+FROM customer
+""",
+    "record_files": f"""
+WITH {ANSWERS}
+SELECT doc_id, CAST(c_custkey % 12 AS BIGINT) AS years_checked, TRUE AS unsigned FROM final WHERE outcome IS NULL
+""",
+    "kv_files": f"""
+WITH {LICENCES}
+SELECT doc_id, key AS "Key", c_name AS "Value", {_pct('key_confidence')} AS "Key Confidence",
+       {_pct('value_confidence')} AS "Value Confidence"
+FROM licences WHERE key <> ''
+""",
     "landed_files": _SEGMENTS,
     "landed_files_stream": f"{_SEGMENTS} UNION ALL {_SEGMENTS}",
     "jobs_stream": """

@@ -61,14 +61,14 @@ from ..sources.readers import (
     torn_lines,
     with_answer_text,
 )
-from ..sources.sinks import read_committed, with_landing_key
+from ..sources.sinks import read_committed, with_landing_key, write_kv, write_records
 from ..sources.staging import shared_dir, stage
 from ..streaming.ingest import ingest_feeds, ingest_forms, stream_images, write_stream
 from ..streaming.jobs import use_state_store, whole_jobs
 from . import derived
 from .answers import form_prompts
 from .documents import extract_forms, extract_ids, id_payload, id_report
-from .vehicles import analyze_images
+from .vehicles import analyze_images, process_cases
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -517,6 +517,48 @@ def image_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report_columns(analyze_images(*feeds).report)
 
 
+def case_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of every case: a record, a reject with its reason, or nothing to structure."""
+
+    def factory(options: dict):
+        def call(prompt: str) -> str:
+            if '"key":""' in prompt:
+                raise RuntimeError("busy")
+            return text_body('{"vehicle": {}, "driver": {}}')
+
+        return call
+
+    found = process_cases(
+        derived.licence_cases(spark, sf_dir), derived.image_records(spark, sf_dir),
+        derived.licence_results(spark, sf_dir), factory,
+    )
+    return (
+        found.records.select("case_id", F.lit("record").alias("outcome"))
+        .unionByName(found.rejects.select("case_id", F.col("reason").alias("outcome")))
+        .unionByName(found.unstructured.select("case_id", F.lit("unstructured").alias("outcome")))
+    )
+
+
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as JSON with every declared field, and read back."""
+    records, _ = structure_records(_parsed(spark, sf_dir), FORM)
+    path = shared_dir(spark, "records")
+    write_records(records, path, "json")
+    stored = spark.read.schema("doc_id string, record_json string").json(path)
+    history = F.get_json_object("record_json", "$.loss_history.years_checked").cast("bigint")
+    return stored.select(
+        "doc_id", history.alias("years_checked"),
+        F.contains("record_json", F.lit('"signature_info":null')).alias("unsigned"),
+    )
+
+
+def kv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence pairs written in folders by key text, and the report of one of them."""
+    path = shared_dir(spark, "kv")
+    write_kv(extract_ids(derived.licence_results(spark, sf_dir)), path, ("key",))
+    return id_report(spark.read.parquet(path).filter("key = 'Name'"))
+
+
 def _segment_files(spark: SparkSession, sf_dir: str, base: str) -> None:
     """A text file of names for each segment, in a folder of its own."""
     names = derived.table(spark, sf_dir, "customer").select("c_mktsegment", "c_name")
@@ -650,6 +692,9 @@ QUERIES: dict[str, Query] = {
     "page_stream_rejects": page_stream_rejects,
     "licence_lines": licence_lines,
     "image_feed_lines": image_feed_lines,
+    "case_outcomes": case_outcomes,
+    "record_files": record_files,
+    "kv_files": kv_files,
     "landed_files": landed_files,
     "landed_files_stream": landed_files_stream,
     "jobs_stream": jobs_stream,
