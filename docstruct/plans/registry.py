@@ -640,12 +640,6 @@ def model_enrich_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "form_kv": form_kv,
-    "form_kv_grouped": form_kv_grouped,
-    "form_rejects": form_rejects,
-    "form_block_text": form_block_text,
-    "form_dangling": form_dangling,
-    "form_payloads": form_payloads,
     "id_kv": id_kv,
     "id_report": id_report_rows,
     "id_status": id_status,
@@ -673,6 +667,12 @@ QUERIES: dict[str, Query] = {
     "prompt_rows": prompt_rows,
     "model_enrich_stub": model_enrich_stub,
     "model_enrich_resume": model_enrich_resume,
+    "form_kv": form_kv,
+    "form_kv_grouped": form_kv_grouped,
+    "form_rejects": form_rejects,
+    "form_block_text": form_block_text,
+    "form_dangling": form_dangling,
+    "form_payloads": form_payloads,
     "landing_keys": landing_keys,
     "page_rows": page_rows,
     "page_rejects": page_rejects,
