@@ -22,7 +22,7 @@ from .blocks import (
     value_blocks,
     value_ids,
 )
-from .skew import MIN_HOT_ROWS, hot_keys, key_hash, slot_many, slot_one, spread_join
+from .skew import MAX_HOT, MIN_HOT_ROWS, hot_keys, key_hash, slot_many, slot_one, spread_join
 
 PAIR_COLUMNS = ["doc_id", "page_seq", "pos", "key", "value", "key_confidence", "value_confidence"]
 
@@ -191,15 +191,15 @@ def pair_blocks(
 
 
 def giant_documents(pages: DataFrame, min_rows: int = MIN_HOT_ROWS) -> list:
-    """Ids of the documents with over ``min_rows`` blocks and over a thousandth of all blocks.
+    """Ids of the documents with over ``min_rows`` blocks, the ``MAX_HOT`` largest of them at most.
 
-    There are fewer than a thousand, whatever the table holds. Reads the number of blocks only.
+    Any document with over a thousandth of all blocks is among these. Reads the number of blocks only.
     """
-    sizes = pages.groupBy("doc_id").agg(F.sum(F.size(F.col("blocks")["BlockType"])).alias("n"))
-    large = sizes.filter(F.col("n") > min_rows)
-    total = pages.agg(F.sum(F.size(F.col("blocks")["BlockType"])).alias("total"))
-    found = large.join(F.broadcast(total), F.col("n") * 1000 > F.col("total"))
-    return [r["doc_id"] for r in found.filter(F.col("doc_id").isNotNull()).collect()]
+    sizes = pages.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.sum(F.size(F.col("blocks")["BlockType"])).alias("n")
+    )
+    largest = sizes.filter(F.col("n") > min_rows).orderBy(F.desc("n"), "doc_id").limit(MAX_HOT)
+    return [r["doc_id"] for r in largest.collect()]
 
 
 def pair_pages(
