@@ -38,8 +38,10 @@ ORDERS = (1, 2, 3, 4)
 #: Confidence steps of the lexicon features.
 STEPS = (0.6, 0.9, 0.99)
 BLOCK = 64
-#: Words that are labelled at once, and word scores that a Python worker remembers.
-AT_ONCE = 400_000
+#: Words that are labelled at once, different words that are scored at once, and word scores that a
+#: Python worker remembers.
+AT_ONCE = 200_000
+SCORED = 20_000
 CACHED_WORDS = 300_000
 
 #: Letters, and numerals such as a half, which are no letters.
@@ -96,8 +98,12 @@ class Field:
     def emissions(self, words: Sequence[str]) -> np.ndarray:
         """Scores of different words, a row each."""
         out = np.zeros((len(words), len(self.languages)))
-        if not words:
-            return out
+        for at in range(0, len(words), SCORED):
+            out[at : at + SCORED] = self._emissions(words[at : at + SCORED])
+        return out
+
+    def _emissions(self, words: Sequence[str]) -> np.ndarray:
+        out = np.zeros((len(words), len(self.languages)))
         ids, own = _features(words)
         for k in range(out.shape[1]):
             out[:, k] = np.bincount(own, self.weights[ids, k], len(words))

@@ -30,8 +30,8 @@ END_ID = 1
 #: Ranks are counted in so many parts of each length, so that a length with a third of all
 #: pieces is no single task's work.
 RANK_PARTS = 256
-#: Stems whose ids a Python worker remembers: about 90 MB when full.
-CACHED_STEMS = 450_000
+#: Stems whose ids a Python worker remembers: about 60 MB when full.
+CACHED_STEMS = 300_000
 #: Bytes of text that are tokenized at once.
 AT_ONCE = 6_000_000
 
@@ -64,9 +64,10 @@ def encode_parts(tokenizer, parts: list[str], block: int = 2000) -> Iterator[byt
     does not come back as often as it was put in, they are encoded one by one.
     """
     mark = tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
-    blocks = [parts[i : i + block] for i in range(0, len(parts), block)]
-    texts = [f" {_BETWEEN} ".join(b) for b in blocks]
-    for own, e in zip(blocks, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+    for start in range(0, len(parts), block):
+        own = parts[start : start + block]
+        # One block at a time: an encoding holds far more than ids.
+        [e] = tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(own)], add_special_tokens=False)
         ids = np.array(e.ids, "<u4")
         at = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else []
         if len(at) == len(own) - 1:
