@@ -8,6 +8,7 @@ from docstruct import types
 from docstruct.operators import kv, skew
 from docstruct.operators.blocks import dangling, edges, explode_blocks, key_blocks, value_blocks
 from docstruct.operators.jobs import gate_jobs
+from docstruct.plans import derived
 from docstruct.plans.documents import extract_forms, extract_ids, form_outputs, id_report
 from model import pairs as model_pairs
 
@@ -354,3 +355,26 @@ def test_pairing_plan(spark, tmp_path, corpus):
     assert len(schemas) == 3
     assert sum("Text" in x for x in schemas) == 1
     assert sum("Relationships" in x or "..." in x for x in schemas) >= 2
+
+
+def test_dealt_pages_stay_where_they_are(spark, corpus):
+    """The gate, pairing and de-duplication leave pages in the tasks they were dealt to, and make arrays once."""
+    dealt = corpus.repartition(3, "doc_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with skew.partitions_kept(spark):
+            ready = gate_jobs(dealt)[0]
+            plans = [plan_of(kv.pair_blocks(ready, "form", by_document=True, dealt=True)), plan_of(kv.tokens(dealt, "form"))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for plan in plans:
+        assert plan.count("Exchange hashpartitioning(") == plan.count("REPARTITION_BY_NUM") > 0
+        assert "size(" not in plan.split("Generate")[-1]
+
+
+def test_spread_tasks_grow_with_rows(spark):
+    rows = spark.range(10)
+    few, many = (derived.spread(rows, n, ("id",)).rdd.getNumPartitions() for n in (10, 50 * derived.ROWS_PER_TASK))
+    assert few == spark.sparkContext.defaultParallelism and many == 50
