@@ -1,95 +1,92 @@
-"""Images whose three feeds land as separate streams, put together with keyed state.
+"""Images whose three feeds land as separate streams, put together in a table of open images.
 
-One state an image holds what has landed of it. The image comes out when its last feed lands; one that
-lacks a feed for too long is given up by a timer, which names the feeds that are missing. Feeds may land in
-any order and any batch. One state an image replaces a chain of two outer joins, each of which would keep
-both of its sides until the watermark had passed, whole images included.
+One row an image holds what has landed of it. The image comes out when its last feed lands; one that
+lacks a feed for too long is given up, and the feeds that are missing are named. Feeds may land in any order
+and any batch. One row an image replaces a chain of two outer joins, each of which would keep both of its
+sides until the watermark had passed, whole images included.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import types
 from ..sources.sinks import reject_rows
+from .held import KIND, take_batch
 
 FEEDS = ("labels", "text", "faces")
-_OUT = "image_id string, missing string, " + ", ".join(f"{f} string" for f in FEEDS)
-_COLUMNS = ["image_id", "missing", *FEEDS]
-
-
-class HeldFeeds(StatefulProcessor):
-    """State of one image: a JSON text for each feed that has landed, and whether it has gone out."""
-
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.feeds = handle.getMapState("feeds", "feed string", "body string")
-        self.gone = handle.getValueState("gone", "gone boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        landed = pd.concat(list(rows), ignore_index=True)
-        for due in list(self.handle.listTimers()):
-            self.handle.deleteTimer(due)
-        self.handle.registerTimer(int(landed["landed_ms"].max()) + self.timeout_ms)
-        if self.gone.exists():
-            return
-        for feed, body in zip(landed["feed"], landed["body"]):
-            if not self.feeds.containsKey((feed,)):
-                self.feeds.updateValue((feed,), (body,))
-        held = {k[0]: v[0] for k, v in self.feeds.iterator()}
-        if len(held) == len(FEEDS):
-            self.feeds.clear()
-            self.gone.update((True,))
-            yield pd.DataFrame([[key[0], None, *(held[f] for f in FEEDS)]], columns=_COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = {k[0] for k, _ in self.feeds.iterator()}
-        done = self.gone.exists()
-        self.feeds.clear()
-        self.gone.clear()
-        if not done and held:
-            missing = ", ".join(f for f in FEEDS if f not in held)
-            yield pd.DataFrame([[key[0], missing, *(None for _ in FEEDS)]], columns=_COLUMNS)
-
-    def close(self) -> None:
-        pass
 
 
-def gathered_feeds(
-    labels: DataFrame, text: DataFrame, faces: DataFrame, timeout_seconds: int = 24 * 3600, late_seconds: int = 3600
-) -> DataFrame:
-    """``image_id, missing`` and a struct for each feed, from three streams with ``landed_at`` each.
+def _fields(name: str) -> str:
+    return f"struct<{types.IMAGE_FEEDS[name]}>"
 
-    A row with a null ``missing`` is a whole image. An image that still lacks feeds when its last one landed
-    ``timeout_seconds`` and ``late_seconds`` before the newest of all gives one row that names them. A feed that
-    lands again counts once, the first time; null image ids are left out. Needs the state store of
-    ``jobs.use_state_store``.
+
+_SCHEMA = "image_id string, " + "".join(f"{f} {_fields(f)}, " for f in FEEDS) + f"last timestamp, {KIND} string"
+
+
+def landed_feeds(labels: DataFrame, text: DataFrame, faces: DataFrame) -> DataFrame:
+    """The three streams as one: ``image_id, landed_at`` and a struct for each feed, one of them not null.
+
+    Null image ids are left out.
     """
     landed = None
     for name, feed in zip(FEEDS, (labels, text, faces)):
-        body = F.to_json(F.struct(*[c for c in feed.columns if c != "landed_at"]))
+        own = F.struct(*[c for c in feed.columns if c != "landed_at"]).cast(_fields(name))
         one = feed.filter(F.col("image_id").isNotNull()).select(
-            "image_id", F.lit(name).alias("feed"), body.alias("body"), "landed_at"
+            "image_id", "landed_at",
+            *[(own if f == name else F.lit(None).cast(_fields(f))).alias(f) for f in FEEDS],
         )
         landed = one if landed is None else landed.unionByName(one)
-    landed = landed.withWatermark("landed_at", f"{late_seconds} seconds").withColumn(
-        "landed_ms", F.unix_millis("landed_at")
+    return landed
+
+
+def _open_images(left: DataFrame, fresh: DataFrame, before: Column) -> DataFrame:
+    """Every image known, and its kind: ``whole``, ``missing``, ``held``, or ``gone`` if it has come out before.
+
+    Of a feed that landed several times the first counts. Images that have come out are remembered, without
+    their feeds, until nothing of them has landed for too long.
+    """
+    held = F.col(KIND) == "held"
+    # Landings follow what is held already.
+    known = left.filter(F.col(KIND) != "missing").select(
+        "image_id", "last", *[F.when(held, F.col(f)).alias(f) for f in FEEDS],
+        (~held).alias("gone"), F.lit(0).alias("turn"),
+    )
+    landed = fresh.select(
+        "image_id", F.col("landed_at").alias("last"), *FEEDS, F.lit(False).alias("gone"), F.lit(1).alias("turn")
+    )
+    order = F.struct("turn", "last")
+    images = known.unionByName(landed).groupBy("image_id").agg(
+        *[F.min_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in FEEDS],
+        F.max("last").alias("last"),
+        F.bool_or("gone").alias("gone"),
     )
-    found = landed.groupBy("image_id").transformWithStateInPandas(
-        statefulProcessor=HeldFeeds(1000 * timeout_seconds),
-        outputStructType=_OUT,
-        outputMode="Append",
-        timeMode="EventTime",
+    complete = F.lit(True)
+    for f in FEEDS:
+        complete = complete & F.col(f).isNotNull()
+    late = F.coalesce(F.col("last") <= before, F.lit(False))
+    kind = (
+        F.when(F.col("gone"), "gone").when(complete, "whole").when(late, "missing").otherwise("held")
+    )
+    rows = images.filter(~(F.col("gone") & late)).withColumn(KIND, kind)
+    kept = [F.when(F.col(KIND) != "gone", F.col(f)).alias(f) for f in FEEDS]
+    return rows.select("image_id", *kept, "last", KIND)
+
+
+def gathered_feeds(
+    batch: DataFrame, batch_id: int, folder: str, timeout_seconds: int = 24 * 3600, late_seconds: int = 3600
+) -> DataFrame:
+    """``image_id, missing`` and a struct for each feed, from a batch of ``landed_feeds``.
+
+    A row with a null ``missing`` is a whole image. An image that still lacks feeds when its last one landed
+    ``timeout_seconds`` and ``late_seconds`` before the newest of all gives one row that names them. A feed that
+    lands again counts once, the first time. ``folder``, which all executors share, holds the open images.
+    """
+    found = take_batch(batch, batch_id, folder, _SCHEMA, timeout_seconds, late_seconds, _open_images)
+    names = F.concat_ws(", ", *[F.when(F.col(f).isNull(), F.lit(f)) for f in FEEDS])
+    return found.filter(F.col(KIND).isin("whole", "missing")).select(
+        "image_id", F.when(F.col(KIND) == "missing", names).alias("missing"), *FEEDS
     )
-    feeds = [F.from_json(f, types.IMAGE_FEEDS[f]).alias(f) for f in FEEDS]
-    return found.select("image_id", "missing", *feeds)
 
 
 def gathered_records(gathered: DataFrame) -> DataFrame:

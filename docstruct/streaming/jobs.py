@@ -1,127 +1,81 @@
-"""Jobs whose pages land in several batches, put together with keyed state.
+"""Jobs whose pages land in several batches, put together in a table of open jobs.
 
-Pages of a job are held in state until the job has ended: it failed, or all of its pages are there. A
-job that gets no page for too long is given up by a timer and becomes a reject, so state does not grow
-with jobs that never end. Time is the landing time of pages, which a watermark follows, so a replay gives up
-the same jobs. What leaves the state is whole jobs only, and batch operators take it from there.
+Pages of a job are held until the job has ended: it failed, or all of its pages are there. A job that
+gets no page for too long is given up and becomes a reject, so the table does not grow with jobs that never
+end. What leaves the table is whole jobs only, and batch operators take it from there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import types
 from ..operators.jobs import FAILED, SUCCEEDED
 from ..sources.sinks import reject_rows
+from .held import KIND, take_batch
 
 JOB_TIMEOUT = "job_timeout"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER_SETTING = "spark.sql.streaming.stateStore.providerClass"
-
-#: A page with its blocks as one JSON text, as state holds it.
-_HELD = "page_seq bigint, job_status string, status_message string, blocks string, page_count bigint"
-_OUT = f"doc_id string, job_id string, kind string, {_HELD}"
-_COLUMNS = [f.split()[0] for f in _HELD.split(", ")]
-_WHOLE = ("page_seq", "page_count")
-
-
-def ended(pages: pd.DataFrame) -> bool:
-    """A failed page ends a job; else the number of different pages that some page names as the total."""
-    if (pages["job_status"] == FAILED).any():
-        return True
-    total = pages["page_count"].max()
-    done = (pages["job_status"] == SUCCEEDED).any()
-    return bool(done and pd.notna(total) and pages["page_seq"].nunique() >= total)
-
-
-class HeldPages(StatefulProcessor):
-    """State of one job: its pages so far, and a timer that each new page sets anew."""
-
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pages = handle.getListState("pages", _HELD)
+_PAGE = (
+    "page_seq: bigint, job_status: string, status_message: string, page_count: bigint, "
+    f"blocks: array<{types.BLOCK}>"
+)
+_SCHEMA = f"doc_id string, job_id string, pages array<struct<{_PAGE}>>, last timestamp, {KIND} string"
+_COLUMNS = ["page_seq", "job_status", "status_message", "page_count", "blocks"]
 
-    def _out(self, key: tuple, pages: pd.DataFrame, kind: str) -> pd.DataFrame:
-        out = pages[_COLUMNS].copy()
-        out.insert(0, "doc_id", key[0])
-        out.insert(1, "job_id", key[1])
-        out.insert(2, "kind", kind)
-        for c in _WHOLE:
-            out[c] = out[c].astype("Int64")
-        return out
 
-    def _stop_timers(self) -> None:
-        for due in list(self.handle.listTimers()):
-            self.handle.deleteTimer(due)
+def _some(test: Column) -> Column:
+    return F.coalesce(F.bool_or(test), F.lit(False))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        landed = pd.concat(list(rows), ignore_index=True)
-        fresh = landed[_COLUMNS]
-        held = pd.DataFrame([tuple(p) for p in self.pages.get()], columns=_COLUMNS)
-        pages = pd.concat([held, fresh], ignore_index=True) if len(held) else fresh
-        self._stop_timers()
-        if ended(pages):
-            self.pages.clear()
-            yield self._out(key, pages, "page")
-            return
-        plain = fresh.astype(object).where(fresh.notna(), None)
-        self.pages.appendList([
-            tuple(int(v) if c in _WHOLE and v is not None else v for c, v in zip(_COLUMNS, row))
-            for row in plain.itertuples(index=False)
-        ])
-        self.handle.registerTimer(int(landed["landed_ms"].max()) + self.timeout_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame([tuple(p) for p in self.pages.get()], columns=_COLUMNS)
-        self.pages.clear()
-        if len(held):
-            yield self._out(key, held.iloc[:1].assign(blocks=None, status_message=f"{len(held)} pages"), "timeout")
-
-    def close(self) -> None:
-        pass
+def _open_jobs(left: DataFrame, fresh: DataFrame, before: Column) -> DataFrame:
+    """Every open job with all of its pages, and its kind: ``page`` if it has ended, ``timeout`` or ``held``."""
+    pages = fresh.select(
+        "doc_id", "job_id",
+        F.struct(
+            F.col("page_seq").cast("bigint").alias("page_seq"), "job_status", "status_message",
+            F.col("page_count").cast("bigint").alias("page_count"), "blocks",
+        ).alias("page"),
+        F.col("landed_at").alias("last"),
+    )
+    held = left.filter(F.col(KIND) == "held").select("doc_id", "job_id", F.explode("pages").alias("page"), "last")
+    jobs = held.unionByName(pages).groupBy("doc_id", "job_id").agg(
+        F.collect_list("page").alias("pages"),
+        F.max("last").alias("last"),
+        _some(F.col("page.job_status") == FAILED).alias("failed"),
+        _some(F.col("page.job_status") == SUCCEEDED).alias("done"),
+        F.max("page.page_count").alias("total"),
+    )
+    different = F.size(F.array_distinct(F.array_compact(F.col("pages")["page_seq"])))
+    # A failed page ends a job; else the number of different pages that some page names as the total.
+    ended = F.col("failed") | (F.col("done") & (different >= F.col("total")))
+    kind = F.when(ended, "page").when(F.col("last") <= before, "timeout").otherwise("held")
+    return jobs.select("doc_id", "job_id", "pages", "last", kind.alias(KIND))
 
 
-def whole_jobs(stream: DataFrame, timeout_seconds: int = 24 * 3600, late_seconds: int = 3600) -> DataFrame:
+def whole_jobs(
+    batch: DataFrame, batch_id: int, folder: str, timeout_seconds: int = 24 * 3600, late_seconds: int = 3600
+) -> DataFrame:
     """``kind`` and the columns of a form page: pages of jobs that have ended, and a row for each given up.
 
-    ``stream`` holds form pages with ``landed_at`` and with ``page_count``, the number of pages of the job, on
-    one of its pages at least. Kind ``page`` rows come out once a job has all of its pages or has failed; a
-    job whose last page landed ``timeout_seconds`` and ``late_seconds`` before the newest page of all gives one row of
-    kind ``timeout``. Pages that land over ``late_seconds`` after newer ones are dropped by the watermark. A file
-    source takes files by the time they were written, so with that time as ``landed_at`` there are none.
-    Repeated pages are kept, as in a batch. The session needs the state store that ``use_state_store`` sets.
+    ``batch`` holds form pages with ``landed_at`` and with ``page_count``, the number of pages of the job, on
+    one of its pages at least; ``folder``, which all executors share, holds the open jobs. Kind ``page`` rows
+    come out once a job has all of its pages or has failed; a job whose last page landed ``timeout_seconds`` and
+    ``late_seconds`` before the newest page of all gives one row of kind ``timeout``. Pages that land over
+    ``late_seconds`` after newer ones are left out. A file source takes files by the time they were written,
+    so with that time as ``landed_at`` there are none. Repeated pages are kept, as in a batch.
     """
-    held = stream.withWatermark("landed_at", f"{late_seconds} seconds").select(
-        "doc_id",
-        "job_id",
-        F.col("page_seq").cast("bigint").alias("page_seq"),
-        "job_status",
-        "status_message",
-        F.to_json("blocks").alias("blocks"),
-        F.col("page_count").cast("bigint").alias("page_count"),
-        F.unix_millis("landed_at").alias("landed_ms"),
-        "landed_at",
+    found = take_batch(batch, batch_id, folder, _SCHEMA, timeout_seconds, late_seconds, _open_jobs)
+    whole = found.filter(F.col(KIND) == "page").select("doc_id", "job_id", KIND, F.inline("pages"))
+    first = F.get("pages", F.lit(0))
+    given_up = found.filter(F.col(KIND) == "timeout").select(
+        "doc_id", "job_id", KIND,
+        *[first[c].alias(c) for c in ("page_seq", "job_status")],
+        F.concat(F.size("pages").cast("string"), F.lit(" pages")).alias("status_message"),
+        first["page_count"].alias("page_count"),
+        F.lit(None).cast(f"array<{types.BLOCK}>").alias("blocks"),
     )
-    found = held.groupBy("doc_id", "job_id").transformWithStateInPandas(
-        statefulProcessor=HeldPages(1000 * timeout_seconds),
-        outputStructType=_OUT,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-    blocks = F.from_json("blocks", f"array<{types.BLOCK}>")
-    return found.withColumn("blocks", blocks)
-
-
-def use_state_store(stream: DataFrame) -> None:
-    """Set the state store that lists and timers in state need; it keeps state on disk, not on the heap."""
-    stream.sparkSession.conf.set(_PROVIDER_SETTING, PROVIDER)
+    return whole.unionByName(given_up)
 
 
 def timeout_rejects(found: DataFrame) -> DataFrame:

@@ -15,7 +15,10 @@ from docstruct.plans.vehicles import analyze_images
 from docstruct.sources import readers
 from docstruct.sources.sinks import read_committed
 from docstruct.streaming import ingest
+from docstruct.streaming.feeds import gathered_feeds, landed_feeds
+from docstruct.streaming.held import forget
 from docstruct.streaming.ingest import ingest_feeds, ingest_forms, ingest_jobs
+from docstruct.streaming.jobs import whole_jobs
 from pyspark.sql import functions as F
 from test_kv import CASES, frame, key, ordered, page, value, word
 
@@ -207,3 +210,48 @@ def test_files_are_listed_once(spark, tmp_path):
     assert runs == [["a.pdf", "b.PDF"], ["a.pdf", "b.PDF", "d.png"], ["a.pdf", "b.PDF", "d.png"]]
     assert {r.length for r in spark.read.parquet(out).collect()} == {5}
     assert "content" not in stream().columns
+
+
+def test_open_jobs_without_python(spark, tmp_path):
+    """Batches of open jobs as plain tables: a retry changes nothing, late pages are left out, names may be null."""
+    folder = str(tmp_path / "held")
+
+    def step(batch_id, hour, pages):
+        rows = [(*p.values(), t, START + datetime.timedelta(hours=hour + h)) for p, t, h in pages]
+        found = whole_jobs(spark.createDataFrame(rows, LANDED), batch_id, folder, 3600 * 24)
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+        forget(found, batch_id, folder)
+        return sorted((r.doc_id, r.kind, r.page_seq, r.status_message) for r in found.collect())
+
+    first = [(page("a", [word("w", "x")], 0), 2, 0), (page("open", [], 0), 2, 0), (page("bad", [], 3, "FAILED", "x"), None, 0)]
+    assert step(0, 0, first) == [("bad", "page", 3, "x")]
+    second = [(page("a", [], 1), None, 0), (page("late", [], 0), 1, -10), ({**page("n", [], 0), "job_id": None}, 1, 0)]
+    want = [("a", "page", 0, None), ("a", "page", 1, None), ("late", "page", 0, None), ("n", "page", 0, None)]
+    assert step(1, 8, second) == [w for w in want if w[0] != "late"]
+    assert step(1, 8, second) == [w for w in want if w[0] != "late"]
+    assert step(2, 9, []) == []
+    assert step(3, 40, [(page("later", [], 0, "IN_PROGRESS"), None, 0)]) == [("open", "timeout", 0, "1 pages")]
+    assert step(4, 90, [(page("z", [], 0, "FAILED"), None, 0)]) == [("later", "timeout", 0, "1 pages"), ("z", "page", 0, None)]
+
+
+def test_open_images_without_python(spark, tmp_path):
+    """An image that has come out does so once; the first landing of a feed counts, later ones and retries do not."""
+    folder = str(tmp_path / "held")
+
+    def feed(name, rows, hour):
+        df = spark.read.schema(types.IMAGE_FEEDS[name]).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
+        return df.withColumn("landed_at", F.lit(START + datetime.timedelta(hours=hour)))
+
+    def step(batch_id, hour, labels=(), text=(), faces=()):
+        landed = landed_feeds(feed("labels", labels, hour), feed("text", text, hour), feed("faces", faces, hour))
+        found = gathered_feeds(landed, batch_id, folder, 3600 * 24)
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+        return sorted((r.image_id, r.missing, r.labels and r.labels.case_id) for r in found.collect())
+
+    one = {"image_id": "i"}
+    assert step(0, 0, [{**one, "case_id": "first"}], [one, {"image_id": "j"}, {"image_id": None}]) == []
+    for _ in range(2):
+        assert step(1, 1, [{**one, "case_id": "again"}], faces=[one]) == [("i", None, "first")]
+    assert step(2, 2, [{**one, "case_id": "x"}], [one], [one]) == []
+    assert step(3, 60, text=[{"image_id": "k"}]) == [("j", "labels, faces", None)]
+    assert step(4, 61, [{**one, "case_id": "new"}], [one], [one]) == [("i", None, "new")]
