@@ -280,3 +280,13 @@ def test_text_functions(spark):
     assert tuple(row) == (
         "97.30%", "97.35%", "x y", "a, b", "", "2024-12-31", None, 's={"x":1} d=12/31/2024.'
     )
+
+
+def test_faults_are_looked_for_after_spreading(spark):
+    """Judging and parsing stay above an exchange that deals the answers out."""
+    dealt = spark.createDataFrame([("a", '{"x": 1}'), ("b", "{"), ("c", None)], "doc_id string, answer string").repartition(3, "doc_id")
+    found = locate_error(parse_answers(dealt).withColumn("detail", F.col("text")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange ")[1]
+    assert "Filter" not in below and "parse" not in below.lower()
+    assert [(r.doc_id, r.error.line, r.error.col) for r in found.collect()] == [("b", 1, 2)]
