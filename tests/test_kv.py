@@ -378,3 +378,47 @@ def test_spread_tasks_grow_with_rows(spark):
     rows = spark.range(10)
     few, many = (derived.spread(rows, n, ("id",)).rdd.getNumPartitions() for n in (10, 50 * derived.ROWS_PER_TASK))
     assert few == spark.sparkContext.defaultParallelism and many == 50
+
+
+def untidy_document(rng):
+    """Blocks as in ``random_document``, some of them and some children without an id."""
+    blocks = random_document(rng)
+    for b in blocks:
+        b["Id"] = None if rng.random() < 0.1 else b["Id"]
+        for r in b["Relationships"] or []:
+            r["Ids"] = None if rng.random() < 0.05 else [None if rng.random() < 0.1 else i for i in r["Ids"]]
+    return blocks
+
+
+@pytest.mark.parametrize("mode", ["form", "id"])
+def test_pairs_within_a_row_are_those_of_the_joins(spark, mode, monkeypatch):
+    """Also with null ids and pages of one number, and where a part of the documents is too large for a row."""
+    rng = random.Random(11)
+    pages = []
+    for d in range(120):
+        blocks = untidy_document(rng)
+        cut = rng.randint(0, len(blocks))
+        pages += [page(f"d{d}", blocks[:cut], 0), page(f"d{d}", blocks[cut:], rng.randint(0, 1))]
+    pages += [page("void", None), page(None, [key("k", CHILD=["a"]), word("a", "x")], job="j")]
+    corpus = frame(spark, pages).persist()
+
+    def shown(df):
+        columns = [*kv.PAIR_COLUMNS, "dangling"]
+        return sorted(map(tuple, df.select(columns).collect()), key=str), [df.schema[c].dataType for c in columns]
+
+    named = corpus.filter("doc_id is not null")
+    want = shown(kv.pair_blocks(corpus, mode))
+    assert shown(kv.pair_rows(named, mode)) == shown(kv.pair_blocks(named, mode))
+    assert shown(kv.pair_pages(corpus, mode, [])) == want
+    assert kv.size_classes(corpus) == ([], True) and kv.size_classes(named) == ([], False)
+    monkeypatch.setattr(kv, "ROW_BLOCKS", 9)
+    assert kv.size_classes(named) == ([], True)
+    assert shown(kv.pair_pages(corpus, mode, [])) == want
+
+
+def test_small_documents_need_no_join(spark, corpus):
+    """Their pairs come from one grouping of the pages where they were dealt to: nothing is joined or moved."""
+    giants, large = kv.size_classes(corpus)
+    plan = plan_of(kv.pair_pages(corpus.repartition(3, "doc_id"), "id", giants, dealt=True, large=large))
+    assert "Join" not in plan and plan.count("Exchange ") == 1 == plan.count("REPARTITION_BY_NUM")
+    assert "posexplode" not in plan
