@@ -12,7 +12,7 @@ from docstruct.operators.answers import (
     record_violations,
     structure_records,
 )
-from docstruct.operators.flatten import flatten_json
+from docstruct.operators.flatten import flatten_json, with_nodes
 from docstruct.schemas import FORM, VEHICLE, record
 from docstruct.schemas.records import FORM_MODELS
 
@@ -267,6 +267,23 @@ def test_flatten(spark):
     assert {"object", "array"} <= {r.value_type for r in full}
 
 
+def test_flatten_opens_nodes_within_each_other(spark):
+    """Containers and leaves are those of ``with_nodes``; no node is kept for the levels below it, no key escaped."""
+    docs = [{"a": [{"b": [1, [2.50, {"c": "x", "d": {}}]]}, [], None], "é.[": {"x": {"y": {"z": "q\"\n"}}}}, [], "s", [[[[]]]]]
+    docs += [{"n": i, "deep": [[[i, str(i), {"k": None}]]] * (i % 3)} for i in range(50)]
+    rows = texts(spark, [json.dumps(d) for d in docs] + ["not json"]).withColumn("v", F.try_parse_json("answer"))
+    for depth in (1, 2, 4):
+        kept = with_nodes(rows, "v", depth, "nodes").select("doc_id", F.inline("nodes")).filter("kind <> 'truncated'")
+        got = flatten_json(rows, "v", depth, include_containers=True)
+        held = got.filter("value_type in ('object', 'array')").select("doc_id", "path", "value")
+        want = kept.filter("kind <> 'scalar'").select("doc_id", "path", F.to_json("v").alias("value"))
+        assert sorted(map(tuple, held.collect())) == sorted(map(tuple, want.collect()))
+        plain = flatten_json(rows, "v", depth)
+        assert sorted(plain.collect(), key=str) == sorted(flatten_json(rows, "v", 9).collect(), key=str)
+        plan = plain._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("level_") == plan.count("regexp_replace") == 0
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame(
         [(97.3, 97.345, "\t  x y \n", ["a", "b"], [], "12/31/2024", "13/45/2024")],
