@@ -8,7 +8,7 @@ from docstruct import types
 from docstruct.operators import kv, skew
 from docstruct.operators.blocks import dangling, edges, explode_blocks, key_blocks, value_blocks
 from docstruct.operators.jobs import gate_jobs
-from docstruct.plans import derived
+from docstruct.plans import derived, registry
 from docstruct.plans.documents import extract_forms, extract_ids, form_outputs, id_report
 from model import pairs as model_pairs
 
@@ -422,3 +422,19 @@ def test_small_documents_need_no_join(spark, corpus):
     plan = plan_of(kv.pair_pages(corpus.repartition(3, "doc_id"), "id", giants, dealt=True, large=large))
     assert "Join" not in plan and plan.count("Exchange ") == 1 == plan.count("REPARTITION_BY_NUM")
     assert "posexplode" not in plan
+
+
+@pytest.mark.parametrize("name", ["block_edges", "block_kinds"])
+def test_scans_of_lines_are_split_by_rows(spark, monkeypatch, name):
+    """While lines are dealt scans are asked for more tasks the more lines there are; the setting is put back."""
+    setting, asked = "spark.sql.files.minPartitionNum", []
+
+    def stage(df, folder):
+        asked.append(int(spark.conf.get(setting)))
+        return df
+
+    monkeypatch.setattr(registry, "stage", stage)
+    monkeypatch.setattr(derived, "ROWS_PER_SCAN", 100)
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert asked == [-(-lines // 100)] and asked[0] > 8 and spark.conf.get(setting, None) is None
