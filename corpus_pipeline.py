@@ -7,6 +7,8 @@ In all stages columns beside ``doc_id``, ``text``, ``lang`` and ``source`` are c
 names; they may be those that an operator gives its results. A null text counts as empty, texts of any length
 are read whole, an empty table gives an empty table. What a stage does with nulls, ties and repeated
 rows is said with it.
+
+Stages that call Python lower the size of its batches for the rest of the session (``common.small_batches``).
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docstruct.llm import langid, mixing, packing, quality, simhash
+from docstruct.llm.common import small_batches
 from docstruct.llm.queries import language_model, quality_model, read, tokenizer_path
 from docstruct.sources.staging import stage
 
@@ -32,6 +35,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Empty texts have a score like any other; rows are judged one by one, so repeated rows stay or go
     together. Without labels of both kinds every score is a share of labels, 0.5 for none.
     """
+    small_batches(spark)
     model = quality_model(docs, read(spark, sf_dir, "labels"))
     return docs.filter(quality.score(model, docs["text"]) >= MIN_QUALITY)
 
@@ -42,6 +46,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null, empty and letterless texts have no language and go. Rows are judged one by one; a null ``lang``
     only teaches nothing. Without any ``lang`` all documents go.
     """
+    small_batches(spark)
     model = language_model(docs)
     return docs.filter(langid.predict(model, docs["text"])["score"] >= MIN_LANGUAGE)
 
@@ -52,6 +57,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The smallest ``doc_id`` of a group stays, and one row of it if rows repeat it. Empty texts are one group;
     a group of null ids keeps one row.
     """
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -69,6 +75,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     An empty text is the end id alone; repeated rows, which the mix makes, are packed each by itself; ties in
     length are placed by digest and key. The result has the columns of the packing query.
     """
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path(), with_ids=False)
 
 

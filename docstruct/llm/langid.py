@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import without
+from .common import give_back, remembered, without
 
 #: Bounds of the training sample: texts of a language, and of all languages; each has one at least.
 TEXTS = 100
@@ -40,7 +40,7 @@ STEPS = (0.6, 0.9, 0.99)
 BLOCK = 64
 #: Words that are labelled at once, different words that are scored at once, and word scores that a
 #: Python worker remembers.
-AT_ONCE = 200_000
+AT_ONCE = 100_000
 SCORED = 20_000
 CACHED_WORDS = 300_000
 
@@ -337,18 +337,16 @@ def training_sample(
     ]
 
 
-_REMEMBERED: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
-
-
 class _Scores:
     """Emissions of words, remembered by worker as rows of growing tables."""
 
     def __init__(self, model: Field) -> None:
         self.model = model
-        if model.name not in _REMEMBERED:
-            _REMEMBERED.clear()
-            _REMEMBERED[model.name] = ({}, [np.zeros((0, len(model.languages)), np.float32)])
-        self.rows, self.tables = _REMEMBERED[model.name]
+        self.rows: dict[str, int]
+        self.tables: list[np.ndarray]
+        self.rows, self.tables = remembered(
+            ("langid", model.name), lambda: ({}, [np.zeros((0, len(model.languages)), np.float32)])
+        )
 
     def of(self, words: list[str]) -> np.ndarray:
         fresh = list({w for w in words if w not in self.rows})
@@ -418,6 +416,7 @@ def predict(model: Field, text: Column) -> Column:
             yield pa.StructArray.from_arrays(
                 [pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"]
             )
+            give_back()
 
     return predicted(text)
 

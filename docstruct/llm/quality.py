@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import without
+from .common import forget, give_back, without
 
 _SYMBOLS = b"#*$%&|<>"
 _DIGITS = b"0123456789"
@@ -88,8 +88,10 @@ def statistics_of(text: str | None) -> list[float]:
 @F.pandas_udf(ArrayType(DoubleType()))
 def statistics(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Column of ``STATISTICS`` for a column of texts."""
+    forget()
     for batch in texts:
         yield pd.Series([statistics_of(t) for t in batch], dtype=object)
+        give_back()
 
 
 @dataclass(frozen=True)
@@ -195,9 +197,11 @@ def score(model: Discriminant, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for batch in texts:
             x = np.array([statistics_of(t) for t in batch]).reshape(-1, len(STATISTICS))
             yield pd.Series(model.score(x))
+            give_back()
 
     return scores(text)
 

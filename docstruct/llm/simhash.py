@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.staging import stage
-from .common import without
+from .common import forget, without
 
 BITS = 64
 RADIUS = 3
@@ -68,6 +68,7 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp")
 
     @F.arrow_udf("long")
     def fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         for batch in texts:
             raw = batch.cast(pa.large_binary() if pa.types.is_large_string(batch.type) else pa.binary())
             yield pa.array(

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from docstruct.llm import ann, langid, packing, quality, simhash
+from docstruct.llm import ann, common, langid, packing, quality, simhash
 from docstruct.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 
@@ -322,6 +322,20 @@ def test_tokens_are_the_tokenizers():
         assert np.frombuffer(raw, "<u4").tolist() == want
 
 
+def test_workers_remember_one_operator(field):
+    import pandas as pd
+
+    langid.identify(field, ["the quick fox"])
+    packing.token_bytes(["a quick fox"], tokenizer_path())
+    assert [name for name, _ in common._REMEMBERED] == ["packing"]
+    _, stems = packing._load(tokenizer_path())
+    assert "quick" in stems and packing._load(tokenizer_path())[1] is stems
+    langid.identify(field, ["the quick fox"])
+    assert [name for name, _ in common._REMEMBERED] == ["langid"]
+    list(quality.statistics.func(iter([pd.Series(["a quick fox"])])))
+    assert not common._REMEMBERED
+
+
 def placed_pieces(h, length):
     """Contents of all sequences, from runs that have to cover every rank of every length once."""
     runs, n = packing.pack_histogram(h, length)

@@ -1,6 +1,7 @@
 """Registered queries against their SQL, and the pipeline against plain Python."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from check_oracles import compare, connect
 from docstruct.llm.oracles import ORACLES
@@ -53,6 +54,27 @@ def test_pipeline(spark):
     assert whole.count() == kept.count()
 
 
+def test_stages_hand_python_few_bytes_at_once(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+
+    def bytes_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(5)
+    for name, step in corpus_pipeline.STAGES:
+        if name == "mixing":  # calls no Python
+            continue
+        spark.conf.unset(setting)
+        step(spark, docs, SF_DIR)
+        assert max(r.n for r in texts.mapInArrow(bytes_of, "n long").collect()) < 5_000_000
+    spark.conf.set(setting, "1m")
+    corpus_pipeline.packed(spark, docs, SF_DIR)
+    assert spark.conf.get(setting) == "1m"
+    spark.conf.unset(setting)
+
+
 def test_empty_pipeline(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for _, step in corpus_pipeline.STAGES:
