@@ -230,6 +230,28 @@ def test_examples_are_prefixes(spark):
     assert chat.format_chunks(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_digests_read_written_examples(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"t{t} é<|") for c in (1, None) for t in range(140)]
+    rows += [(2, 0, "user", "alone"), (3, 0, "assistant", None)]
+    chunks = chat.format_chunks(spark.createDataFrame(rows, TURNS)).cache()
+    whole = {r.conv_id: r for r in chat.conversation_digests(chunks).collect()}
+    spread = chat.example_texts(chunks, min_hot=5, per_salt=3)
+    written = {}
+    for r in spread.collect():
+        written.setdefault(r.conv_id, []).append(r)
+    assert set(written) == {1, None, 3} and whole[2].example_chars == 0
+    for c, examples in written.items():
+        assert len(examples) == whole[c].n_examples
+        assert whole[c].example_chars == sum(len(r.context + r.target) + len(chat.END) for r in examples)
+    # Lengths are those of texts that were made, not sums of places: without the first chunk contexts are shorter.
+    cut = chunks.filter("chunk > 0")
+    places = {}
+    for r in chat.expand_examples(cut).collect():
+        places[r.conv_id] = places.get(r.conv_id, 0) + r.target_start + r.target_chars + len(chat.END)
+    got = {r.conv_id: r.example_chars for r in chat.conversation_digests(cut).collect()}
+    assert set(got) == {1, None} and all(0 < got[c] < places[c] for c in got)
+
+
 # --- mixing -----------------------------------------------------------------------------------
 
 
