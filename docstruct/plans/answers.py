@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.answers import build_prompt, parse_answers, structure_records
+from ..operators.answers import build_prompt, parse_answers, prompt_chars, structure_records
 from ..operators.enrich import enrich_with_model
 from ..schemas import FORM, Record
 from ..sources.readers import with_answer_text
@@ -14,12 +14,11 @@ from ..sources.staging import stage
 from .prompts import FORM_TEMPLATE
 
 
-def form_prompts(payloads: DataFrame) -> DataFrame:
-    """A prompt per payload of ``kv_payload``."""
-    return payloads.select(
-        "doc_id",
-        build_prompt(F.col("payload"), FORM_TEMPLATE, FORM.json_schema()).alias("prompt"),
-    )
+def form_prompts(payloads: DataFrame, measured: bool = False) -> DataFrame:
+    """A prompt per payload of ``kv_payload``; ``measured`` adds its length as ``chars``."""
+    filled = (F.col("payload"), FORM_TEMPLATE, FORM.json_schema())
+    chars = [prompt_chars(*filled).alias("chars")] if measured else []
+    return payloads.select("doc_id", build_prompt(*filled).alias("prompt"), *chars)
 
 
 def structure_saved(

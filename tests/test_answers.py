@@ -299,6 +299,18 @@ def test_text_functions(spark):
     )
 
 
+def test_prompts_are_measured_by_parts(spark):
+    """Lengths are those of the prompts, and the fixed text is not counted again in each."""
+    from docstruct.plans.answers import form_prompts
+
+    payloads = spark.createDataFrame([("a", "[]"), ("b", '[{"key":"é😀"}]'), ("c", None), (None, "")], "doc_id string, payload string")
+    prompts = form_prompts(payloads, measured=True)
+    assert [r.chars for r in prompts.collect()] == [None if r.prompt is None else len(r.prompt) for r in prompts.collect()]
+    assert form_prompts(payloads).columns == ["doc_id", "prompt"]
+    plan = prompts.select("chars", F.sha2("prompt", 256))._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(payload" in plan and "length(prompt" not in plan and "length(concat" not in plan
+
+
 def test_faults_are_looked_for_after_spreading(spark):
     """Judging and parsing stay above an exchange that deals the answers out."""
     dealt = spark.createDataFrame([("a", '{"x": 1}'), ("b", "{"), ("c", None)], "doc_id string, answer string").repartition(3, "doc_id")

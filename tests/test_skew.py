@@ -2,7 +2,7 @@
 
 import pytest
 from docstruct import types
-from docstruct.operators import membership, skew
+from docstruct.operators import kv, membership, skew
 from docstruct.operators.enrich import enrich_with_model, text_body
 from docstruct.plans.documents import extract_forms, extract_ids, form_outputs
 from docstruct.plans.vehicles import process_cases
@@ -36,6 +36,31 @@ def test_plans_without_blocks_or_rows(spark, adaptive):
     assert enrich_with_model(prompts, "prompt", lambda options: text_body).count() == 0
 
 
+def test_payloads_deal_documents_once(spark):
+    """Key texts meet and payloads are gathered where the document was dealt, giants with spread keys; same rows."""
+    rows = [(f"d{i % 7}", i % 5, i, f"k{i * 13 % 4}", f"v{i}", i / 8, None if i % 3 else 1.5) for i in range(200)]
+    rows += [("big", 1, i, f"k{i % 2}", "v", 0.5, 0.5) for i in range(150)]
+    rows += [(None, 3, 1, "k", "a", 1.0, 1.0), (None, 2, 1, "k", "b", 1.0, 1.0), ("d1", 9, 9, None, "x", 1.0, 1.0)]
+    rows += [rows[0], rows[0], rows[-1]]
+    names = "doc_id string, page_seq bigint, pos int, key string, value string, key_confidence double, value_confidence double"
+    pairs = spark.createDataFrame(rows, names).repartition(3).cache()
+    first = {}
+    for d, page_seq, pos, key, *_ in rows:
+        if d is not None and key is not None:
+            first[d, key] = min(first.get((d, key), (page_seq, pos)), (page_seq, pos))
+    want = sorted((str(r), first.get((r[0], r[3]), (None, None))) for r in rows)
+    for most in (10**6, 100, 20):
+        ordered = kv.first_seen_order(pairs, most)
+        got = [(str((r.doc_id, r.page_seq, r.pos, r.key, r.value, r.key_confidence, r.value_confidence)),
+                (r.first_page_seq, r.first_pos)) for r in ordered.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    payloads = kv.kv_payload(kv.first_seen_order(pairs))
+    plan = payloads._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    spread = kv.kv_payload(kv.first_seen_order(pairs, 20))
+    assert sorted(map(str, payloads.collect())) == sorted(map(str, spread.collect()))
+
+
 def test_cases_and_streams_without_rows(spark, tmp_path):
     images = spark.createDataFrame([], types.IMAGE_RECORD)
     licences = spark.createDataFrame([], "case_id string, doc_id string, page_seq bigint, blocks " + types.ID_RESULT.split("blocks ")[1])
