@@ -438,3 +438,45 @@ def test_scans_of_lines_are_split_by_rows(spark, monkeypatch, name):
     registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert asked == [-(-lines // 100)] and asked[0] > 8 and spark.conf.get(setting, None) is None
+
+
+def shuffled_documents(seed, documents):
+    """Pages with null and repeated ids, null children, places that come twice with other content."""
+    rnd = random.Random(seed)
+    ids = ["a", "b", "c", "d", "e", "x,y", "", None]
+
+    def related():
+        kinds = rnd.sample(["VALUE", "CHILD"], rnd.randint(0, 2))
+        return {k: rnd.choice([None, [], rnd.choices(ids, k=rnd.randint(1, 4))]) for k in kinds}
+
+    def one():
+        kind = rnd.choice(["KEY_VALUE_SET"] * 2 + ["WORD"] * 2 + ["LINE", None])
+        types_ = rnd.choice([["KEY"], ["VALUE"], ["VALUE", "KEY"], [], None])
+        text = rnd.choice([None, "", " w ", "w1", "w2"])
+        return block(rnd.choice(ids), kind, types_, rnd.choice([None, 0.0, 1.0, 2.0]), text, **related())
+
+    pages = []
+    for n in range(documents):
+        for seq in rnd.choices([0, 1, None], k=rnd.randint(1, 3)):
+            one_page = page(f"doc{n}", rnd.choice([None, [], *[[one() for _ in range(6)]] * 6]), seq)
+            pages += [one_page] * rnd.choice([1, 1, 1, 2])
+    return pages
+
+
+@pytest.mark.parametrize("mode", ["id", "form"])
+def test_rows_pair_odd_documents_as_joins_do(spark, mode):
+    pages = frame(spark, shuffled_documents(3, 150))
+
+    def same_keys(pairs):
+        return sorted(map(repr, pairs.collect()))
+
+    joined = same_keys(kv.pair_blocks(pages, mode).select(*kv.PAIR_COLUMNS, "dangling"))
+    assert same_keys(kv.pair_rows(pages, mode).select(*kv.PAIR_COLUMNS, "dangling")) == joined
+    assert len(joined) > 100
+
+
+def test_rows_look_ids_up_in_maps(corpus):
+    plan = kv.pair_rows(corpus, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "array_position" not in plan
+    # Each map is made once a document, not for every key that reads it.
+    assert "map_from_arrays" not in plan[: plan.index("Project")]
