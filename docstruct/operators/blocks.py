form_dangling joins edges to block ids without making the ids distinct first

Symptom: form_dangling spends its CPU in one stage, and a task of it holds 437 MB.
Evidence: within the partitioning by document the distinct ids were two hash aggregates over every block, one after the other in the same task, before the sort of the join. Block ids of sf0.1 made distinct took 20 CPU seconds, read only 4.5. the profiler, starting code: 1963 and 2003 JVM, 40 and 46 GC seconds a GB, last stage 20 task s.
Fix: an anti join finds an id that comes several times as well as one that comes once, so dangling makes ids distinct only where hot ones are repeated for every salt.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1400 -> 1127 s, shuffle 3.47 -> 3.47 GB, spill 0.00 -> 0.00 GB, read 1.38 -> 1.38 GB, longest task 7 -> 6 s, most memory of a task 471 -> 303 MB; at 6 GB of input CPU 7583 -> 5721 s, shuffle 22.52 -> 22.52 GB, spill 0.00 -> 0.00 GB, read 10.73 -> 10.73 GB, longest task 9 -> 6 s, most memory of a task 471 -> 303 MB; with hot keys, at 1 GB of input CPU 1522 -> 1242 s, shuffle 3.40 -> 3.40 GB, spill 0.00 -> 0.00 GB, read 2.35 -> 2.35 GB, longest task 54 -> 50 s, most memory of a task 4900 -> 4732 MB.

@@ -148,7 +148,13 @@ def dedupe_blocks(blocks: DataFrame, *columns: str, place: bool = False) -> Data
 def dangling(
     edge_rows: DataFrame, blocks: DataFrame, hot: DataFrame | None = None
 ) -> DataFrame:
-    """Edges whose target id is no block of the document."""
-    known = blocks.select("doc_id", F.col("block_id").alias("child_id")).distinct()
+    """Edges whose target id is no block of the document.
+
+    An id that comes several times is found as well as one that comes once, so ids are only made distinct
+    where ``hot`` ones are repeated for every salt.
+    """
+    known = blocks.select("doc_id", F.col("block_id").alias("child_id"))
+    if hot is not None:
+        known = known.distinct()
     place = ["block_id", "rel_type", "rel_pos", "child_pos"]
     return spread_join(edge_rows, known, ["doc_id", "child_id"], "left_anti", place, hot)

@@ -480,3 +480,32 @@ def test_rows_look_ids_up_in_maps(corpus):
     assert "array_position" not in plan
     # Each map is made once a document, not for every key that reads it.
     assert "map_from_arrays" not in plan[: plan.index("Project")]
+
+
+def test_dangling_takes_repeated_ids_as_they_come(spark):
+    pages = frame(spark, shuffled_documents(4, 60) + [
+        page("many", [key("k", CHILD=["a", "gone", None]), *[word("a", "A")] * 50], 0),
+        page("many", [word("a", "B"), word(None, "C")], 1),
+        page(None, [key("k", CHILD=["k"])]),
+    ])
+    rows = [
+        (p.doc_id, b.Id, r.Type, c)
+        for p in pages.collect() for b in p.blocks or [] for r in b.Relationships or [] for c in r.Ids or []
+    ]
+    known = {(p.doc_id, b.Id) for p in pages.collect() for b in p.blocks or [] if b.Id is not None}
+    # A document without an id knows none of its blocks.
+    want = [r for r in rows if r[0] is None or (r[0], r[3]) not in known]
+
+    def found(hot):
+        children = edges(explode_blocks(pages, "block_id", "relationships"))
+        return dangling(children, explode_blocks(pages, "block_id"), hot)
+
+    def listed(df):
+        return sorted(map(repr, df.select("doc_id", "block_id", "rel_type", "child_id").toLocalIterator()))
+
+    plain = found(None)
+    hot = pages.limit(1).select(skew.key_hash(F.lit("many"), F.lit("a")).alias("hash"), F.lit(3).alias("salts"))
+    assert listed(plain) == sorted(repr(r) for r in plain.sparkSession.createDataFrame(
+        want, "doc_id string, block_id string, rel_type string, child_id string").collect())
+    assert listed(found(hot)) == listed(plain)
+    assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString()
